@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, langid, line_dedup, packing, quality, sentencepiece_codec, tiff_pages
+from . import block_neighbours, jaccard_join, langid, line_dedup, packing, quality, sentencepiece_codec, tiff_pages
 from .common import table
 
 
@@ -27,6 +27,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_lines(pages, "host")
 
 
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op5_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff_pages.stored_features(tiff_pages.store_texts(table(spark, sf_dir, "documents")))
 
@@ -74,4 +78,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": line_dedup.PAGES_SQL, "op10_jaccard_join": OP10_SQL}
+    return {"op3_line_dedup": line_dedup.PAGES_SQL, "op4_neighbours": block_neighbours.SQL, "op10_jaccard_join": OP10_SQL}
