@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -75,3 +76,26 @@ def slices(batches, rows: int = 1000, volume: int = 16 << 20, column: str = "tex
             to = min(max(to, at + 1), at + rows, batch.num_rows)
             yield batch.slice(at, to - at)
             at = to
+
+
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """df, written once to the shared folder in buckets of a key, so that joins on the key don't shuffle it again."""
+    spark = df.sparkSession
+    table_name = f"qacorpus_{name}_{uuid.uuid4().hex[:12]}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(n, key).option("path", f"{scratch_dir(spark)}/{table_name}").saveAsTable(table_name)
+    return spark.table(table_name)
+
+
+def pack(values: np.ndarray) -> bytes:
+    """An array of floats, or of integers from 0 on, in the fewest bytes a value takes, compressed."""
+    if values.dtype.kind == "f":
+        return b"f" + zlib.compress(values.astype("<f8").tobytes(), 1)
+    top = int(values.max(initial=0))
+    size = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4 if top < 1 << 32 else 8
+    return b"%d" % size + zlib.compress(values.astype(f"<u{size}").tobytes(), 1)
+
+
+def unpack(data: bytes) -> np.ndarray:
+    raw = zlib.decompress(data[1:])
+    return np.frombuffer(raw, "<f8") if data[:1] == b"f" else np.frombuffer(raw, f"<u{int(data[:1])}").astype(np.int64 if data[:1] != b"8" else np.uint64)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import block_neighbours, jaccard_join, langid, line_dedup, packing, quality, sentencepiece_codec, tiff_pages
+from . import block_neighbours, jaccard_join, katz, langid, line_dedup, packing, quality, sentencepiece_codec, tiff_pages
 from .common import table
 
 
@@ -35,6 +35,10 @@ def op5_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff_pages.stored_features(tiff_pages.store_texts(table(spark, sf_dir, "documents")))
 
 
+def op6_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("byte_bpe_50k.tiktoken"))
 
