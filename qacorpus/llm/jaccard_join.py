@@ -59,6 +59,17 @@ def shingle_sets(texts: pa.Array, words: int = 5) -> list[np.ndarray]:
     return out
 
 
+def _packed(tokens: np.ndarray) -> bytes:
+    """Sorted hashes by their upper 48 bits."""
+    return tokens.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, 2:] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view(">u8").ravel().astype(np.uint64)
+
+
 def _signatures(docs: DataFrame, words: int, places: int) -> DataFrame:
     """doc_id, the size and two halves of a digest of the shingle set, and the smallest shingle under each of `places` hashes."""
     rnd = np.random.default_rng(20240501)
@@ -136,7 +147,7 @@ def _verified(tasks: DataFrame, least: float) -> DataFrame:
         tid = np.array([r[5] for r in rows])
         copies = np.array([r[6] for r in rows], np.int64)
         block = np.array([r[7] for r in rows])
-        linked = _linked([np.frombuffer(r[9], np.uint64) for r in rows], least)
+        linked = _linked([_unpacked(r[9]) for r in rows], least)
         np.fill_diagonal(linked, False)
         if low != high:
             linked &= block[:, None] != block[None, :]
@@ -170,7 +181,8 @@ def _verified(tasks: DataFrame, least: float) -> DataFrame:
                         for x, y in zip(out, group(held)):
                             x += y
                     key, held = row[:5], []
-                held.append(row)
+                if not held or held[-1][5] != row[5]:  # a repeated row of a document brings its text again
+                    held.append(row)
             if len(out[0]) > 10_000:
                 yield emit()
                 out = ([], [], [])
@@ -180,7 +192,7 @@ def _verified(tasks: DataFrame, least: float) -> DataFrame:
         yield emit()
 
     columns = ["task", "run", "leaf", "low", "high", "tid", "copies", "block", "paths", "tokens"]
-    dealt = tasks.withColumn("task", F.xxhash64("run", "leaf", "low", "high")).repartition("task").sortWithinPartitions("task", "run", "leaf", "low", "high")
+    dealt = tasks.withColumn("task", F.xxhash64("run", "leaf", "low", "high")).repartition("task").sortWithinPartitions("task", "run", "leaf", "low", "high", "tid")
     return dealt.select(*columns).mapInArrow(of, "tid long, links long, root long")
 
 
@@ -221,14 +233,19 @@ def join(docs: DataFrame, least: float = 0.8, words: int = 5, recall: float = 0.
         for batch in slices(batches, rows=4000):
             found = shingle_sets(batch.column("text"), words)
             own = [i for i, (s, t) in enumerate(zip(found, batch.column("tid").to_pylist())) if len(s) and xxhash.xxh3_128_digest(s.tobytes())[:8] == t.to_bytes(8, "little", signed=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("tid").take(pa.array(own, pa.int64())), pa.array([found[i].tobytes() for i in own], pa.binary())], names=["tid", "tokens"])
+            kept = [batch.column(c).take(pa.array(own, pa.int64())) for c in ("tid", "copies", "paths", "todo")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array([_packed(found[i]) for i in own], pa.binary())], names=["tid", "copies", "paths", "todo", "tokens"])
 
-    needed = held.select("tid", "doc_id").distinct()
-    tokens = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(needed, "doc_id").select("tid", "text").mapInArrow(sets, "tid long, tokens binary").dropDuplicates(["tid"])
     placed = held.withColumn("block", F.pmod(F.xxhash64("tid", "run"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    tasks = placed.select("tid", "copies", "run", "leaf", "paths", "block", other).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
-    found = stored(_verified(tasks.join(stored(tokens, "sets"), "tid"), least), "links")
+    pairs = placed.select("tid", "doc_id", "copies", "run", "leaf", "paths", "block", other)
+    step = F.struct("run", "leaf", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block")
+    todo = pairs.groupBy("tid", "doc_id", "copies", "paths").agg(F.collect_list(step).alias("todo"))
+    kinds = "todo array<struct<run:int,leaf:bigint,low:int,high:int,block:int>>"
+    with_text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(todo, "doc_id").select("tid", "copies", "paths", "todo", "text")
+    tokens = with_text.mapInArrow(sets, f"tid long, copies long, paths array<long>, {kinds}, tokens binary")
+    tasks = tokens.select("tid", "copies", "paths", "tokens", F.explode("todo").alias("t")).select("tid", "copies", "paths", "tokens", "t.*")
+    found = stored(_verified(tasks, least), "links")
     links = found.groupBy("tid").agg(F.sum("links").alias("links"))
     label = components(found.select(F.col("tid").alias("u"), F.col("root").alias("v")))
     linked = texts.select("tid", "d2", "doc_id", "copies").join(links, "tid", "left").join(label.withColumnRenamed("id", "tid"), "tid", "left").withColumn("label", F.coalesce("label", "tid"))
