@@ -25,8 +25,8 @@ def page_lines(html: Column) -> Column:
     return F.trim(F.regexp_replace(html, r"[ \t\r]*\n\s*", "\n"))
 
 
-def _key(line: Column) -> Column:
-    return F.xxhash64(F.regexp_replace(line, r"^\s+|\s+$", ""))
+def _bare(line: Column) -> Column:
+    return F.btrim(line, F.lit(" \t\n\x0b\f\r"))
 
 
 def drop_lines(docs: DataFrame, site: str | Column, text: str = "text", ratio: float = 0.05, least: int = 3) -> DataFrame:
@@ -47,7 +47,7 @@ def drop_lines(docs: DataFrame, site: str | Column, text: str = "text", ratio: f
     lines = F.split(F.col(text), "\n")
     rows = docs.select(site.alias("site"), lines.alias("lines"))
     per_line = (
-        rows.select("site", F.explode(F.array_distinct(F.transform(F.filter("lines", lambda x: x.rlike(r"\S")), _key))).alias("line")).groupBy("site", "line").agg(F.count(F.lit(1)).alias("with_line"))
+        rows.select("site", F.explode(F.array_distinct(F.transform(F.filter("lines", lambda x: _bare(x) != ""), lambda x: F.xxhash64(_bare(x))))).alias("line")).groupBy("site", "line").agg(F.count(F.lit(1)).alias("with_line"))
     )
     totals = rows.groupBy("site").agg(F.count(F.lit(1)).alias("total"))
     often = per_line.filter(F.col("with_line") >= least).join(totals, "site").filter(F.col("with_line") > ratio * F.col("total"))
@@ -55,7 +55,7 @@ def drop_lines(docs: DataFrame, site: str | Column, text: str = "text", ratio: f
     name = "_site_of_line_dedup"
     joined = docs.withColumn(name, site).join(by_site.withColumnsRenamed({"site": name, "often": "_often_of_line_dedup"}), name, "left")
     often_here = F.col("_often_of_line_dedup")
-    kept = F.when(often_here.isNull(), lines).otherwise(F.filter(lines, lambda x: ~x.rlike(r"\S") | ~F.array_contains(often_here, _key(x))))
+    kept = F.when(often_here.isNull(), lines).otherwise(F.filter(lines, lambda x: (_bare(x) == "") | ~F.array_contains(often_here, F.xxhash64(_bare(x)))))
     return joined.withColumns(
         {"n_lines": F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)), "n_dropped": F.when(F.col(text).isNull(), 0).otherwise(F.size(lines) - F.size(kept)), text: F.array_join(kept, "\n")}
     ).drop(name, "_often_of_line_dedup")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import block_neighbours, jaccard_join, katz, langid, line_dedup, packing, quality, sentencepiece_codec, tiff_pages
-from .common import table
+from .common import stored, table
 
 
 def tokenizer_file(name: str) -> bytes:
@@ -24,7 +24,7 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", line_dedup.host(F.col("url")).alias("host"), line_dedup.page_lines(F.col("html")).alias("text"))
-    return line_dedup.drop_lines(pages, "host")
+    return line_dedup.drop_lines(stored(pages, "pages"), "host")  # both passes read the lines: pages are parsed once
 
 
 def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
