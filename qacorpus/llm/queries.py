@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import block_neighbours, jaccard_join, katz, langid, line_dedup, packing, quality, sentencepiece_codec, tiff_pages
+from . import block_neighbours, jaccard_join, katz, langid, line_dedup, packing, quality, sentencepiece_codec, tiff_pages, token_counts
 from .common import stored, table
 
 
@@ -22,6 +22,17 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.digests(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts before and after three edits of every document: its source in front, a passage of up to 40 characters
+    after the first third taken out, its language behind."""
+    n = F.length("text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "source", "lang")
+    edit = lambda at, size, put: F.struct(at.cast("long").alias("at"), F.lit(size).cast("long").alias("size"), put.alias("put"))
+    front = F.concat(F.lit("Source: "), F.coalesce("source", F.lit("")), F.lit("\n"))
+    edits = F.array(edit(F.lit(0), 0, front), edit(F.length(front) + F.floor(n / 3), 40, F.lit("[...]")), edit(F.lit(1 << 40), 0, F.concat(F.lit("\n"), F.coalesce("lang", F.lit("")))))
+    return token_counts.count_edited(docs.withColumn("edits", edits), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("byte_bpe_50k.tiktoken"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", line_dedup.host(F.col("url")).alias("host"), line_dedup.page_lines(F.col("html")).alias("text"))
     return line_dedup.drop_lines(stored(pages, "pages"), "host")  # both passes read the lines: pages are parsed once
