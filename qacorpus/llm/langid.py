@@ -230,8 +230,12 @@ def fit(docs: DataFrame, per_label: int = 800, longest: int = 10_000, **how) ->
     known = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(4, 2))
     shares = {r.lang: r.n for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(shares.values())
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "text"), "doc_id")
-    sample = known.filter(F.length("text") <= longest).select("doc_id", "lang", "text").withColumn("place", F.row_number().over(first)).filter(F.col("place") <= per_label).select("text", "lang").orderBy("lang", "text").collect()
+    spread, order = F.lit(False), F.xxhash64("doc_id", "text")
+    for lang, n in shares.items():  # some four times as many as needed, so that few rows are sorted
+        spread = spread | ((F.col("lang") == lang) & (F.pmod(order, F.lit(n)) < 4 * per_label))
+    first = Window.partitionBy("lang").orderBy(order, "doc_id")
+    near = known.filter((F.length("text") <= longest) & spread).select("doc_id", "lang", "text")
+    sample = near.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= per_label).select("text", "lang").orderBy("lang", "text").collect()
     return train([r.text for r in sample], [r.lang for r in sample], {k: n / total for k, n in shares.items()}, **how)
 
 
