@@ -1,9 +1,8 @@
 """From articles to overlapping chunks that know their section, and what is done with the chunk table."""
 
-from __future__ import annotations
-
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,32 +10,33 @@ from ..functions import lists
 from ..functions.text import content_sha, strip
 
 
+def sections_of(body: str) -> list[tuple[str | None, str]]:
+    """(heading, text) of each section; see split_sections()."""
+    lines = [x.strip() for x in body.split("\n")]
+    begin = next((k for k, x in enumerate(lines) if x), len(lines))
+    end = next((k for k in range(begin, len(lines)) if not lines[k]), len(lines))
+    contents, rest = lines[begin:end], lines[end:]
+    if len(contents) < 2 or not set(contents) <= set(rest):
+        return [(None, body)]
+    cuts = []  # places of the headings, each searched for behind the one before
+    for k, line in enumerate(rest):
+        if len(cuts) < len(contents) and line == contents[len(cuts)]:
+            cuts.append(k)
+    parts = [(contents[n], rest[a + 1 : b]) for n, (a, b) in enumerate(zip(cuts, [*cuts[1:], len(rest)]))]
+    intro = "\n".join(rest[: cuts[0] if cuts else len(rest)]).strip()
+    return ([(None, intro)] if intro else []) + [(h, "\n".join(x).strip()) for h, x in parts]
+
+
 def split_sections(body: Column) -> Column:
     """array of (heading, text). The first run of filled lines is a table of contents if it has two lines at least and
     each occurs again as a line below; then its lines, matched in order and once each, begin the sections."""
-    lines = F.split(body, "\n", -1)
-    bare = F.transform(lines, strip)
-    begin = F.coalesce(F.nullif(F.array_position(F.transform(bare, lambda x: x != ""), True).cast("int"), F.lit(0)), F.size(bare) + 1)
-    later = F.slice(bare, begin, F.size(bare))
-    gap = F.array_position(F.transform(later, lambda x: x == ""), True).cast("int")
-    contents = F.when(gap == 0, later).otherwise(F.slice(later, F.lit(1), gap - 1))
-    rest = F.when(gap == 0, F.slice(later, F.lit(1), F.lit(0))).otherwise(F.slice(later, gap, F.size(later)))
-    is_contents = (F.size(contents) >= 2) & F.forall(contents, lambda h: F.array_contains(rest, h))
-    # at the k-th line of the rest: how many headings were matched so far, and whether this line is one
-    start = F.struct(F.lit(0).alias("n"), F.array().cast("array<struct<n:int,mark:boolean,line:string>>").alias("out"))
-
-    def step(state: Column, line: Column) -> Column:
-        hit = (state["n"] < F.size(contents)) & (line == F.get(contents, state["n"]))
-        n = F.when(hit, state["n"] + 1).otherwise(state["n"])
-        return F.struct(n.alias("n"), F.concat(state["out"], F.array(F.struct(n.alias("n"), hit.alias("mark"), line.alias("line")))).alias("out"))
-
-    marked = F.aggregate(rest, start, step)["out"]
-    text_of = lambda n: strip(F.array_join(F.transform(F.filter(marked, lambda m: (m["n"] == n) & ~m["mark"]), lambda m: m["line"]), "\n"))
-    last = F.coalesce(F.element_at(marked, -1)["n"], F.lit(0))
-    section = lambda heading, text: F.struct(heading.cast("string").alias("heading"), text.alias("text"))
-    found = F.transform(F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>")), lambda n: section(F.get(contents, n - 1), text_of(n)))
-    intro = F.filter(F.array(section(F.lit(None), text_of(F.lit(0)))), lambda s: s["text"] != "")
-    return F.when(is_contents, F.concat(intro, found)).otherwise(F.array(section(F.lit(None), body)))
+
+    @F.pandas_udf("array<struct<heading:string,text:string>>")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for bodies in batches:
+            yield pd.Series([[{"heading": h, "text": t} for h, t in sections_of(x or "")] for x in bodies], dtype=object)
+
+    return of(body)
 
 
 def words_of(text: Column) -> Column:

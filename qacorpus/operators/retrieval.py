@@ -1,7 +1,6 @@
 """Ranking of chunks for many questions at once: BM25, vectors, fusion, reranking, evaluation."""
 
-from __future__ import annotations
-
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -131,6 +130,22 @@ def overlap_scorer(query: Column, passage: Column) -> Column:
     return of(query, passage)
 
 
+def hashed_encoder(passage: Column, dims: int = 64) -> Column:
+    """The default encoder: how often words fall to each of `dims` places by their hash, as a unit vector."""
+
+    @F.pandas_udf("array<double>")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            out = []
+            for t in texts:
+                places = [zlib.crc32(w.encode()) % dims for w in (t or "").lower().split()]
+                counts = np.bincount(places, minlength=dims).astype(float) if places else np.zeros(dims)
+                out.append(counts / (np.linalg.norm(counts) or 1.0))
+            yield pd.Series(out)
+
+    return of(passage)
+
+
 def rerank_pairs(queries: DataFrame, found: DataFrame, chunks: DataFrame, scorer: Callable[[Column, Column], Column] = overlap_scorer) -> DataFrame:
     """found (query_id, chunk_id, pos) with the scorer's score of each question and its chunk's title and text."""
     pairs = found.select("query_id", "chunk_id", "pos").join(chunks, "chunk_id").join(queries.select("query_id", F.col("text").alias("question")), "query_id")
