@@ -31,7 +31,7 @@ def _chunk(number: int, docs: list, held: list, sizes: list, words: list[np.ndar
     return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([docs], pa.list_(pa.int64())), *(pa.array([x], pa.binary()) for x in blobs)], names=["chunk", "docs", "held", "sizes", "vocabulary", "counts", "tokens"])
 
 
-def chunks(docs: DataFrame, size: int = 3_000_000) -> DataFrame:
+def chunks(docs: DataFrame, size: int = 1_500_000) -> DataFrame:
     """Documents as word numbers: some `size` tokens to a row, with the 64-bit hashes of its words in order.
 
     The texts' A-Z become small, words lie between ASCII white space, and each text has one end token.
@@ -177,7 +177,7 @@ class _Pairs:
     def __init__(self, row: dict, model: Unigrams, buckets: int, hot: int, train_docs: int):
         self.held = np.frombuffer(row["held"], bool)
         self.sizes = unpack(row["sizes"])
-        self.tokens = unpack(row["tokens"])
+        self.tokens = unpack(row["tokens"]).astype(np.int32)
         replies = sorted(row["words"], key=lambda x: x["bucket"])
         self.total = np.concatenate([unpack(x["total"]) for x in replies])
         number = np.concatenate([unpack(x["number"]) + model.base[x["bucket"]] for x in replies])
@@ -193,13 +193,17 @@ class _Pairs:
         seen = (self.firsts[before] > 0) & (self.total[self.tokens] > 0)
         self.seen = seen
         train = np.repeat(~self.held, self.sizes)[seen]
-        keys, self.place = np.unique(before[seen] * width + self.tokens[seen], return_inverse=True)
-        self.count = np.bincount(self.place, train, len(keys)).astype(np.int64)
-        first, second = keys // width, keys % width
+        keys, place = np.unique(before[seen] * np.int64(width) + self.tokens[seen], return_inverse=True)
+        self.place = place.astype(np.int32)
+        self.count = np.bincount(self.place, train, len(keys)).astype(np.int32)
+        del place, train
+        first, second = (keys // width).astype(np.int32), (keys % width).astype(np.int32)
         self.first, self.second = first, second
+        del keys
         fan = np.minimum(-(-self.firsts // hot), buckets)
         own = (self.number * 2654435761 >> 7) % buckets
-        self.bucket = (own[first] + (self.number[second] * 40503 >> 3) % np.maximum(fan[first], 1)) % buckets
+        self.bucket = np.empty(len(first), np.int32)
+        self.bucket[:] = (own[first] + (self.number[second] * 40503 >> 3) % np.maximum(fan[first], 1)) % buckets
         self.asked = np.unique(before)
         self.asked = self.asked[self.firsts[self.asked] > 0]
         some = fan[self.asked]
@@ -273,7 +277,7 @@ def _scores(pairs: _Pairs, replies: list[dict], model: Unigrams, discounts: Disc
     return np.log10(p)
 
 
-def score(docs: DataFrame, size: int = 3_000_000, per_bucket: int = 2_000_000) -> DataFrame:
+def score(docs: DataFrame, size: int = 1_500_000, per_bucket: int = 2_000_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document.
 
     Learned from documents whose crc32 of the id is not 1 modulo 5, those without an id among them. A null text counts
