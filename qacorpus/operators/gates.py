@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +35,7 @@ def explicit_refusal(text: Column, lang: Column, window: int = 160) -> Column:
     """Whether a refusal stands in the first characters, without accents and with plain apostrophes."""
     start = normalize_lexical(F.translate(F.substring(text, 1, window), "’", "'"))
     plain = lambda x: [p.replace("ę", "e").replace("ć", "c").replace("ó", "o").replace("ż", "z").replace("ą", "a") for p in lists.EXPLICIT_REFUSALS[x]]
-    return _by_lang(lang, lambda x: F.exists(_array(plain(x)), lambda p: F.contains(start, p)))
+    return _by_lang(lang, lambda x: reduce(lambda a, p: a | F.contains(start, F.lit(p)), plain(x), F.lit(False)))
 
 
 def gate_reason(df: DataFrame) -> DataFrame:

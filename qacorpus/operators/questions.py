@@ -177,9 +177,7 @@ def matches_list(words: Column, phrases: list[str], fillers: int = 2) -> Column:
     """Whether a phrase occurs as a run of words, with at most so many other words around it."""
     padded = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
     plain = [_plain(p) for p in phrases]
-    return F.exists(
-        F.array(*[F.struct(F.lit(" " + " ".join(p) + " ").alias("p"), F.lit(len(p)).alias("n")) for p in plain]), lambda x: F.contains(padded, x["p"]) & (F.size(words) - x["n"] <= fillers)
-    )
+    return reduce(lambda a, p: a | (F.contains(padded, F.lit(" " + " ".join(p) + " ")) & (F.size(words) <= len(p) + fillers)), plain, F.lit(False))
 
 
 def strip_greeting(text: Column, lang: Column) -> Column:
@@ -188,10 +186,14 @@ def strip_greeting(text: Column, lang: Column) -> Column:
     low = strip_accents(F.lower(stripped))
 
     def of(x: str) -> Column:
-        phrases = F.array(*[F.struct(F.lit(strip_py(p)).alias("p"), F.lit(len(p)).alias("n")) for p in lists.GREETINGS[x]])
-        fits = F.filter(phrases, lambda g: low.startswith(g["p"]) & ~F.substring(stripped, g["n"] + 1, F.lit(1)).rlike(r"^\p{L}"))
-        rest = strip(F.regexp_replace(F.substring(stripped, fits[0]["n"] + 1, F.length(stripped)), r"^[ ,:;\-]+", ""))
-        return F.when((F.size(fits) > 0) & (F.size(long_words(rest)) >= 2), rest)
+        out = None
+        for phrase in lists.GREETINGS[x]:
+            n = len(phrase)
+            fits = low.startswith(strip_py(phrase)) & ~F.substring(stripped, n + 1, 1).rlike(r"^\p{L}")
+            rest = strip(F.regexp_replace(F.substring(stripped, F.lit(n + 1), F.length(stripped)), r"^[ ,:;\-]+", ""))
+            found = F.when(F.size(long_words(rest)) >= 2, rest)
+            out = F.when(fits, found) if out is None else out.when(fits, found)
+        return out
 
     return _by_lang(lang, of)
 

@@ -302,14 +302,14 @@ query(
 
 
 def _golden(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The articles that hold a benchmark item, joined on each line of the item that has ten words at least, then checked."""
+    """The articles that hold a benchmark item: joined on a run of five of its words, then checked."""
     items = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("item"))
-    rows = whole_chunks(spark, sf_dir)
     words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
-    five = lambda c: F.array_distinct(F.transform(F.when(F.size(words(c)) >= 5, F.sequence(F.lit(1), F.size(words(c)) - 4)).otherwise(F.array().cast("array<int>")), lambda i: F.xxhash64(F.array_join(F.slice(words(c), i, 5), " "))))
-    keys = items.select("query_id", "item", five(F.regexp_replace("item", r"^\S+\s+|\s+\S+$", ""))[0].alias("key"))
-    near = rows.select("chunk_id", "url", F.col("lang").alias("set"), "text", F.explode(five(F.col("text"))).alias("key")).join(keys, "key")
-    return near.filter(F.contains("text", F.col("item"))).select("query_id", "set", "url").distinct()
+    run = lambda i: F.xxhash64(F.array_join(F.slice("w", i, 5), " "))
+    keys = items.withColumn("w", words(F.col("item"))).select("query_id", "item", run(F.lit(2)).alias("key"))
+    rows = whole_chunks(spark, sf_dir).select("chunk_id", "url", F.col("lang").alias("set"), "text", words(F.col("text")).alias("w")).filter(F.size("w") >= 5)
+    runs = rows.select("chunk_id", "url", "set", "text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 4), run))).alias("key"))
+    return runs.join(keys, "key").filter(F.contains("text", F.col("item"))).select("query_id", "set", "url").distinct()
 
 
 query("r16_sweep", ", s AS (SELECT CASE WHEN event_type IN ('view', 'click') THEN 'golden' ELSE 'ood' END AS set, value AS score FROM events) SELECT t AS threshold, count(*) FILTER (set = 'golden' AND score < t) AS false_refusals, count(*) FILTER (set = 'ood' AND score < t) AS cut, count(*) FILTER (score >= t) AS judge_calls FROM s, (VALUES (5.0), (20.0), (80.0)) v(t) GROUP BY 1")(
@@ -372,7 +372,7 @@ query("g06_features")(
 # --- forum classifier: the language of a document as its class
 
 _FOLD = r"""CASE WHEN p < 70 THEN 'uczenie' WHEN p < 85 THEN 'kalibracja' ELSE 'test' END"""
-_FOLDED = rf""", n AS (SELECT doc_id AS query_id, lang AS class, source AS board, body AS text, trim(regexp_replace(strip_accents(lower(title)), '\s+', ' ', 'g')) AS t, title FROM articles),
+_FOLDED = rf""", n AS (SELECT doc_id AS query_id, lang AS class, body AS text, trim(regexp_replace(strip_accents(lower(title)), '\s+', ' ', 'g')) AS t, title FROM articles),
   h AS (SELECT *, list_reduce(list_prepend(0, list_transform(string_split(sha1(t), ''), lambda d: instr('0123456789abcdef', d) - 1)), lambda r, d: (r * 16 + d) % 100) AS p FROM n), f AS (SELECT * EXCLUDE (p, t), {_FOLD} AS fold FROM h)"""
 query("m03_folds", _FOLDED + " SELECT query_id, fold FROM f")(lambda spark, sf_dir: _bank(spark, sf_dir).select("query_id", "fold"))
 
@@ -399,7 +399,7 @@ _SCORED = (
     _WEIGHTS
     + f""", l AS (SELECT query_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '{WORDS}'), lambda x: length(x) >= 4))) AS lemma FROM f), s AS (SELECT query_id, class, sum(z) AS score FROM l JOIN weights USING (lemma) GROUP BY 1, 2),
   a AS (SELECT f.query_id, f.class AS truth, f.fold, n2.class, round(coalesce(s.score, 0), 9) AS score FROM f CROSS JOIN n2 LEFT JOIN s ON s.query_id = f.query_id AND s.class = n2.class),
-  points AS (SELECT query_id, truth, fold, class, score, round(score - coalesce(lead(score) OVER o, 0), 9) AS margin FROM a QUALIFY row_number() OVER o = 1 WINDOW o AS (PARTITION BY query_id ORDER BY score DESC, class DESC))"""
+  points AS (SELECT query_id, truth, fold, class, score, round(score - coalesce(lead(score) OVER o, 0), 9) AS margin FROM a WINDOW o AS (PARTITION BY query_id ORDER BY score DESC, class DESC) QUALIFY row_number() OVER o = 1)"""
 )
 query("m05_classified", _SCORED + " SELECT query_id, class, round(score, 4) AS score, round(margin, 4) AS margin FROM points")(
     lambda spark, sf_dir: M.classify(_bank(spark, sf_dir), _weights(spark, sf_dir)).select("query_id", "class", F.round("score", 4).alias("score"), F.round("margin", 4).alias("margin"))

@@ -37,7 +37,12 @@ def _in_order(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
     return pd.concat(list(batches)).sort_values(["t", "seq"], kind="stable")
 
 
-def stream_admit(df: DataFrame, key: str, per_min: int, per_day: int) -> DataFrame:
+def _expire(state: GroupState, last: float) -> None:
+    """A key's state goes once the watermark is a day past its last row."""
+    state.setTimeoutTimestamp(max(int(last * 1000) + DAY_MS, state.getCurrentWatermarkMs() + 1))
+
+
+def stream_admit(df: DataFrame, key: str, per_min: int, per_day: int, late: str = "1 hour") -> DataFrame:
     """admit_requests() live: the accepted times of the last day are a key's state, dropped a day after the last."""
 
     def of(k, batches, state: GroupState):
@@ -48,14 +53,14 @@ def stream_admit(df: DataFrame, key: str, per_min: int, per_day: int) -> DataFra
         rows = _in_order(batches)
         admitted = [limit.admit(t) for t in rows["t"]]
         state.update((list(limit.times),))
-        state.setTimeoutDuration(DAY_MS)
+        _expire(state, rows["t"].max())
         yield pd.DataFrame({"key": k[0], "seq": rows["seq"].to_numpy(), "admitted": admitted})
 
-    rows = df.select(F.col(key).cast("string").alias("key"), "seq", (F.unix_micros("ts") / 1e6).alias("t"))
-    return rows.groupBy("key").applyInPandasWithState(of, "key string, seq long, admitted boolean", "times array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    rows = df.withWatermark("ts", late).select(F.col(key).cast("string").alias("key"), "seq", "ts", (F.unix_micros("ts") / 1e6).alias("t"))
+    return rows.groupBy("key").applyInPandasWithState(of, "key string, seq long, admitted boolean", "times array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def stream_cooldown(df: DataFrame, seconds: int = 600) -> DataFrame:
+def stream_cooldown(df: DataFrame, seconds: int = 600, late: str = "1 hour") -> DataFrame:
     """address_cooldown() live: the time until which an address is blocked is its state."""
 
     def of(k, batches, state: GroupState):
@@ -66,11 +71,11 @@ def stream_cooldown(df: DataFrame, seconds: int = 600) -> DataFrame:
         rows = _in_order(batches)
         accepted, until = fold_cooldown(list(zip(rows["t"], rows["outcome"], rows["correction"])), until, seconds)
         state.update((until,))
-        state.setTimeoutDuration(DAY_MS)
+        _expire(state, rows["t"].max())
         yield pd.DataFrame({"address": k[0], "seq": rows["seq"].to_numpy(), "accepted": accepted})
 
-    rows = df.select(F.lower("email").alias("address"), "seq", (F.unix_micros("ts") / 1e6).alias("t"), "outcome", F.coalesce("correction", F.lit(False)).alias("correction"))
-    return rows.groupBy("address").applyInPandasWithState(of, "address string, seq long, accepted boolean", "until double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    rows = df.withWatermark("ts", late).select(F.lower("email").alias("address"), "seq", "ts", (F.unix_micros("ts") / 1e6).alias("t"), "outcome", F.coalesce("correction", F.lit(False)).alias("correction"))
+    return rows.groupBy("address").applyInPandasWithState(of, "address string, seq long, accepted boolean", "until double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_gate_signal(df: DataFrame, key: str, window: int = 50, threshold: float = 0.2) -> DataFrame:
