@@ -154,7 +154,7 @@ def collapse_markdown_links(text: Column) -> Column:
     return F.regexp_replace(text, rf"\[\s*([^\[\]]*[^\[\]\s])\s*{tail}", "$1")
 
 
-_HEADING = r"(?i)^[ \t]*#{0,6}[ \t]*[*_]{0,2}[ \t]*(?:źródła|źródło|zrodla|zrodlo|sources|source|references|bibliografia)[ \t]*:?[ \t]*[*_]{0,2}[ \t]*:?[ \t]*(?:\[\d+\][ \t]*,?[ \t]*)*$"
+_HEADING = r"(?iu)^[ \t]*#{0,6}[ \t]*[*_]{0,2}[ \t]*(?:źródła|źródło|zrodla|zrodlo|sources|source|references|bibliografia)[ \t]*:?[ \t]*[*_]{0,2}[ \t]*:?[ \t]*(?:\[\d+\][ \t]*,?[ \t]*)*$"
 _LISTED = r"^[ \t]*(?:[-*+][ \t]+|\d+[.)][ \t]+)?[*_]{0,2}\[\d+\]"
 
 

@@ -65,7 +65,7 @@ def parse_frontmatter(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     parts = F.split("value", "---", 3)
     lines = F.filter(F.transform(F.split(F.get(parts, 1), "\n"), strip), lambda x: x != "")
-    good = (F.size(parts) == 3) & F.forall(lines, lambda x: x.rlike(r"^[A-Za-z_]\w*:(\s|$)"))
+    good = (F.size(parts) == 3) & F.forall(lines, lambda x: x.rlike(r"^[A-Za-z_]\w*:(?:\s|$)"))
     bare = lambda v: F.regexp_replace(strip(v), r"""^(["'])(.*)\1$""", "$2")
     pairs = F.transform(lines, lambda x: F.struct(F.regexp_extract(x, r"^(\w+):", 1).alias("k"), bare(F.regexp_replace(x, r"^\w+:", "")).alias("v")))
     whole = files.withColumn("meta", F.when(F.coalesce(good, F.lit(False)), F.map_from_entries(pairs))).withColumn("body", strip(F.get(parts, 2)))
@@ -75,7 +75,7 @@ def parse_frontmatter(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def read_frontmatter_docs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(folder)
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(folder, wholetext=True)
     return parse_frontmatter(files.select(F.col("_metadata.file_path").alias("path"), "value"))
 
 
