@@ -472,3 +472,16 @@ query("w06_signal")(lambda spark, sf_dir: _finished(W.stream_gate_signal(_stream
 query("w08_dedup", " SELECT count(DISTINCT user_id * 1000 + epoch_us(ts) % 1000) AS n FROM events")(
     lambda spark, sf_dir: _finished(W.stream_dedup(_stream(spark, sf_dir).select("ts", (F.col("user_id") * 1000 + F.unix_micros("ts") % 1000).alias("h")), ["h"], "400 days"), "dedup").agg(F.count(F.lit(1)).alias("n"))
 )
+query("w07_rating_cases", f", log AS ({views.LOG}) SELECT r.id_zapytania, r.ocena, q.wynik, q.powod FROM log r JOIN log q ON r.typ = 'ocena' AND q.typ IS NULL AND q.id = r.id_zapytania AND q.ts <= r.ts AND q.ts >= r.ts - INTERVAL 7 DAY")(
+    lambda spark, sf_dir: _finished(W.stream_rating_cases(_stream(spark, sf_dir)).filter("found").select("id_zapytania", "ocena", "wynik", "powod"), "cases")
+)
+query("s01_parsed_log", f", log AS ({views.LOG}) SELECT id, typ, czas, wynik, CASE WHEN seq % 5 > 0 THEN latencja_s END AS latencja_s, cache_hit, tokeny_we FROM log")(lambda spark, sf_dir: _parsed(spark, sf_dir))
+
+
+def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log as JSON lines and back; every fifth latency is no number, and blank and broken lines lie between."""
+    rows = views.log(spark, sf_dir).drop("ts")
+    line = F.to_json(F.struct(*[c for c in rows.columns if c not in ("latencja_s", "koszt_usd")], F.when(F.col("seq") % 5 > 0, F.col("latencja_s")).alias("latencja_s")))
+    line = F.when((F.col("seq") % 5 == 0), F.regexp_replace(line, r"}$", ',"latencja_s":true}')).otherwise(line)
+    lines = rows.select(F.explode(F.array(line, F.lit(""), F.lit("{broken"))).alias("value"))
+    return io.parse_log(lines).select("id", "typ", "czas", "wynik", "latencja_s", "cache_hit", "tokeny_we")
