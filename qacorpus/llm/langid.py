@@ -1,5 +1,6 @@
 """Language of words and documents by a linear-chain conditional random field (operator 8)."""
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -225,7 +226,7 @@ def fit(docs: DataFrame, per_label: int = 800, longest: int = 10_000, **how) ->
     """Learns from documents with text and lang that aren't held out.
 
     The shares of languages come from all of these documents. The weights come from a bounded sample: of each language
-    the `per_label` documents that come first by a hash of id and text, among those of at most `longest` characters.
+    up to `per_label` documents of at most `longest` characters, chosen by a hash of id and text.
     """
     known = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(4, 2))
     shares = {r.lang: r.n for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -235,8 +236,17 @@ def fit(docs: DataFrame, per_label: int = 800, longest: int = 10_000, **how) ->
         spread = spread | ((F.col("lang") == lang) & (F.pmod(order, F.lit(n)) < 4 * per_label))
     first = Window.partitionBy("lang").orderBy(order, "doc_id")
     near = known.filter((F.length("text") <= longest) & spread).select("doc_id", "lang", "text")
-    sample = near.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= per_label).select("text", "lang").orderBy("lang", "text").collect()
-    return train([r.text for r in sample], [r.lang for r in sample], {k: n / total for k, n in shares.items()}, **how)
+    sample = near.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= per_label).select("text", "lang")
+    shares = {k: n / total for k, n in shares.items()}
+
+    def of(batches):
+        rows = sorted((x, t) for batch in batches for t, x in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()))
+        field = train([t for _, t in rows], [x for x, _ in rows], shares, **how)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(field)], pa.binary())], names=["field"])
+
+    # one task trains, on the bounded sample; what the driver gets has the size of the weights
+    found = sample.repartition(1).mapInArrow(of, "field binary").first()
+    return pickle.loads(found.field) if found else train([], [], shares, **how)
 
 
 def predict(docs: DataFrame, field: Field) -> DataFrame:
