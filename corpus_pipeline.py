@@ -18,7 +18,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def language_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which one language has at least half of the words' probability; those without letters go."""
+    """Documents of which one language has at least 0.4 of the words' probability, so that texts in two languages stay; those without letters go."""
     return langid.identified(docs).select(*COLUMNS)
 
 

@@ -279,7 +279,7 @@ def label_words(docs: DataFrame, field: Field) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(of, "doc_id long, position long, word string, lang string, p double")
 
 
-def identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
+def identified(docs: DataFrame, least: float = 0.4) -> DataFrame:
     """The documents, as they are, of which some language has a score of at least `least`; learned from themselves."""
     field = docs.sparkSession.sparkContext.broadcast(fit(docs))
 
