@@ -31,7 +31,7 @@ def _chunk(number: int, docs: list, held: list, sizes: list, words: list[np.ndar
     return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([docs], pa.list_(pa.int64())), *(pa.array([x], pa.binary()) for x in blobs)], names=["chunk", "docs", "held", "sizes", "vocabulary", "counts", "tokens"])
 
 
-def chunks(docs: DataFrame, size: int = 1_500_000) -> DataFrame:
+def chunks(docs: DataFrame, size: int = 750_000) -> DataFrame:
     """Documents as word numbers: some `size` tokens to a row, with the 64-bit hashes of its words in order.
 
     The texts' A-Z become small, words lie between ASCII white space, and each text has one end token.
@@ -277,7 +277,7 @@ def _scores(pairs: _Pairs, replies: list[dict], model: Unigrams, discounts: Disc
     return np.log10(p)
 
 
-def score(docs: DataFrame, size: int = 1_500_000, per_bucket: int = 2_000_000) -> DataFrame:
+def score(docs: DataFrame, size: int = 750_000, per_bucket: int = 1_000_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document.
 
     Learned from documents whose crc32 of the id is not 1 modulo 5, those without an id among them. A null text counts
