@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,13 +24,19 @@ def idf_table(chunks: DataFrame, table: Column | None = None) -> tuple[DataFrame
     return counts.withColumn("idf", F.log((F.lit(1) + n) / (F.lit(1) + F.col("df")))), total.withColumn("idf_max", F.log1p("n"))
 
 
-def bm25_index(chunks: DataFrame, sides: Column | None = None, table: Column | None = None, epsilon: float = 0.25) -> tuple[DataFrame, DataFrame, DataFrame]:
+def bm25_index(chunks: DataFrame, sides: Column | None = None, table: Column | None = None, epsilon: float = 0.25, store: Callable[[DataFrame, str], DataFrame] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(postings, lengths, terms) of Okapi indexes by side: (side, token, chunk_id, tf), (side, chunk_id, len, avg_len)
-    and (side, token, df, idf). A negative idf becomes epsilon times the side's mean idf."""
-    rows = chunks.select("chunk_id", (sides if sides is not None else F.lit("all")).alias("side"), lexical_tokens(F.concat_ws("\n", "title", "text"), table).alias("tokens"))
-    lengths = rows.select("side", "chunk_id", F.size("tokens").alias("len"))
+    and (side, token, df, idf). A negative idf becomes epsilon times the side's mean idf.
+
+    All three come from the postings; store(df, name) writes them once, so that texts are split once.
+    """
+    rows = chunks.select("chunk_id", (sides if sides is not None else F.lit("all")).alias("side"), F.concat_ws("\n", "title", "text").alias("text"))
+    postings = rows.select("side", "chunk_id", F.explode(lexical_tokens(F.col("text"), table)).alias("token")).groupBy("side", "token", "chunk_id").agg(F.count(F.lit(1)).alias("tf"))
+    if store is not None:
+        postings = store(postings, "postings")
+    counted = postings.groupBy("chunk_id").agg(F.sum("tf").alias("len"))
+    lengths = rows.select("side", "chunk_id").join(counted, "chunk_id", "left").withColumn("len", F.coalesce("len", F.lit(0)))
     means = lengths.groupBy("side").agg(F.avg("len").alias("avg_len"), F.count(F.lit(1)).alias("n"))  # a row per side
-    postings = rows.select("side", "chunk_id", F.explode("tokens").alias("token")).groupBy("side", "token", "chunk_id").agg(F.count(F.lit(1)).alias("tf"))
     raw = postings.groupBy("side", "token").agg(F.count(F.lit(1)).alias("df")).join(means, "side")
     raw = raw.withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     floor = raw.groupBy("side").agg((F.avg("idf") * epsilon).alias("floor"))

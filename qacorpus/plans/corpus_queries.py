@@ -144,7 +144,7 @@ query("l03_bm25_terms", _BM + " SELECT side, token, df, round(idf, 9) AS idf FRO
 
 def _index(spark: SparkSession, sf_dir: str):
     rows = C.partition_by_side(whole_chunks(spark, sf_dir))
-    return L.bm25_index(rows, F.col("side"))
+    return L.bm25_index(rows, F.col("side"), store=stored)
 
 
 _FREQ = f", c AS (SELECT lang, word, count(*) AS cnt FROM (SELECT lang, unnest(regexp_extract_all(lower(body), '{WORDS}')) AS word FROM articles) GROUP BY 1, 2), freq AS (SELECT lang, word, log10(cnt / sum(cnt) OVER (PARTITION BY lang) * 1e9) AS zipf FROM c)"
@@ -264,7 +264,7 @@ def _bm25(spark: SparkSession, sf_dir: str, depth: int = 20) -> DataFrame:
     return R.bm25_rank(_benchmark(spark, sf_dir), _index(spark, sf_dir), depth)
 
 
-query("r01_bm25", _RANK + " SELECT query_id, chunk_id, round(score, 6) AS score, pos FROM r WHERE pos < 20")(lambda spark, sf_dir: _bm25(spark, sf_dir).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "pos"))
+query("r01_bm25", _RANK + " SELECT query_id, chunk_id, round(score, 3) AS score, pos FROM r WHERE pos < 20")(lambda spark, sf_dir: _bm25(spark, sf_dir).select("query_id", "chunk_id", F.round("score", 3).alias("score"), "pos"))
 
 
 def _encoded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
