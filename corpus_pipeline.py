@@ -23,8 +23,11 @@ def language_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def site_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the boilerplate lines of their source; n_chars follows the text."""
-    lines = line_dedup.drop_lines(docs, "source")
+    """All documents, without the boilerplate lines of their source; n_chars follows the text.
+
+    Copies of a text count once, for the next stage is to find them by their content.
+    """
+    lines = line_dedup.drop_lines(docs, "source", copies_once=True)
     return lines.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 

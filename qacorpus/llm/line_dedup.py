@@ -29,14 +29,15 @@ def _bare(line: Column) -> Column:
     return F.btrim(line, F.lit(" \t\n\x0b\f\r"))
 
 
-def drop_lines(docs: DataFrame, site: str | Column, text: str = "text", ratio: float = 0.05, least: int = 3) -> DataFrame:
+def drop_lines(docs: DataFrame, site: str | Column, text: str = "text", ratio: float = 0.05, least: int = 3, copies_once: bool = False) -> DataFrame:
     """docs with the boilerplate lines of each site taken out of the text, and their numbers as n_lines and n_dropped.
 
     A line is boilerplate on a site if more than `ratio` of the site's rows, and at least `least` rows, contain it,
     compared without the white space at its ends (by a 64-bit hash). Repeats within a row count once; blank lines are
     never boilerplate; lines stay in order and as they are. Rows without a site are one site. A null text stays null
     and has no lines, and counts among its site's rows; a row that loses every line has an empty text. Repeated rows
-    count each. Columns n_lines and n_dropped of docs are replaced.
+    count each; with `copies_once` equal texts of a site (by their length and a 64-bit hash) are one row in both counts,
+    so that copies of a text don't make its lines boilerplate. Columns n_lines and n_dropped of docs are replaced.
 
     A site has at most its mean number of lines over `ratio` of such lines, however many rows it has, so one array per
     site carries them; counts are summed before they are shuffled, by site and line, and the join is split where a
@@ -45,10 +46,11 @@ def drop_lines(docs: DataFrame, site: str | Column, text: str = "text", ratio: f
     site = F.coalesce(F.col(site) if isinstance(site, str) else site, F.lit(""))
     docs = docs.drop("n_lines", "n_dropped")
     lines = F.split(F.col(text), "\n")
-    rows = docs.select(site.alias("site"), lines.alias("lines"))
-    per_line = (
-        rows.select("site", F.explode(F.array_distinct(F.transform(F.filter("lines", lambda x: _bare(x) != ""), lambda x: F.xxhash64(_bare(x))))).alias("line")).groupBy("site", "line").agg(F.count(F.lit(1)).alias("with_line"))
-    )
+    hashes = F.array_distinct(F.transform(F.filter(lines, lambda x: _bare(x) != ""), lambda x: F.xxhash64(_bare(x))))
+    rows = docs.select(site.alias("site"), F.xxhash64(text).alias("text_hash"), F.length(text).alias("size"), hashes.alias("lines"))
+    if copies_once:  # summed per task before the shuffle; a text's row has only the hashes of its lines
+        rows = rows.groupBy("site", "text_hash", "size").agg(F.first("lines").alias("lines"))
+    per_line = rows.select("site", F.explode("lines").alias("line")).groupBy("site", "line").agg(F.count(F.lit(1)).alias("with_line"))
     totals = rows.groupBy("site").agg(F.count(F.lit(1)).alias("total"))
     often = per_line.filter(F.col("with_line") >= least).join(totals, "site").filter(F.col("with_line") > ratio * F.col("total"))
     by_site = stored(often.groupBy("site").agg(F.collect_set("line").alias("often")), "lines")

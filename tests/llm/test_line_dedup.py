@@ -33,6 +33,13 @@ def test_against_brute_force(spark):
     assert L.drop_lines(df.filter("false"), "source").count() == 0
 
 
+def test_copies_count_once(spark):
+    rows = [("a", f"menu\nown {i}\n") for i in range(4)] + [("a", "long copy\nof two lines")] * 4 + [("b", "long copy\nof two lines")] + [("a", None)] * 2 + [("b", "x"), ("b", " x"), ("b", "x ")]
+    df = spark.createDataFrame([(i, s, t) for i, (s, t) in enumerate(rows)], "doc_id long, source string, text string").repartition(3)
+    got = {r.doc_id: r.text for r in L.drop_lines(df, "source", ratio=0.5, least=3, copies_once=True).collect()}
+    assert [got[i] for i in range(len(rows))] == [f"own {i}\n" for i in range(4)] + ["long copy\nof two lines"] * 5 + [None] * 2 + [""] * 3
+
+
 def test_pages(spark):
     html = "<html><head><title>t</title></head><body><nav><ul><li>Home</li></ul></nav><!-- x --><p>One <b>two</b>\n three<script>var a='<p>';</script></p><br>end</body></html>"
     df = spark.createDataFrame([("HTTP://u@WWW.x.Org:80/a", html), ("/no", None)], "url string, html string")

@@ -44,3 +44,14 @@ def test_stages_on_odd_tables(spark):
             out = stage(spark, rows, SF)
             assert out.count() <= 2 * rows.count() + 1 and (k == 4 or out.columns == P.COLUMNS)
     assert jaccard_join.keep_one(df).filter("doc_id = 3").count() == 1 and line_dedup.drop_lines(df, "source").count() == 5
+
+
+def test_a_large_group_of_copies_keeps_one(spark):
+    menu, copy, small = "menu of the site\n", "\n".join(f"line {k} of the text that was copied again" for k in range(6)), "three copies\nin a source of few rows"
+    rows = [(i, copy if i % 3 == 0 else menu + " ".join(f"word{i}x{k}" for k in range(30)), "s") for i in range(90)]
+    rows += [(100, small, "t"), (101, small, "t"), (102, small, "t"), (103, "another text of the small source", "t")]
+    df = spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    lined = P.site_lines(spark, df, SF)
+    assert {r.doc_id: r.text for r in lined.collect()} == {i: t.removeprefix(menu) for i, t, _ in rows}
+    kept = {r.doc_id: r.text for r in P.near_duplicates(spark, lined, SF).collect()}
+    assert set(kept) == {0, 100, 103} | {i for i in range(90) if i % 3} and kept[0] == copy and kept[100] == small
