@@ -155,8 +155,9 @@ class Field:
 def train(texts: list[str], langs: list[str], shares: dict[str, float], window: int = 32, most: int = 12_000, listed: int = 1000, rounds: int = 40, rate: float = 0.3, decay: float = 1e-5) -> Field:
     """Learns weights and transitions by gradient ascent (Adagrad) on the likelihood of windows of words.
 
-    Windows come from the texts in turn; to half of them the beginning of a window of another language is joined, so
-    that transitions learn from code-switched text. At most `most` windows are used.
+    Texts are cut into windows; the last of a text has what words are left, so that short texts and the tails of texts
+    count. To half of them the beginning of another window is joined, so that transitions learn from code-switched
+    text. At most `most` windows are used, from all labels in turn.
     """
     labels = sorted(shares)
     prior = np.log(np.array([shares[x] for x in labels]))
@@ -172,17 +173,25 @@ def train(texts: list[str], langs: list[str], shares: dict[str, float], window:
                 lexicon[names[w]] = lexicon.get(names[w], 0) | 1 << k
     field = Field(labels, np.zeros((PLACES, len(labels))), lexicon, np.zeros((len(labels), len(labels))), np.zeros((len(labels), len(labels))), prior)
     sizes = np.bincount(doc, minlength=len(texts)) if len(doc) else np.zeros(len(texts), np.int64)
-    begins = np.concatenate([np.arange(a, a + n - window + 1, window) for a, n in zip(np.cumsum(sizes) - sizes, sizes)]).astype(np.int64) if len(doc) else np.zeros(0, np.int64)
+    pieces = -(-sizes // window)
+    begins = np.repeat(np.cumsum(sizes) - sizes, pieces) + window * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+    ends = np.repeat(np.cumsum(sizes), pieces)
     rnd = np.random.default_rng(7)
-    begins = rnd.permutation(begins)[:most]
+    drawn = rnd.permutation(len(begins))
+    turn = np.zeros(len(begins), np.int64)
+    for k in range(len(labels)):
+        own = np.flatnonzero(y_of[doc[begins[drawn]]] == k)
+        turn[own] = np.arange(len(own))
+    drawn = drawn[np.argsort(turn, kind="stable")[:most]]
+    begins, length = begins[drawn], np.minimum(ends[drawn] - begins[drawn], window)
     if not len(begins) or len(labels) < 2:
         return field
-    x = place[begins[:, None] + np.arange(window)]
-    y = np.broadcast_to(y_of[doc[begins]][:, None], x.shape).copy()
-    other = rnd.permutation(len(x))
-    cut = np.where(rnd.random(len(x)) < 0.5, rnd.integers(2, window - 1, len(x)), 0)
-    early = np.arange(window)[None, :] < cut[:, None]
-    x, y = np.where(early, x[other], x), np.where(early, y[other], y)
+    other = rnd.permutation(len(begins))
+    cut = np.where(rnd.random(len(begins)) < 0.5, np.minimum(rnd.integers(2, window - 1, len(begins)), length[other]), 0)[:, None]
+    at = np.arange(window)[None, :]
+    early, real = at < cut, at < cut + length[:, None]
+    source = np.where(early, begins[other][:, None] + at, begins[:, None] + np.where(real, at - cut, 0))
+    x, y = place[source], y_of[doc[source]]
     used, x = np.unique(x, return_inverse=True)
     x = x.reshape(y.shape)
     features = Features([names[w] for w in used])
@@ -190,9 +199,9 @@ def train(texts: list[str], langs: list[str], shares: dict[str, float], window:
     flags = ((bits[:, None] >> np.arange(len(labels))) & 1).astype(float)
     n, wide = y.size, len(labels)
     seen = np.zeros((n, wide))
-    seen[np.arange(n), y.ravel()] = 1
+    seen[np.arange(n), y.ravel()] = real.ravel()
     moved = np.zeros((wide, wide))
-    np.add.at(moved, (y[:, :-1].ravel(), y[:, 1:].ravel()), 1)
+    np.add.at(moved, (y[:, :-1][real[:, 1:]], y[:, 1:][real[:, 1:]]), 1)
     past = [np.full_like(v, 1e-8) for v in (field.weights, field.listed, field.moves)]
     uniform = np.zeros(wide)
     for _ in range(rounds):
@@ -202,17 +211,17 @@ def train(texts: list[str], langs: list[str], shares: dict[str, float], window:
         forward[:, 0] = np.exp(uniform) * e[:, 0]
         for s in range(window):
             if s:
-                forward[:, s] = forward[:, s - 1] @ move * e[:, s]
+                forward[:, s] = np.where(real[:, s, None], forward[:, s - 1] @ move * e[:, s], forward[:, s - 1])
             forward[:, s] /= forward[:, s].sum(1, keepdims=True)
         for s in range(window - 2, -1, -1):
-            backward[:, s] = (backward[:, s + 1] * e[:, s + 1]) @ move.T
+            backward[:, s] = np.where(real[:, s + 1, None], (backward[:, s + 1] * e[:, s + 1]) @ move.T, backward[:, s + 1])
             backward[:, s] /= backward[:, s].max(1, keepdims=True)
         p = forward * backward
-        p /= p.sum(2, keepdims=True)
+        p *= real[:, :, None] / p.sum(2, keepdims=True)
         expected = np.zeros((wide, wide))
         for s in range(1, window):
             joint = forward[:, s - 1, :, None] * move[None] * (e[:, s] * backward[:, s])[:, None, :]
-            expected += (joint / joint.sum((1, 2), keepdims=True)).sum(0)
+            expected += (joint * (real[:, s, None, None] / joint.sum((1, 2), keepdims=True))).sum(0)
         error = np.stack([np.bincount(x.ravel(), (seen - p.reshape(n, wide))[:, k], len(used)) for k in range(wide)], 1)
         slope = (np.stack([np.bincount(features.ids, error[features.word, k], PLACES) for k in range(wide)], 1), flags.T @ error, moved - expected)
         for value, total, g in zip((field.weights, field.listed, field.moves), past, slope):
@@ -226,7 +235,8 @@ def fit(docs: DataFrame, per_label: int = 800, longest: int = 10_000, **how) ->
     """Learns from documents with text and lang that aren't held out.
 
     The shares of languages come from all of these documents. The weights come from a bounded sample: of each language
-    up to `per_label` documents of at most `longest` characters, chosen by a hash of id and text.
+    up to `per_label` documents, chosen by a hash of id and text; of one with more than `longest` characters a run of so
+    many, at a place that the hash chooses, without the words that the run's ends may cut.
     """
     known = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(4, 2))
     shares = {r.lang: r.n for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -234,8 +244,11 @@ def fit(docs: DataFrame, per_label: int = 800, longest: int = 10_000, **how) ->
     spread, order = F.lit(False), F.xxhash64("doc_id", "text")
     for lang, n in shares.items():  # some four times as many as needed, so that few rows are sorted
         spread = spread | ((F.col("lang") == lang) & (F.pmod(order, F.lit(n)) < 4 * per_label))
-    first = Window.partitionBy("lang").orderBy(order, "doc_id")
-    near = known.filter((F.length("text") <= longest) & spread).select("doc_id", "lang", "text")
+    first = Window.partitionBy("lang").orderBy("order", "doc_id")
+    over = F.length("text") - longest
+    run = F.substring("text", F.pmod(order, F.greatest(over + 1, F.lit(1))).cast("int") + 1, F.lit(longest))
+    piece = F.when(over <= 0, F.col("text")).otherwise(F.coalesce(F.nullif(F.regexp_replace(run, r"^\S+\s|\s\S*$", F.lit("")), F.lit("")), run))
+    near = known.filter(spread).select("doc_id", "lang", order.alias("order"), piece.alias("text"))
     sample = near.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= per_label).select("text", "lang")
     shares = {k: n / total for k, n in shares.items()}
 

@@ -67,3 +67,19 @@ def test_nothing_to_learn(spark):
     one = spark.createDataFrame([(1, "abc def", "en")], "doc_id long, text string, lang string")
     assert [(r.lang_pred, r.score) for r in L.predict(one, L.fit(one)).collect()] == [("en", 1.0)]
     assert L.predict(df.filter("false"), L.fit(df)).count() == 0
+
+
+def test_short_and_long_texts_teach(spark):
+    rnd = random.Random(5)
+    rows = [(i, _text(rnd, lang, rnd.randint(1, 31)), lang) for i in range(300) for lang in [list(SOUNDS)[i % 3]]]
+    mixed = [(i, _text(rnd, lang, 2500 if lang == "de" else 3 if lang == "fr" else 100), lang) for i in range(90) for lang in [list(SOUNDS)[i % 3]]]
+    assert all(len(t) > 10_000 for _, t, x in mixed if x == "de")
+    for table in (rows, mixed):
+        df = spark.createDataFrame(table, "doc_id long, text string, lang string").repartition(3)
+        got, truth = L.predict(df, L.fit(df)).collect(), {i: x for i, _, x in table}
+        for lang in SOUNDS:
+            assert np.mean([r.lang_pred == lang for r in got if truth[r.doc_id] == lang and r.held_out]) > 0.9
+        assert L.identified(df).count() > 0.95 * len(table)
+    # all labels are drawn from, however few windows are used
+    field = L.train([t for _, t, _ in mixed], [x for _, _, x in mixed], {x: 1 / 3 for x in SOUNDS}, most=9)
+    assert field.predict(pa.array([_text(rnd, x, 40) for x in SOUNDS], pa.large_string()))[0] == list(SOUNDS)
