@@ -105,11 +105,24 @@ def append_embeddings(chunks: DataFrame, existing: DataFrame, encoder: Callable[
     return kept.unionByName(fresh.select("chunk_id", "sha", encoder(F.col("passage")).alias("embedding")))
 
 
-def fingerprint(df: DataFrame, order: str, columns: list[str], buckets: int = 1 << 12) -> DataFrame:
-    """One row: how many rows, and a hash of their columns in an order; of runs of rows first, then of the runs."""
-    n = df.agg(F.count(F.lit(1)), F.min(order), F.max(order)).first()
-    low, width = n[1] or 0, max(1, -(-((n[2] or 0) - (n[1] or 0) + 1) // buckets))
-    rows = df.select(F.floor((F.col(order) - low) / width).alias("run"), F.col(order).alias("at"), F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256).alias("h"))
-    joined = lambda key: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, "h"))), lambda x: x["h"]), "\n"), 256)
-    runs = rows.groupBy("run").agg(joined("at").alias("h"), F.count(F.lit(1)).alias("n"))
-    return runs.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), joined("run").alias("fingerprint"))
+def fingerprint_runs(df: DataFrame, order: str, columns: list[str], store, size: int = 1 << 12) -> DataFrame:
+    """run, place, h and n of each distinct row in an order: its hash, how often it is there, and runs of `size` ranks.
+
+    Nulls come first; rows with the same place in the order go by their hash, and equal ones are one.
+    """
+    row = F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
+    rows = df.select(F.col(order).alias("at"), row.alias("h")).groupBy("at", "h").agg(F.count(F.lit(1)).alias("n"))
+    return with_ids(rows, ["at", "h"], store).select(F.floor(F.col("chunk_id") / size).alias("run"), F.col("chunk_id").alias("place"), "h", "n")
+
+
+def fingerprint(df: DataFrame, order: str, columns: list[str], store, size: int = 1 << 12) -> DataFrame:
+    """One row: how many rows, and a hash of their columns in an order; of runs of `size` rows first, then of as many
+    runs each, level by level, until one run is left. An array has `size` entries at most."""
+    joined = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "h", "n"))), lambda x: F.concat_ws(" ", x["h"], x["n"].cast("string"))), "\n"), 256)
+    level = fingerprint_runs(df, order, columns, store, size)
+    while True:
+        level = store(level.groupBy("run").agg(joined.alias("h"), F.sum("n").alias("n")), "runs")
+        if level.count() <= size:
+            break
+        level = level.select(F.floor(F.col("run") / size).alias("run"), F.col("run").alias("place"), "h", "n")
+    return level.withColumnRenamed("run", "place").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), joined.alias("fingerprint"))

@@ -77,7 +77,7 @@ query("c19_content_sha", "SELECT doc_id, sha1(title || chr(10) || body) AS sha,
 query("c18_unit_vectors", "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x)) / list_sum(list_transform(embedding, lambda x: x::DOUBLE * x)), 6) AS norm FROM embeddings")(
     lambda spark, sf_dir: read(spark, sf_dir, "embeddings").select("vec_id", F.round(F.aggregate(T.l2_normalize(F.transform("embedding", lambda x: x.cast("double"))), F.lit(0.0), lambda a, x: a + x * x), 6).alias("norm"))
 )
-query("c21_fingerprint")(lambda spark, sf_dir: C.fingerprint(read(spark, sf_dir, "documents"), "doc_id", ["text", "lang", "source"]))
+query("c21_fingerprint")(lambda spark, sf_dir: C.fingerprint(read(spark, sf_dir, "documents"), "doc_id", ["text", "lang", "source"], stored))
 query("c05_ids", "SELECT doc_id, section, row_number() OVER (ORDER BY section, doc_id) - 1 AS chunk_id FROM articles")(
     lambda spark, sf_dir: C.with_ids(views.articles(spark, sf_dir).select("doc_id", "section"), ["section", "doc_id"], stored)
 )

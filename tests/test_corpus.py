@@ -11,6 +11,7 @@ from qacorpus.operators import lexstats as L
 from qacorpus.operators import pages as P
 from qacorpus.operators import questions as Q
 from qacorpus.operators import retrieval as R
+from qacorpus.plans.scratch import stored
 from qacorpus.sources import io
 
 
@@ -155,3 +156,16 @@ def test_quantiles_and_grid(spark):
         passed = [x for x in rows if x[1] >= ts and x[2] >= tm]
         assert (r.tau_score, r.tau_margin, r.covered) == (ts, tm, len(passed))
         assert r.precision == round(sum(x[3] for x in passed) / len(passed), 4) if passed else r.precision == 0
+
+
+def test_fingerprint_of_odd_ids(spark):
+    rows = [(i, f"text {i}") for i in range(300)] + [(10**15, "outlying")] + [(None, f"null {i % 90}") for i in range(200)] + [(7, "text 7")]
+    df = spark.createDataFrame(rows, "id long, text string")
+    runs = C.fingerprint_runs(df, "id", ["text"], stored, size=8)
+    assert max(r["count"] for r in runs.groupBy("run").count().collect()) == 8 and runs.count() == 391
+    prints = {tuple(C.fingerprint(x, "id", ["text"], stored, size=8).first()) for x in (df.repartition(1), df.repartition(5), df.orderBy(F.desc("text")))}
+    assert len(prints) == 1 and {n for n, _ in prints} == {len(rows)}
+    _, same = prints.pop()
+    for other in (rows[:-1], [*rows[:299], (299, "other"), *rows[300:]]):
+        assert C.fingerprint(spark.createDataFrame(other, df.schema), "id", ["text"], stored, size=8).first().fingerprint != same
+    assert C.fingerprint(df.filter("false"), "id", ["text"], stored).first().n == 0
