@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from html.parser import HTMLParser
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -103,19 +104,21 @@ def first_category_per_url(df: DataFrame) -> DataFrame:
     return df.groupBy("url").agg(F.min("category").alias("category"))
 
 
-def discover_reachable(edges: DataFrame, seeds: DataFrame, store, rounds: int = 1000) -> DataFrame:
-    """(slug, depth) of all that edges (src, dst) lead to from seeds (slug), by rounds of unvisited targets.
+def discover_reachable(edges: DataFrame, seeds: DataFrame, store, rounds: int | None = None) -> DataFrame:
+    """(slug, depth) of all that edges (src, dst) lead to from seeds (slug), by rounds of unvisited targets until none is left.
 
     store(df, name) writes a table to the shared folder and reads it back, so that lineage doesn't grow with rounds.
+    With `rounds`, targets that are left after so many fail the call.
     """
     visited = frontier = store(seeds.select("slug").distinct().withColumn("depth", F.lit(0)), "seen")
-    for depth in range(1, rounds):
+    for depth in count(1):
         reached = frontier.join(edges, frontier.slug == edges.src).select(F.col("dst").alias("slug")).distinct()
         frontier = store(reached.join(visited, "slug", "left_anti").withColumn("depth", F.lit(depth)), "seen")
         if frontier.isEmpty():
-            break
+            return visited
+        if rounds is not None and depth > rounds:
+            raise ValueError(f"more than {rounds} rounds")
         visited = visited.union(frontier)
-    return visited
 
 
 def assign_section(links: DataFrame, mapping: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

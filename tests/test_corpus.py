@@ -169,3 +169,15 @@ def test_fingerprint_of_odd_ids(spark):
     for other in (rows[:-1], [*rows[:299], (299, "other"), *rows[300:]]):
         assert C.fingerprint(spark.createDataFrame(other, df.schema), "id", ["text"], stored, size=8).first().fingerprint != same
     assert C.fingerprint(df.filter("false"), "id", ["text"], stored).first().n == 0
+
+
+def test_reachable_never_ends_early_in_silence(spark):
+    edges = spark.createDataFrame([(str(i), str(i + 1)) for i in range(4)], "src string, dst string")
+    seeds = spark.createDataFrame([("0",)], "slug string")
+    want = [(str(i), i) for i in range(5)]
+    assert _rows(P.discover_reachable(edges, seeds, stored), "slug", "depth") == want == _rows(P.discover_reachable(edges, seeds, stored, 4), "slug", "depth")
+    try:
+        P.discover_reachable(edges, seeds, stored, 3)
+    except ValueError:
+        return
+    raise AssertionError("slugs were lost")
