@@ -99,3 +99,32 @@ def pack(values: np.ndarray) -> bytes:
 def unpack(data: bytes) -> np.ndarray:
     raw = zlib.decompress(data[1:])
     return np.frombuffer(raw, "<f8") if data[:1] == b"f" else np.frombuffer(raw, f"<u{int(data[:1])}").astype(np.int64 if data[:1] != b"8" else np.uint64)
+
+
+def pack_all(*arrays: np.ndarray) -> bytes:
+    """Several arrays of floats, or of integers from 0 on, as one compressed message: like bytes of values together."""
+    head, body = [len(arrays)], []
+    for values in arrays:
+        if values.dtype.kind == "f":
+            kind, size = "<f8", 9
+        else:
+            top = int(values.max(initial=0))
+            size = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4 if top < 1 << 32 else 8
+            kind = f"<u{size}"
+        head += [size, len(values)]
+        body.append(np.ascontiguousarray(values.astype(kind).view(np.uint8).reshape(len(values), -1).T).tobytes() if len(values) else b"")
+    return zlib.compress(np.array(head, "<u4").tobytes() + b"".join(body), 1)
+
+
+def unpack_all(data: bytes) -> list[np.ndarray]:
+    """The arrays of pack_all(): floats, or unsigned integers of 8 bytes where they need them, else signed ones."""
+    raw = zlib.decompress(data)
+    (many,) = np.frombuffer(raw, "<u4", 1)
+    head = np.frombuffer(raw, "<u4", 2 * many, 4).reshape(-1, 2).tolist()
+    at, out = 4 + 8 * int(many), []
+    for size, n in head:
+        kind, size = ("<f8", 8) if size == 9 else (f"<u{size}", size)
+        flat = np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n).T).view(kind).ravel()
+        out.append(flat if size == 8 else flat.astype(np.int64))
+        at += n * size
+    return out

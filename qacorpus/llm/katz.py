@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucketed, held_out, pack, slices, stored, unpack
+from .common import bucketed, held_out, pack, pack_all, slices, stored, unpack, unpack_all
 
 #: Hashes of the end of a text and of what stands before its first word: of strings that are no words.
 END, START = xxhash.xxh64_intdigest(b""), xxhash.xxh64_intdigest(b" ")
@@ -31,7 +31,7 @@ def _chunk(number: int, docs: list, held: list, sizes: list, words: list[np.ndar
     return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([docs], pa.list_(pa.int64())), *(pa.array([x], pa.binary()) for x in blobs)], names=["chunk", "docs", "held", "sizes", "vocabulary", "counts", "tokens"])
 
 
-def chunks(docs: DataFrame, size: int = 750_000) -> DataFrame:
+def chunks(docs: DataFrame, size: int = 500_000) -> DataFrame:
     """Documents as word numbers: some `size` tokens to a row, with the 64-bit hashes of its words in order.
 
     The texts' A-Z become small, words lie between ASCII white space, and each text has one end token.
@@ -92,6 +92,16 @@ class Discounts:
             return np.maximum(counts - 0.5, 0)
         return counts * np.where(counts <= TOP, self.factor[np.minimum(counts, TOP)], 1.0)
 
+    @property
+    def top(self) -> int:
+        """The largest count that is discounted."""
+        return TOP + 1 if self.factor is None else int(np.flatnonzero(self.factor < 1)[-1])
+
+    def off(self, having: np.ndarray) -> np.ndarray:
+        """What is taken off all counts together. having[r - 1]: how many n-grams occur r times; last: more than TOP."""
+        counts = np.arange(1, TOP + 1)
+        return (counts - self.reduced(counts)) @ having[:TOP] + (0.5 * having[TOP] if self.factor is None else 0.0)
+
 
 @dataclass
 class Unigrams:
@@ -167,82 +177,165 @@ def _unigrams(table: DataFrame, bits: int) -> tuple[DataFrame, Unigrams]:
     return merged.filter("chunk >= 0").drop("stats"), Unigrams(tokens, int(sums[1]), discounts, 1 - kept / tokens if tokens else 1.0, np.cumsum(base))
 
 
-class _Pairs:
-    """The distinct pairs of known words in a chunk, in order, and the bucket of each.
+@dataclass
+class _Level:
+    """What a chunk knows of its n-grams of one length once the model has answered."""
 
-    Words are numbered through all buckets of words; the number behind them is the start of a text. Pairs with one
-    first word are one bucket's, unless it has more than `hot` occurrences: then its second words are dealt to several.
-    """
+    ids: np.ndarray  # of each distinct n-gram; the last one is the start of a text
+    totals: np.ndarray  # how often training has each
+    place: np.ndarray  # of each token: the n-gram that it ends, or -1 where training has none
+    over: np.ndarray  # of each token: what a count after its context is divided by
+    p: np.ndarray  # of each token: its probability after that context
+
+    @property
+    def counts(self) -> np.ndarray:
+        """How often training has the n-gram that each token ends."""
+        return np.where(self.place >= 0, self.totals[self.place], 0)
+
+
+class _Chunk:
+    """The tokens of a chunk and its level 1."""
 
-    def __init__(self, row: dict, model: Unigrams, buckets: int, hot: int, train_docs: int):
+    def __init__(self, row: dict, model: Unigrams, train_docs: int):
         self.held = np.frombuffer(row["held"], bool)
         self.sizes = unpack(row["sizes"])
         self.tokens = unpack(row["tokens"]).astype(np.int32)
-        replies = sorted(row["words"], key=lambda x: x["bucket"])
-        self.total = np.concatenate([unpack(x["total"]) for x in replies])
-        number = np.concatenate([unpack(x["number"]) + model.base[x["bucket"]] for x in replies])
-        begins = np.cumsum(self.sizes) - self.sizes
-        start = len(number)
-        self.number = np.append(number, model.types)
-        self.firsts = np.append(self.total, train_docs)
-        before = np.empty_like(self.tokens)
-        before[1:] = self.tokens[:-1]
-        before[begins] = start
-        self.before = before
-        width = start + 1
-        seen = (self.firsts[before] > 0) & (self.total[self.tokens] > 0)
-        self.seen = seen
-        train = np.repeat(~self.held, self.sizes)[seen]
-        keys, place = np.unique(before[seen] * np.int64(width) + self.tokens[seen], return_inverse=True)
-        self.place = place.astype(np.int32)
-        self.count = np.bincount(self.place, train, len(keys)).astype(np.int32)
-        del place, train
-        first, second = (keys // width).astype(np.int32), (keys % width).astype(np.int32)
-        self.first, self.second = first, second
+        self.begins = np.cumsum(self.sizes) - self.sizes
+        self.held_token = np.repeat(self.held, self.sizes)
+        replies = sorted(row["level1"], key=lambda x: x["bucket"])
+        total = np.concatenate([unpack(x["total"]) for x in replies])
+        self.number = np.concatenate([unpack(x["number"]) + model.base[x["bucket"]] for x in replies])
+        counts = np.append(total, train_docs)
+        self.first = _Level(np.append(self.number, model.types), counts, self.tokens, np.full(len(self.tokens), max(model.tokens, 1), np.int64), model.p(total)[self.tokens])
+
+
+class _Asked:
+    """The next level of a chunk: its n-grams whose contexts and endings training has, and the buckets of the model
+    that know of them.
+
+    N-grams with one context are one bucket's, unless training has it more than `hot` times: then they are dealt to
+    several by their last words, and the context is asked for in each of these. How much of a context's mass is left is
+    asked for only where a document that isn't learned from has it, for in all others training has every n-gram.
+    """
+
+    def __init__(self, chunk: _Chunk, below: _Level, buckets: int, hot: int):
+        self.below, self.start = below, len(below.ids) - 1
+        tokens, width = chunk.tokens, len(chunk.number)
+        context = np.empty_like(below.place)
+        context[1:] = below.place[:-1]
+        context[chunk.begins] = self.start
+        known = (context >= 0) & (below.totals[context] > 0)
+        self.context = np.where(known, context, -1)
+        ending = below.counts
+        seen = known & (ending > 0)
+        keys, place = np.unique(context[seen] * np.int64(width) + tokens[seen], return_inverse=True)
+        self.place = np.full(len(tokens), -1, np.int32)
+        self.place[seen] = place
+        self.of = (keys // width).astype(np.int32)  # the context of each n-gram
+        word = (keys % width).astype(np.int32)
         del keys
-        fan = np.minimum(-(-self.firsts // hot), buckets)
-        own = (self.number * 2654435761 >> 7) % buckets
-        self.bucket = np.empty(len(first), np.int32)
-        self.bucket[:] = (own[first] + (self.number[second] * 40503 >> 3) % np.maximum(fan[first], 1)) % buckets
-        self.asked = np.unique(before)
-        self.asked = self.asked[self.firsts[self.asked] > 0]
-        some = fan[self.asked]
-        self.asks = np.repeat(self.asked, some)
-        self.asks_bucket = (np.repeat(own[self.asked], some) + np.arange(int(some.sum())) - np.repeat(np.cumsum(some) - some, some)) % buckets
+        self.count = np.bincount(place, ~chunk.held_token[seen], len(word)).astype(np.int64)
+        self.ending = np.empty(len(word), np.int64)
+        self.ending[place] = ending[seen]
+        self.number = chunk.number[word]
+        self.ids = np.append(_next_ids(below.ids[self.of], self.number), _next_ids(below.ids[-1:], below.ids[-1:]))
+        self.over_below = np.ones(self.start + 1, np.int64)
+        self.over_below[context[known]] = below.over[known]
+        wanted = np.zeros(self.start + 1, bool)
+        wanted[context[known & chunk.held_token]] = True
+        asked = np.unique(context[known])
+        fan = np.minimum(-(-below.totals // hot), buckets)
+        own = (_mixed(below.ids) >> np.uint64(33)).astype(np.int64) % buckets
+        self.bucket = ((own[self.of] + (self.number * 40503 >> 3) % np.maximum(fan[self.of], 1)) % buckets).astype(np.int32)
+        some = fan[asked]
+        self.asks = np.repeat(asked, some)
+        self.asks_bucket = (np.repeat(own[asked], some) + np.arange(int(some.sum())) - np.repeat(np.cumsum(some) - some, some)) % buckets
+        self.wanted = wanted[self.asks]
 
     def messages(self):
-        """For each bucket: the places of its pairs, and of the first words whose sums are asked for there."""
-        pairs, asks = dict(_by_bucket(self.bucket)), dict(_by_bucket(self.asks_bucket))
+        """For each bucket: the places of its n-grams, and of the contexts that are asked for there."""
+        grams, asks = dict(_by_bucket(self.bucket)), dict(_by_bucket(self.asks_bucket))
         none = np.zeros(0, np.int64)
-        return [(b, pairs.get(b, none), asks[b]) for b in sorted(asks)]  # a pair's first word is asked for there too
+        return [(b, grams.get(b, none), asks[b]) for b in sorted(asks)]  # an n-gram's context is asked for there too
+
+    def message(self, grams: np.ndarray, asks: np.ndarray) -> bytes:
+        contexts = self.asks[asks]
+        fan = np.searchsorted(self.of[grams], contexts, side="right") - np.searchsorted(self.of[grams], contexts)
+        return pack_all(self.below.ids[contexts], self.over_below[contexts], self.wanted[asks], fan, self.number[grams], self.count[grams], self.ending[grams])
+
+    def answered(self, replies: list[dict], discounts: Discounts) -> _Level:
+        """The level with its probabilities: of the n-gram where training has it, else the backoff weight times the
+        probability one level below."""
+        totals = np.zeros(len(self.ids), np.int64)
+        totals[-1] = self.below.totals[-1]
+        least = np.full(self.start + 1, TOP + 1, np.int64)
+        having, lower = np.zeros((TOP + 1, self.start + 1), np.int64), np.zeros(self.start + 1)
+        by_bucket = {r["bucket"]: r["reply"] for r in replies}
+        for b, grams, asks in self.messages():
+            total, low, many, taken = unpack_all(by_bucket[b])
+            totals[grams] = total
+            contexts = self.asks[asks]
+            least[contexts] = np.minimum(least[contexts], low)
+            contexts = contexts[self.wanted[asks]]
+            having[:, contexts] += many.astype(np.int64).reshape(TOP + 1, -1)
+            lower[contexts] += taken
+        whole = self.below.totals
+        over = whole + (least > discounts.top)  # a context that nothing was taken from: one more
+        kept = whole - discounts.off(having)
+        weight = (1 - kept / np.maximum(over, 1)) / np.maximum(1 - lower, 1e-300)
+        known = self.context >= 0
+        p = np.where(known, weight[self.context], 1.0) * self.below.p
+        count = np.where(self.place >= 0, totals[self.place], 0)
+        over_token = np.where(known, over[self.context], 1)
+        hit = count > 0
+        p[hit] = discounts.reduced(count[hit]) / over_token[hit]
+        return _Level(self.ids, totals, self.place, over_token, p)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.uint64)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+def _next_ids(ids: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """64-bit names of n-grams one word longer: exact for two words, hashes beyond."""
+    return _mixed((ids.astype(np.uint64) << np.uint64(32) | ids.astype(np.uint64) >> np.uint64(32)) + numbers.astype(np.uint64))
+
+
+def _merge(below: Discounts):
+    """A bucket of the model: sums the counts of n-grams over chunks and answers each chunk."""
 
-
-def _merge_pairs(model: Unigrams):
     def merge(group: pa.Table) -> pa.Table:
-        parts = {c: [unpack(x).astype(np.int64) for x in group.column(c).to_pylist()] for c in ("first", "second", "count", "second_total", "asks")}
-        first, second, count, of_second, asks = (np.concatenate(parts[c]) for c in ("first", "second", "count", "second_total", "asks"))
-        firsts = np.unique(asks)
-        seconds, k = np.unique(second, return_inverse=True)
-        keys, at, place = np.unique(np.searchsorted(firsts, first) * max(len(seconds), 1) + k, return_index=True, return_inverse=True)
+        parts = list(zip(*map(unpack_all, group.column("message").to_pylist())))
+        ids = np.concatenate([x.astype(np.uint64) for x in parts[0]])
+        over, _, fan, word, count, ending = (np.concatenate([x.astype(np.int64) for x in p]) for p in parts[1:])
+        contexts, k = np.unique(ids, return_inverse=True)
+        over_of = np.empty(len(contexts), np.int64)
+        over_of[k] = over
+        row = np.repeat(k, fan)
+        words, w = np.unique(word, return_inverse=True)
+        keys, place = np.unique(row * np.int64(max(len(words), 1)) + w, return_inverse=True)
         total = np.bincount(place, count, len(keys)).astype(np.int64)
-        row = keys // max(len(seconds), 1)
-        having = np.stack([np.bincount(row[total == r], minlength=len(firsts)) for r in range(1, TOP + 1)])
-        rest = np.bincount(row, np.where(total > TOP, total, 0), len(firsts)).astype(np.int64)
-        more = np.bincount(row[total > TOP], minlength=len(firsts))
-        lower = np.bincount(row, np.where(total > 0, model.p(of_second[at]), 0.0), len(firsts))
-        pair_parts = np.split(total[place], np.cumsum([len(x) for x in parts["first"]])[:-1])
-        ask_parts = [np.searchsorted(firsts, x) for x in parts["asks"]]
+        row = keys // max(len(words), 1)
+        of_ending = np.empty(len(keys), np.int64)
+        of_ending[place] = ending
+        having = np.stack([np.bincount(row[total == r], minlength=len(contexts)) for r in range(1, TOP + 1)] + [np.bincount(row[total > TOP], minlength=len(contexts))])
+        least = np.where(having[:TOP].any(0), having[:TOP].astype(bool).argmax(0) + 1, TOP + 1)
+        lower = np.bincount(row, np.where(total > 0, below.reduced(of_ending) / over_of[row], 0.0), len(contexts))
+        replies, at, gram = [], 0, 0
+        for own, want, n in zip(parts[0], parts[2], map(len, parts[4])):
+            own = k[at : at + len(own)]
+            some = own[want > 0]
+            replies.append(pack_all(total[place[gram : gram + n]], least[own], having[:, some].ravel(), lower[some]))
+            at, gram = at + len(own), gram + n
         stats = np.bincount(np.minimum(total, TOP + 2), minlength=TOP + 3)[: TOP + 2]
         n = group.num_rows
-        none = [None]
         return pa.table(
             {
                 "chunk": pa.array([*group.column("chunk").to_pylist(), -1], pa.int64()),
                 "bucket": pa.array([group.column("bucket")[0].as_py()] * (n + 1), pa.int32()),
-                "total": pa.array([pack(x) for x in pair_parts] + none, pa.binary()),
-                "having": pa.array([pack(np.concatenate([having[:, x].ravel(), more[x]])) for x in ask_parts] + none, pa.binary()),
-                "rest": pa.array([pack(rest[x]) for x in ask_parts] + none, pa.binary()),
-                "lower": pa.array([pack(lower[x]) for x in ask_parts] + none, pa.binary()),
+                "reply": pa.array([*replies, None], pa.binary()),
                 "stats": pa.array([None] * n + [stats.tolist()], pa.list_(pa.int64())),
             }
         )
@@ -250,49 +343,25 @@ def _merge_pairs(model: Unigrams):
     return merge
 
 
-def _scores(pairs: _Pairs, replies: list[dict], model: Unigrams, discounts: Discounts) -> np.ndarray:
-    """log10 probability of each token: of the pair where training has it, else the backoff weight times the word's."""
-    width = len(pairs.number)
-    total = np.zeros(len(pairs.first), np.int64)
-    having, rest, lower = np.zeros((TOP + 1, width), np.int64), np.zeros(width, np.int64), np.zeros(width)
-    by_bucket = {r["bucket"]: r for r in replies}
-    for b, at, asks in pairs.messages():
-        r = by_bucket[b]
-        total[at] = unpack(r["total"])
-        words = pairs.asks[asks]
-        having[:, words] += unpack(r["having"]).astype(np.int64).reshape(TOP + 1, -1)
-        rest[words] += unpack(r["rest"]).astype(np.int64)
-        lower[words] += unpack(r["lower"])
-    counts = np.arange(1, TOP + 1)
-    whole = counts @ having[:TOP] + rest
-    kept = discounts.reduced(counts) @ having[:TOP] + rest - (0.5 * having[TOP] if discounts.factor is None else 0.0)
-    over = np.where(whole - kept > 1e-9, whole, whole + 1.0)  # a first word that nothing was taken from: one more
-    weight = np.where(whole > 0, (1 - kept / over) / np.maximum(1 - lower, 1e-300), 1.0)
-    word = model.p(np.append(pairs.total, 0))
-    p = weight[pairs.before] * word[pairs.tokens]
-    seen = np.flatnonzero(pairs.seen)
-    c = total[pairs.place]
-    hit = c > 0
-    p[seen[hit]] = discounts.reduced(c[hit]) / over[pairs.before[seen[hit]]]
-    return np.log10(p)
-
-
-def score(docs: DataFrame, size: int = 750_000, per_bucket: int = 1_000_000) -> DataFrame:
+def score(docs: DataFrame, order: int = 3, size: int = 500_000, per_bucket: int = 1_000_000, hot: int = 200_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document.
 
     Learned from documents whose crc32 of the id is not 1 modulo 5, those without an id among them. A null text counts
     as empty: one end token. Repeated rows count and are scored each. Without training tokens every word is the unknown
     one, with probability 1. Other columns of docs aren't read.
 
-    P(w | v) is the discounted share of c(v, w) in c(v), or a(v) P(w) where training lacks the pair; P(w) is the
-    discounted share of c(w) in all tokens, or the mass that discounting left, which all unknown words share as one. a(v)
-    makes the probabilities of the training words and the unknown one sum to 1 after every v. Words are known by
-    64-bit hashes.
-
-    Texts become chunks of word numbers, stored in buckets of the chunk so that they aren't shuffled again. A chunk
-    sends its distinct words, and then its distinct pairs, with their training counts to buckets of the model; a
-    bucket sums them and tells each chunk what it asked for. So counts are summed before they are shuffled, a pair
-    as common as can be is one entry of a chunk, and a common first word is dealt to several buckets by the second.
+    P(w | h), for the order - 1 words h before w, is the discounted share of c(h, w) in c(h), or, where training lacks
+    the n-gram, a(h) P(w | h') with h' = h without its first word, and P(w | h') where training lacks h. P(w) is the
+    discounted share of c(w) in all tokens, or the mass that discounting left, which all unknown words share as one.
+    a(h) makes the probabilities of the training words and the unknown one sum to 1 after every h. Each length of
+    n-grams has its own discounts. A text has order - 1 starts in front. Words are known by 64-bit hashes, n-grams of
+    three words and more too.
+
+    Texts become chunks of word numbers, stored in buckets of the chunk so that they aren't shuffled again. Level by
+    level a chunk sends its distinct n-grams with their training counts to buckets of the model; a bucket sums them and
+    tells each chunk what it asked for; these tables stay in the shared folder, by chunk. So counts are summed before
+    they are shuffled, an n-gram as common as can be is one entry of a chunk, and a context that occurs over `hot` times
+    (more where there are more tokens than 10 ** 8) is dealt to several buckets by the word behind it.
     """
     table = bucketed(chunks(docs, size), "chunks", "chunk")
 
@@ -303,49 +372,58 @@ def score(docs: DataFrame, size: int = 750_000, per_bucket: int = 1_000_000) ->
                 yield pa.RecordBatch.from_arrays([pa.array([int(n.sum())], pa.int64()), pa.array([len(n) - sum(held)], pa.int64())], names=["n", "docs"])
 
     whole, train_docs = table.select("sizes", "held").mapInArrow(sizes, "n long, docs long").agg(F.sum("n"), F.sum("docs")).first()
+    train_docs = train_docs or 0
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil((whole or 0) / per_bucket))
-    hot = max(200_000, int(20 * math.sqrt(whole or 0)))
-    bits = max(3, math.ceil(math.log2(buckets)))
-    words, model = _unigrams(table, bits)
-    told = words.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "total", "number")).alias("words"))
-    asked = table.join(told, "chunk").select("chunk", "held", "sizes", "tokens", "words")
-    args = (model, buckets, hot, train_docs or 0)
-
-    def send(batches):
-        for batch in batches:
-            for k in range(batch.num_rows):
-                row = {c: batch.column(c)[k].as_py() for c in ("chunk", "held", "sizes", "tokens", "words")}
-                pairs = _Pairs(row, *args)
-                rows = []
-                for b, at, asks in pairs.messages():
-                    first, second = pairs.first[at], pairs.second[at]
-                    blobs = (pairs.number[first], pairs.number[second], pairs.count[at], pairs.total[second], pairs.number[pairs.asks[asks]])
-                    rows.append((b, *(pack(x) for x in blobs)))
-                if rows:
-                    b, *blobs = zip(*rows)
-                    yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array([row["chunk"]] * len(b), pa.int64()), *_binary(*map(list, blobs))], names=["bucket", "chunk", "first", "second", "count", "second_total", "asks"])
-
-    sent = asked.mapInArrow(send, "bucket int, chunk long, first binary, second binary, count binary, second_total binary, asks binary")
-    merged = stored(
-        sent.groupBy("bucket").applyInArrow(_merge_pairs(model), "chunk long, bucket int, total binary, having binary, rest binary, lower binary, stats array<long>"),
-        "bigrams",
-    )
-    sums = merged.filter("chunk = -1").select(*[F.sum(F.col("stats")[r]) for r in range(TOP + 2)]).first()
-    discounts = Discounts.of(np.array([x or 0 for x in sums], np.int64))
-    answers = merged.filter("chunk >= 0").groupBy("chunk").agg(F.collect_list(F.struct("bucket", "total", "having", "rest", "lower")).alias("pairs"))
-    ready = table.join(told, "chunk").join(answers, "chunk", "left").select("chunk", "docs", "held", "sizes", "tokens", "words", "pairs")
+    hot = max(hot, int(20 * math.sqrt(whole or 0))) if whole and whole > 10**8 else hot
+    words, model = _unigrams(table, max(3, math.ceil(math.log2(buckets))))
+    answers = [bucketed(words.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "total", "number")).alias("level1")), "words", "chunk")]
+    discounts = [model.discounts]
+
+    def asking(known: list[Discounts]):
+        def send(batches):
+            for batch in batches:
+                for row in rows_of(batch):
+                    chunk, last = levels(row, known)
+                    asked = _Asked(chunk, last, buckets, hot)
+                    found = [(b, asked.message(grams, asks)) for b, grams, asks in asked.messages()]
+                    yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in found], pa.int32()), pa.array([row["chunk"]] * len(found), pa.int64()), pa.array([m for _, m in found], pa.binary())], names=["bucket", "chunk", "message"])
+
+        return send
+
+    def rows_of(batch):
+        for k in range(batch.num_rows):
+            yield {c: batch.column(c)[k].as_py() for c in batch.schema.names}
+
+    def levels(row: dict, known: list[Discounts]) -> tuple[_Chunk, _Level]:
+        """The chunk and the highest level that the model has answered."""
+        chunk = _Chunk(row, model, train_docs)
+        last = chunk.first
+        for n, d in enumerate(known[1:], 2):
+            last = _Asked(chunk, last, buckets, hot).answered(row[f"level{n}"] or [], d)
+        return chunk, last
+
+    def told(columns: list[str]) -> DataFrame:
+        rows = table.select(*columns)
+        for k, answer in enumerate(answers):
+            rows = rows.join(answer, "chunk", "left" if k else "inner")
+        return rows
+
+    for n in range(2, order + 1):
+        sent = told(["chunk", "held", "sizes", "tokens"]).mapInArrow(asking(list(discounts)), "bucket int, chunk long, message binary")
+        merged = stored(sent.groupBy("bucket").applyInArrow(_merge(discounts[-1]), "chunk long, bucket int, reply binary, stats array<long>"), f"level{n}")
+        sums = merged.filter("chunk = -1").select(*[F.sum(F.col("stats")[r]) for r in range(TOP + 2)]).first()
+        discounts.append(Discounts.of(np.array([x or 0 for x in sums], np.int64)))
+        by_chunk = merged.filter("chunk >= 0").groupBy("chunk").agg(F.collect_list(F.struct("bucket", "reply")).alias(f"level{n}"))
+        answers.append(bucketed(by_chunk, f"level{n}", "chunk"))
 
     def result(batches):
         for batch in batches:
-            for k in range(batch.num_rows):
-                row = {c: batch.column(c)[k].as_py() for c in ("docs", "held", "sizes", "tokens", "words", "pairs")}
-                pairs = _Pairs(row, *args)
-                log = _scores(pairs, row["pairs"] or [], model, discounts)
-                begins = np.cumsum(pairs.sizes) - pairs.sizes
-                count = pairs.total[pairs.tokens]
+            for row in rows_of(batch):
+                chunk, last = levels(row, discounts)
+                count = chunk.first.counts
                 base = np.log10((count + 0.5) / (model.tokens + 0.5 * (model.types + 1)))
-                add = np.add.reduceat
-                columns = [pa.array(pairs.sizes), pa.array(add((count > 0).astype(np.int64), begins)), pa.array([model.tokens] * len(begins), pa.int64()), pa.array(add(base, begins)), pa.array(add(log, begins))]
-                yield pa.RecordBatch.from_arrays([pa.array(row["docs"], pa.int64()), pa.array(pairs.held), *columns], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+                add = lambda x: pa.array(np.add.reduceat(x, chunk.begins))
+                columns = [pa.array(chunk.sizes), add((count > 0).astype(np.int64)), pa.array([model.tokens] * len(chunk.begins), pa.int64()), add(base), add(np.log10(last.p))]
+                yield pa.RecordBatch.from_arrays([pa.array(row["docs"], pa.int64()), pa.array(chunk.held), *columns], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return ready.mapInArrow(result, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return told(["chunk", "docs", "held", "sizes", "tokens"]).mapInArrow(result, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
