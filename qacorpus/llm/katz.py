@@ -41,7 +41,7 @@ def chunks(docs: DataFrame, size: int = 500_000) -> DataFrame:
         part, number = TaskContext.get().partitionId(), 0
         held: tuple[list, list, list, list] = ([], [], [], [])
         have = 0
-        for batch in slices(batches, rows=4000):
+        for batch in slices(batches, rows=1000, volume=2 << 20):
             split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(batch.column("text").cast(pa.large_string()), "")))
             doc = np.repeat(np.arange(batch.num_rows), np.diff(split.offsets.to_numpy()))
             flat = split.flatten()
