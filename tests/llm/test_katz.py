@@ -91,6 +91,14 @@ def test_against_brute_force(spark, how):
     _compare(spark, docs, **how)
 
 
+def test_many_texts_in_a_batch(spark):
+    rnd = random.Random(6)
+    docs = [(i, " ".join(rnd.choices([f"w{i}" for i in range(40)], k=rnd.randint(0, 9)))) for i in range(2500)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    got = sorted(tuple(r) for r in K.score(df).collect())
+    assert np.allclose([g[1:] for g in got], [w[1:] for w in sorted(_brute(docs, 3))], rtol=1e-9, atol=1e-9)
+
+
 def test_hot_contexts(spark):
     rnd = random.Random(4)
     docs = [(i, " ".join(x for _ in range(30) for x in ("of", "the", f"w{rnd.randrange(200)}"))) for i in range(60)]
