@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 import zlib
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -43,12 +44,27 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: Lets Spark drop the shuffle files of a write as soon as it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _cleaned(spark: SparkSession):
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df, written once as Parquet in the shared folder and read back: a cut in the lineage that outlives executors."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     schema = df.schema
-    df.write.parquet(path)
+    with _cleaned(spark):  # what comes later reads the table, not the shuffles
+        df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
@@ -86,7 +102,8 @@ def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
     spark = df.sparkSession
     table_name = f"qacorpus_{name}_{uuid.uuid4().hex[:12]}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.bucketBy(n, key).option("path", f"{scratch_dir(spark)}/{table_name}").saveAsTable(table_name)
+    with _cleaned(spark):
+        df.write.bucketBy(n, key).option("path", f"{scratch_dir(spark)}/{table_name}").saveAsTable(table_name)
     return spark.table(table_name)
 
 

@@ -13,13 +13,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucketed, held_out, pack, pack_all, slices, stored, unpack, unpack_all
+from .common import bucketed, held_out, pack, pack_all, slices, unpack, unpack_all
 
 #: Hashes of the end of a text and of what stands before its first word: of strings that are no words.
 END, START = xxhash.xxh64_intdigest(b""), xxhash.xxh64_intdigest(b" ")
+#: Name of the start of a text among n-grams, which else have a bucket and a place there.
+FIRST = 1 << 62
 #: Counts above this aren't discounted.
 TOP = 5
 
+MESSAGE = "bucket int, chunk long, message binary"
 CHUNK = "chunk long, docs array<long>, held binary, sizes binary, vocabulary binary, counts binary, tokens binary"
 
 
@@ -109,7 +112,6 @@ class Unigrams:
     types: int
     discounts: Discounts
     unknown: float
-    base: np.ndarray  # the first word number of each bucket
 
     def p(self, counts: np.ndarray) -> np.ndarray:
         """Probability of words with these counts; of the one unknown word where it's 0."""
@@ -123,12 +125,37 @@ def _by_bucket(bucket: np.ndarray):
     return zip(values.tolist(), np.split(order, first[1:]))
 
 
-def _binary(*columns: list) -> list[pa.Array]:
-    return [pa.array(c, pa.binary()) for c in columns]
+def _steps(values: np.ndarray) -> np.ndarray:
+    """Differences of neighbours, small ones as small numbers from 0 on: for arrays that mostly grow."""
+    d = np.diff(values.astype(np.int64), prepend=0)
+    return ((d << 1) ^ (d >> 63)).view(np.uint64)
+
+
+def _summed(steps: np.ndarray) -> np.ndarray:
+    z = steps.astype(np.uint64)
+    return np.cumsum((z >> np.uint64(1)).astype(np.int64) ^ -(z & np.uint64(1)).astype(np.int64))
+
+
+REPLY = "chunk long, bucket int, reply binary, stats array<long>"
+
+
+def _replied(group: pa.Table, replies: list[bytes], stats: np.ndarray) -> pa.Table:
+    """A row for each chunk of a bucket, and one with the bucket's sums, at one of many chunk numbers below 0."""
+    n, bucket = group.num_rows, group.column("bucket")[0].as_py()
+    columns = [[*group.column("chunk").to_pylist(), -1 - bucket % 1024], [bucket] * (n + 1), [*replies, None], [None] * n + [stats.tolist()]]
+    return pa.table([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64())))], names=["chunk", "bucket", "reply", "stats"])
+
+
+def _by_chunk(replies: DataFrame, name: str, many: int) -> tuple[DataFrame, np.ndarray]:
+    """The replies of all buckets to each chunk, stored by chunk, and the sums over buckets."""
+    sums = F.array(*[F.sum(F.col("stats")[k]) for k in range(many)]).alias("stats")
+    table = bucketed(replies.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "reply")).alias(name), sums), name, "chunk")
+    found = table.filter("chunk < 0").select(*[F.sum(F.col("stats")[k]) for k in range(many)]).first()
+    return table.select("chunk", name), np.array([x or 0 for x in found], np.int64)
 
 
 def _unigrams(table: DataFrame, bits: int) -> tuple[DataFrame, Unigrams]:
-    """Training counts of all words by ranges of their hashes, and what each chunk is told of its own words."""
+    """What each chunk is told of its own words, and the sums over all words. Buckets are ranges of the words' hashes."""
 
     def send(batches):
         for batch in batches:
@@ -136,52 +163,31 @@ def _unigrams(table: DataFrame, bits: int) -> tuple[DataFrame, Unigrams]:
                 words, counts = np.frombuffer(words, "<u8"), unpack(counts)
                 edge = np.searchsorted(words >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
                 used = np.flatnonzero(np.diff(edge))
-                parts = [(words[edge[b] : edge[b + 1]], counts[edge[b] : edge[b + 1]]) for b in used]
-                yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([chunk] * len(used), pa.int64()), *_binary([w.tobytes() for w, _ in parts], [pack(c) for _, c in parts])], names=["bucket", "chunk", "words", "counts"])
+                low = words & np.uint64((1 << (64 - bits)) - 1)
+                messages = [pack_all(_steps(low[edge[b] : edge[b + 1]]), counts[edge[b] : edge[b + 1]]) for b in used]
+                yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([chunk] * len(used), pa.int64()), pa.array(messages, pa.binary())], names=["bucket", "chunk", "message"])
 
     def merge(group: pa.Table) -> pa.Table:
-        words = [np.frombuffer(x, "<u8") for x in group.column("words").to_pylist()]
-        every, place = np.unique(np.concatenate(words), return_inverse=True)
-        total = np.bincount(place, np.concatenate([unpack(x) for x in group.column("counts").to_pylist()]), len(every)).astype(np.int64)
-        known = total > 0
-        number = np.where(known, np.cumsum(known) - 1, 0)
-        ends = np.cumsum([len(w) for w in words])[:-1]
-        parts = np.split(place, ends)
-        having = np.bincount(np.minimum(total, TOP + 1), minlength=TOP + 2)
-        n = group.num_rows
-        bucket = group.column("bucket")[0].as_py()
-        stats = [int(total.sum()), int(known.sum()), *having.tolist()]
-        stats[2 + TOP + 1] = int((total == TOP + 1).sum())
-        return pa.table(
-            {
-                "chunk": pa.array([*group.column("chunk").to_pylist(), -1], pa.int64()),
-                "bucket": pa.array([bucket] * (n + 1), pa.int32()),
-                "total": pa.array([pack(total[p]) for p in parts] + [None], pa.binary()),
-                "number": pa.array([pack(number[p]) for p in parts] + [None], pa.binary()),
-                "stats": pa.array([None] * n + [stats], pa.list_(pa.int64())),
-            }
-        )
-
-    sent = table.select("chunk", "vocabulary", "counts").mapInArrow(send, "bucket int, chunk long, words binary, counts binary")
-    merged = stored(sent.groupBy("bucket").applyInArrow(merge, "chunk long, bucket int, total binary, number binary, stats array<long>"), "unigrams")
-    base = np.zeros((1 << bits) + 1, np.int64)
-    sums = np.zeros(4 + TOP, np.int64)
-    for r in merged.filter("chunk = -1").select("bucket", "stats").collect():  # a few numbers per bucket of words
-        base[r.bucket + 1] = r.stats[1]
-        sums += np.array(r.stats)
-    discounts = Discounts.of(sums[2:])
-    tokens = int(sums[0])
-    kept = float(discounts.reduced(np.arange(1, TOP + 1)) @ sums[3 : 3 + TOP]) if discounts.factor is not None else tokens - 0.5 * sums[1]
-    if discounts.factor is not None:
-        kept += tokens - float(np.arange(1, TOP + 1) @ sums[3 : 3 + TOP])
-    return merged.filter("chunk >= 0").drop("stats"), Unigrams(tokens, int(sums[1]), discounts, 1 - kept / tokens if tokens else 1.0, np.cumsum(base))
+        words, counts = zip(*map(unpack_all, group.column("message").to_pylist()))
+        every, place = np.unique(np.concatenate([_summed(x) for x in words]), return_inverse=True)
+        total = np.bincount(place, np.concatenate(counts), len(every)).astype(np.int64)
+        index = np.maximum(np.cumsum(total > 0) - 1, 0)
+        replies = [pack_all(total[p], _steps(index[p])) for p in np.split(place, np.cumsum(list(map(len, words)))[:-1])]
+        return _replied(group, replies, np.append(total.sum(), np.bincount(np.minimum(total, TOP + 2), minlength=TOP + 3)))
+
+    sent = table.select("chunk", "vocabulary", "counts").mapInArrow(send, MESSAGE)
+    told, sums = _by_chunk(sent.groupBy("bucket").applyInArrow(merge, REPLY), "level1", TOP + 4)
+    tokens, having = int(sums[0]), sums[2:]
+    discounts = Discounts.of(np.append(0, having[: TOP + 1]))
+    off = float(discounts.off(np.append(having[:TOP], having[TOP:].sum())))
+    return told, Unigrams(tokens, int(having.sum()), discounts, off / tokens if tokens else 1.0)
 
 
 @dataclass
 class _Level:
     """What a chunk knows of its n-grams of one length once the model has answered."""
 
-    ids: np.ndarray  # of each distinct n-gram; the last one is the start of a text
+    ids: np.ndarray  # of each distinct n-gram: its bucket and its place there; the last one is the start of a text
     totals: np.ndarray  # how often training has each
     place: np.ndarray  # of each token: the n-gram that it ends, or -1 where training has none
     over: np.ndarray  # of each token: what a count after its context is divided by
@@ -202,11 +208,10 @@ class _Chunk:
         self.tokens = unpack(row["tokens"]).astype(np.int32)
         self.begins = np.cumsum(self.sizes) - self.sizes
         self.held_token = np.repeat(self.held, self.sizes)
-        replies = sorted(row["level1"], key=lambda x: x["bucket"])
-        total = np.concatenate([unpack(x["total"]) for x in replies])
-        self.number = np.concatenate([unpack(x["number"]) + model.base[x["bucket"]] for x in replies])
-        counts = np.append(total, train_docs)
-        self.first = _Level(np.append(self.number, model.types), counts, self.tokens, np.full(len(self.tokens), max(model.tokens, 1), np.int64), model.p(total)[self.tokens])
+        replies = [(x["bucket"], *unpack_all(x["reply"])) for x in sorted(row["level1"], key=lambda x: x["bucket"])]
+        total = np.concatenate([t for _, t, _ in replies])
+        self.number = np.concatenate([_name(b, _summed(k)) for b, _, k in replies])
+        self.first = _Level(np.append(self.number, FIRST), np.append(total, train_docs), self.tokens, np.full(len(self.tokens), max(model.tokens, 1), np.int64), model.p(total)[self.tokens])
 
 
 class _Asked:
@@ -218,7 +223,7 @@ class _Asked:
     asked for only where a document that isn't learned from has it, for in all others training has every n-gram.
     """
 
-    def __init__(self, chunk: _Chunk, below: _Level, buckets: int, hot: int):
+    def __init__(self, chunk: _Chunk, below: _Level, length: int, buckets: int, hot: int):
         self.below, self.start = below, len(below.ids) - 1
         tokens, width = chunk.tokens, len(chunk.number)
         context = np.empty_like(below.place)
@@ -238,15 +243,14 @@ class _Asked:
         self.ending = np.empty(len(word), np.int64)
         self.ending[place] = ending[seen]
         self.number = chunk.number[word]
-        self.ids = np.append(_next_ids(below.ids[self.of], self.number), _next_ids(below.ids[-1:], below.ids[-1:]))
         self.over_below = np.ones(self.start + 1, np.int64)
         self.over_below[context[known]] = below.over[known]
         wanted = np.zeros(self.start + 1, bool)
         wanted[context[known & chunk.held_token]] = True
         asked = np.unique(context[known])
         fan = np.minimum(-(-below.totals // hot), buckets)
-        own = (_mixed(below.ids) >> np.uint64(33)).astype(np.int64) % buckets
-        self.bucket = ((own[self.of] + (self.number * 40503 >> 3) % np.maximum(fan[self.of], 1)) % buckets).astype(np.int32)
+        own = _mixed(below.ids) % buckets if length == 2 else np.where(below.ids == FIRST, 0, below.ids >> 32)  # beyond two words: where the context is known
+        self.bucket = ((own[self.of] + _mixed(self.number) % np.maximum(fan[self.of], 1)) % buckets).astype(np.int32)
         some = fan[asked]
         self.asks = np.repeat(asked, some)
         self.asks_bucket = (np.repeat(own[asked], some) + np.arange(int(some.sum())) - np.repeat(np.cumsum(some) - some, some)) % buckets
@@ -261,19 +265,19 @@ class _Asked:
     def message(self, grams: np.ndarray, asks: np.ndarray) -> bytes:
         contexts = self.asks[asks]
         fan = np.searchsorted(self.of[grams], contexts, side="right") - np.searchsorted(self.of[grams], contexts)
-        return pack_all(self.below.ids[contexts], self.over_below[contexts], self.wanted[asks], fan, self.number[grams], self.count[grams], self.ending[grams])
+        return pack_all(_steps(self.below.ids[contexts]), self.over_below[contexts], self.wanted[asks], fan, self.number[grams], self.count[grams], self.ending[grams])
 
     def answered(self, replies: list[dict], discounts: Discounts) -> _Level:
         """The level with its probabilities: of the n-gram where training has it, else the backoff weight times the
         probability one level below."""
-        totals = np.zeros(len(self.ids), np.int64)
-        totals[-1] = self.below.totals[-1]
+        ids, totals = np.zeros(len(self.of) + 1, np.int64), np.zeros(len(self.of) + 1, np.int64)
+        ids[-1], totals[-1] = FIRST, self.below.totals[-1]
         least = np.full(self.start + 1, TOP + 1, np.int64)
         having, lower = np.zeros((TOP + 1, self.start + 1), np.int64), np.zeros(self.start + 1)
         by_bucket = {r["bucket"]: r["reply"] for r in replies}
         for b, grams, asks in self.messages():
-            total, low, many, taken = unpack_all(by_bucket[b])
-            totals[grams] = total
+            total, index, low, many, taken = unpack_all(by_bucket[b])
+            ids[grams], totals[grams] = _name(b, _summed(index)), total
             contexts = self.asks[asks]
             least[contexts] = np.minimum(least[contexts], low)
             contexts = contexts[self.wanted[asks]]
@@ -289,18 +293,17 @@ class _Asked:
         over_token = np.where(known, over[self.context], 1)
         hit = count > 0
         p[hit] = discounts.reduced(count[hit]) / over_token[hit]
-        return _Level(self.ids, totals, self.place, over_token, p)
+        return _Level(ids, totals, self.place, over_token, p)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = x.astype(np.uint64)
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
+    return (x >> np.uint64(33)).astype(np.int64)
 
 
-def _next_ids(ids: np.ndarray, numbers: np.ndarray) -> np.ndarray:
-    """64-bit names of n-grams one word longer: exact for two words, hashes beyond."""
-    return _mixed((ids.astype(np.uint64) << np.uint64(32) | ids.astype(np.uint64) >> np.uint64(32)) + numbers.astype(np.uint64))
+def _name(bucket: int, index: np.ndarray) -> np.ndarray:
+    return index | bucket << 32
 
 
 def _merge(below: Discounts):
@@ -308,7 +311,7 @@ def _merge(below: Discounts):
 
     def merge(group: pa.Table) -> pa.Table:
         parts = list(zip(*map(unpack_all, group.column("message").to_pylist())))
-        ids = np.concatenate([x.astype(np.uint64) for x in parts[0]])
+        ids = np.concatenate([_summed(x) for x in parts[0]])
         over, _, fan, word, count, ending = (np.concatenate([x.astype(np.int64) for x in p]) for p in parts[1:])
         contexts, k = np.unique(ids, return_inverse=True)
         over_of = np.empty(len(contexts), np.int64)
@@ -323,22 +326,15 @@ def _merge(below: Discounts):
         having = np.stack([np.bincount(row[total == r], minlength=len(contexts)) for r in range(1, TOP + 1)] + [np.bincount(row[total > TOP], minlength=len(contexts))])
         least = np.where(having[:TOP].any(0), having[:TOP].astype(bool).argmax(0) + 1, TOP + 1)
         lower = np.bincount(row, np.where(total > 0, below.reduced(of_ending) / over_of[row], 0.0), len(contexts))
+        index = np.maximum(np.cumsum(total > 0) - 1, 0)
         replies, at, gram = [], 0, 0
         for own, want, n in zip(parts[0], parts[2], map(len, parts[4])):
             own = k[at : at + len(own)]
             some = own[want > 0]
-            replies.append(pack_all(total[place[gram : gram + n]], least[own], having[:, some].ravel(), lower[some]))
+            mine = place[gram : gram + n]
+            replies.append(pack_all(total[mine], _steps(index[mine]), least[own], having[:, some].ravel(), lower[some]))
             at, gram = at + len(own), gram + n
-        stats = np.bincount(np.minimum(total, TOP + 2), minlength=TOP + 3)[: TOP + 2]
-        n = group.num_rows
-        return pa.table(
-            {
-                "chunk": pa.array([*group.column("chunk").to_pylist(), -1], pa.int64()),
-                "bucket": pa.array([group.column("bucket")[0].as_py()] * (n + 1), pa.int32()),
-                "reply": pa.array([*replies, None], pa.binary()),
-                "stats": pa.array([None] * n + [stats.tolist()], pa.list_(pa.int64())),
-            }
-        )
+        return _replied(group, replies, np.bincount(np.minimum(total, TOP + 2), minlength=TOP + 3)[: TOP + 2])
 
     return merge
 
@@ -354,8 +350,8 @@ def score(docs: DataFrame, order: int = 3, size: int = 500_000, per_bucket: int
     the n-gram, a(h) P(w | h') with h' = h without its first word, and P(w | h') where training lacks h. P(w) is the
     discounted share of c(w) in all tokens, or the mass that discounting left, which all unknown words share as one.
     a(h) makes the probabilities of the training words and the unknown one sum to 1 after every h. Each length of
-    n-grams has its own discounts. A text has order - 1 starts in front. Words are known by 64-bit hashes, n-grams of
-    three words and more too.
+    n-grams has its own discounts. A text has order - 1 starts in front. Words are known by
+    64-bit hashes, longer n-grams by the place that their bucket gave them.
 
     Texts become chunks of word numbers, stored in buckets of the chunk so that they aren't shuffled again. Level by
     level a chunk sends its distinct n-grams with their training counts to buckets of the model; a bucket sums them and
@@ -376,15 +372,14 @@ def score(docs: DataFrame, order: int = 3, size: int = 500_000, per_bucket: int
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil((whole or 0) / per_bucket))
     hot = max(hot, int(20 * math.sqrt(whole or 0))) if whole and whole > 10**8 else hot
     words, model = _unigrams(table, max(3, math.ceil(math.log2(buckets))))
-    answers = [bucketed(words.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "total", "number")).alias("level1")), "words", "chunk")]
-    discounts = [model.discounts]
+    answers, discounts = [words], [model.discounts]
 
     def asking(known: list[Discounts]):
         def send(batches):
             for batch in batches:
                 for row in rows_of(batch):
                     chunk, last = levels(row, known)
-                    asked = _Asked(chunk, last, buckets, hot)
+                    asked = _Asked(chunk, last, len(known) + 1, buckets, hot)
                     found = [(b, asked.message(grams, asks)) for b, grams, asks in asked.messages()]
                     yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in found], pa.int32()), pa.array([row["chunk"]] * len(found), pa.int64()), pa.array([m for _, m in found], pa.binary())], names=["bucket", "chunk", "message"])
 
@@ -399,7 +394,7 @@ def score(docs: DataFrame, order: int = 3, size: int = 500_000, per_bucket: int
         chunk = _Chunk(row, model, train_docs)
         last = chunk.first
         for n, d in enumerate(known[1:], 2):
-            last = _Asked(chunk, last, buckets, hot).answered(row[f"level{n}"] or [], d)
+            last = _Asked(chunk, last, n, buckets, hot).answered(row[f"level{n}"] or [], d)
         return chunk, last
 
     def told(columns: list[str]) -> DataFrame:
@@ -409,12 +404,10 @@ def score(docs: DataFrame, order: int = 3, size: int = 500_000, per_bucket: int
         return rows
 
     for n in range(2, order + 1):
-        sent = told(["chunk", "held", "sizes", "tokens"]).mapInArrow(asking(list(discounts)), "bucket int, chunk long, message binary")
-        merged = stored(sent.groupBy("bucket").applyInArrow(_merge(discounts[-1]), "chunk long, bucket int, reply binary, stats array<long>"), f"level{n}")
-        sums = merged.filter("chunk = -1").select(*[F.sum(F.col("stats")[r]) for r in range(TOP + 2)]).first()
-        discounts.append(Discounts.of(np.array([x or 0 for x in sums], np.int64)))
-        by_chunk = merged.filter("chunk >= 0").groupBy("chunk").agg(F.collect_list(F.struct("bucket", "reply")).alias(f"level{n}"))
-        answers.append(bucketed(by_chunk, f"level{n}", "chunk"))
+        sent = told(["chunk", "held", "sizes", "tokens"]).mapInArrow(asking(list(discounts)), MESSAGE)
+        answer, sums = _by_chunk(sent.groupBy("bucket").applyInArrow(_merge(discounts[-1]), REPLY), f"level{n}", TOP + 2)
+        answers.append(answer)
+        discounts.append(Discounts.of(sums))
 
     def result(batches):
         for batch in batches:
