@@ -5,11 +5,11 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-import zlib
 from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -110,14 +110,14 @@ def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
 def pack(values: np.ndarray) -> bytes:
     """An array of floats, or of integers from 0 on, in the fewest bytes a value takes, compressed."""
     if values.dtype.kind == "f":
-        return b"f" + zlib.compress(values.astype("<f8").tobytes(), 1)
+        return b"f" + zstandard.compress(values.astype("<f8").tobytes(), 1)
     top = int(values.max(initial=0))
     size = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4 if top < 1 << 32 else 8
-    return b"%d" % size + zlib.compress(values.astype(f"<u{size}").tobytes(), 1)
+    return b"%d" % size + zstandard.compress(values.astype(f"<u{size}").tobytes(), 1)
 
 
 def unpack(data: bytes) -> np.ndarray:
-    raw = zlib.decompress(data[1:])
+    raw = zstandard.decompress(data[1:])
     return np.frombuffer(raw, "<f8") if data[:1] == b"f" else np.frombuffer(raw, f"<u{int(data[:1])}").astype(np.int64 if data[:1] != b"8" else np.uint64)
 
 
@@ -133,12 +133,12 @@ def pack_all(*arrays: np.ndarray) -> bytes:
             kind = f"<u{size}"
         head += [size, len(values)]
         body.append(np.ascontiguousarray(values.astype(kind).view(np.uint8).reshape(len(values), -1).T).tobytes() if len(values) else b"")
-    return zlib.compress(np.array(head, "<u4").tobytes() + b"".join(body), 1)
+    return zstandard.compress(np.array(head, "<u4").tobytes() + b"".join(body), 1)
 
 
 def unpack_all(data: bytes) -> list[np.ndarray]:
     """The arrays of pack_all(): floats, or unsigned integers of 8 bytes where they need them, else signed ones."""
-    raw = zlib.decompress(data)
+    raw = zstandard.decompress(data)
     (many,) = np.frombuffer(raw, "<u4", 1)
     head = np.frombuffer(raw, "<u4", 2 * many, 4).reshape(-1, 2).tolist()
     at, out = 4 + 8 * int(many), []

@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucketed, held_out, pack, pack_all, slices, unpack, unpack_all
+from .common import bucketed, held_out, pack, pack_all, slices, stored, unpack, unpack_all
 
 #: Hashes of the end of a text and of what stands before its first word: of strings that are no words.
 END, START = xxhash.xxh64_intdigest(b""), xxhash.xxh64_intdigest(b" ")
@@ -26,15 +26,25 @@ MESSAGE = "bucket int, chunk long, message binary"
 CHUNK = "chunk long, docs array<long>, held binary, sizes binary, vocabulary binary, counts binary, tokens binary"
 
 
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values in order and the place of each value among them."""
+    order = np.argsort(values)
+    ordered = values[order]
+    fresh = np.append(True, ordered[1:] != ordered[:-1])[: len(values)]
+    place = np.empty(len(values), np.int32)
+    place[order] = np.cumsum(fresh) - 1
+    return ordered[fresh], place
+
+
 def _chunk(number: int, docs: list, held: list, sizes: list, words: list[np.ndarray]) -> pa.RecordBatch:
     size, flags = np.array(sizes, np.int64), np.array(held, bool)
-    vocabulary, tokens = np.unique(np.concatenate(words), return_inverse=True)
+    vocabulary, tokens = _distinct(np.concatenate(words))
     counts = np.bincount(tokens, np.repeat(~flags, size), len(vocabulary)).astype(np.int64)
-    blobs = [flags.tobytes(), pack(size), vocabulary.astype("<u8").tobytes(), pack(counts), pack(tokens)]
+    blobs = [flags.tobytes(), pack(size), pack_all(_steps(vocabulary.view(np.int64))), pack(counts), pack(tokens)]
     return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([docs], pa.list_(pa.int64())), *(pa.array([x], pa.binary()) for x in blobs)], names=["chunk", "docs", "held", "sizes", "vocabulary", "counts", "tokens"])
 
 
-def chunks(docs: DataFrame, size: int = 500_000) -> DataFrame:
+def chunks(docs: DataFrame, size: int = 800_000) -> DataFrame:
     """Documents as word numbers: some `size` tokens to a row, with the 64-bit hashes of its words in order.
 
     The texts' A-Z become small, words lie between ASCII white space, and each text has one end token.
@@ -120,9 +130,10 @@ class Unigrams:
 
 def _by_bucket(bucket: np.ndarray):
     """Each bucket that occurs and the places of its entries, in order."""
-    order = np.argsort(bucket, kind="stable")
-    values, first = np.unique(bucket[order], return_index=True)
-    return zip(values.tolist(), np.split(order, first[1:]))
+    order = np.argsort(bucket.astype(np.uint16) if bucket.max(initial=0) < 1 << 16 else bucket, kind="stable")
+    ordered = bucket[order]
+    first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])[: len(ordered)])
+    return zip(ordered[first].tolist(), np.split(order, first[1:]))
 
 
 def _steps(values: np.ndarray) -> np.ndarray:
@@ -146,12 +157,19 @@ def _replied(group: pa.Table, replies: list[bytes], stats: np.ndarray) -> pa.Tab
     return pa.table([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64())))], names=["chunk", "bucket", "reply", "stats"])
 
 
-def _by_chunk(replies: DataFrame, name: str, many: int) -> tuple[DataFrame, np.ndarray]:
-    """The replies of all buckets to each chunk, stored by chunk, and the sums over buckets."""
-    sums = F.array(*[F.sum(F.col("stats")[k]) for k in range(many)]).alias("stats")
-    table = bucketed(replies.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "reply")).alias(name), sums), name, "chunk")
+def _by_chunk(replies: DataFrame, name: str, many: int, last: bool = False) -> tuple[DataFrame, np.ndarray]:
+    """The replies of all buckets to each chunk and the sums over buckets; stored by chunk, but for the last level, that
+    is read only once."""
+    listed = F.collect_list(F.struct("bucket", "reply")).alias(name)
+    if last:
+        table = stored(replies, name)
+        told = table.filter("chunk >= 0").groupBy("chunk").agg(listed)
+    else:
+        sums = F.array(*[F.sum(F.col("stats")[k]) for k in range(many)]).alias("stats")
+        table = bucketed(replies.groupBy("chunk").agg(listed, sums), name, "chunk")
+        told = table.select("chunk", name)
     found = table.filter("chunk < 0").select(*[F.sum(F.col("stats")[k]) for k in range(many)]).first()
-    return table.select("chunk", name), np.array([x or 0 for x in found], np.int64)
+    return told, np.array([x or 0 for x in found], np.int64)
 
 
 def _unigrams(table: DataFrame, bits: int) -> tuple[DataFrame, Unigrams]:
@@ -160,7 +178,7 @@ def _unigrams(table: DataFrame, bits: int) -> tuple[DataFrame, Unigrams]:
     def send(batches):
         for batch in batches:
             for chunk, words, counts in zip(*[batch.column(c).to_pylist() for c in ("chunk", "vocabulary", "counts")]):
-                words, counts = np.frombuffer(words, "<u8"), unpack(counts)
+                words, counts = _summed(unpack_all(words)[0]).view(np.uint64), unpack(counts)
                 edge = np.searchsorted(words >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
                 used = np.flatnonzero(np.diff(edge))
                 low = words & np.uint64((1 << (64 - bits)) - 1)
@@ -169,7 +187,7 @@ def _unigrams(table: DataFrame, bits: int) -> tuple[DataFrame, Unigrams]:
 
     def merge(group: pa.Table) -> pa.Table:
         words, counts = zip(*map(unpack_all, group.column("message").to_pylist()))
-        every, place = np.unique(np.concatenate([_summed(x) for x in words]), return_inverse=True)
+        every, place = _distinct(np.concatenate([_summed(x) for x in words]))
         total = np.bincount(place, np.concatenate(counts), len(every)).astype(np.int64)
         index = np.maximum(np.cumsum(total > 0) - 1, 0)
         replies = [pack_all(total[p], _steps(index[p])) for p in np.split(place, np.cumsum(list(map(len, words)))[:-1])]
@@ -233,7 +251,7 @@ class _Asked:
         self.context = np.where(known, context, -1)
         ending = below.counts
         seen = known & (ending > 0)
-        keys, place = np.unique(context[seen] * np.int64(width) + tokens[seen], return_inverse=True)
+        keys, place = _distinct(context[seen] * np.int64(width) + tokens[seen])
         self.place = np.full(len(tokens), -1, np.int32)
         self.place[seen] = place
         self.of = (keys // width).astype(np.int32)  # the context of each n-gram
@@ -247,7 +265,9 @@ class _Asked:
         self.over_below[context[known]] = below.over[known]
         wanted = np.zeros(self.start + 1, bool)
         wanted[context[known & chunk.held_token]] = True
-        asked = np.unique(context[known])
+        asks = np.zeros(self.start + 1, bool)
+        asks[context[known]] = True
+        asked = np.flatnonzero(asks)
         fan = np.minimum(-(-below.totals // hot), buckets)
         own = _mixed(below.ids) % buckets if length == 2 else np.where(below.ids == FIRST, 0, below.ids >> 32)  # beyond two words: where the context is known
         self.bucket = ((own[self.of] + _mixed(self.number) % np.maximum(fan[self.of], 1)) % buckets).astype(np.int32)
@@ -273,19 +293,22 @@ class _Asked:
         ids, totals = np.zeros(len(self.of) + 1, np.int64), np.zeros(len(self.of) + 1, np.int64)
         ids[-1], totals[-1] = FIRST, self.below.totals[-1]
         least = np.full(self.start + 1, TOP + 1, np.int64)
-        having, lower = np.zeros((TOP + 1, self.start + 1), np.int64), np.zeros(self.start + 1)
         by_bucket = {r["bucket"]: r["reply"] for r in replies}
+        held, sums = [np.zeros(0, np.int64)], [np.zeros((TOP + 2, 0))]
         for b, grams, asks in self.messages():
-            total, index, low, many, taken = unpack_all(by_bucket[b])
-            ids[grams], totals[grams] = _name(b, _summed(index)), total
+            total, index, low, many, lower = unpack_all(by_bucket[b])
+            totals[grams] = total
+            if len(index):
+                ids[grams] = _name(b, _summed(index))
             contexts = self.asks[asks]
             least[contexts] = np.minimum(least[contexts], low)
-            contexts = contexts[self.wanted[asks]]
-            having[:, contexts] += many.astype(np.int64).reshape(TOP + 1, -1)
-            lower[contexts] += taken
+            held.append(contexts[self.wanted[asks]])
+            sums.append(np.append(many.astype(float), lower).reshape(TOP + 2, -1))
+        held, sums = np.concatenate(held), np.concatenate(sums, 1)
+        *having, lower = [np.bincount(held, x, self.start + 1) for x in sums]
         whole = self.below.totals
         over = whole + (least > discounts.top)  # a context that nothing was taken from: one more
-        kept = whole - discounts.off(having)
+        kept = whole - discounts.off(np.array(having))
         weight = (1 - kept / np.maximum(over, 1)) / np.maximum(1 - lower, 1e-300)
         known = self.context >= 0
         p = np.where(known, weight[self.context], 1.0) * self.below.p
@@ -306,19 +329,20 @@ def _name(bucket: int, index: np.ndarray) -> np.ndarray:
     return index | bucket << 32
 
 
-def _merge(below: Discounts):
-    """A bucket of the model: sums the counts of n-grams over chunks and answers each chunk."""
+def _merge(below: Discounts, last: bool):
+    """A bucket of the model: sums the counts of n-grams over chunks and answers each chunk. Names of the n-grams are
+    for the next level."""
 
     def merge(group: pa.Table) -> pa.Table:
         parts = list(zip(*map(unpack_all, group.column("message").to_pylist())))
         ids = np.concatenate([_summed(x) for x in parts[0]])
         over, _, fan, word, count, ending = (np.concatenate([x.astype(np.int64) for x in p]) for p in parts[1:])
-        contexts, k = np.unique(ids, return_inverse=True)
+        contexts, k = _distinct(ids)
         over_of = np.empty(len(contexts), np.int64)
         over_of[k] = over
         row = np.repeat(k, fan)
-        words, w = np.unique(word, return_inverse=True)
-        keys, place = np.unique(row * np.int64(max(len(words), 1)) + w, return_inverse=True)
+        words, w = _distinct(word)
+        keys, place = _distinct(row * np.int64(max(len(words), 1)) + w)
         total = np.bincount(place, count, len(keys)).astype(np.int64)
         row = keys // max(len(words), 1)
         of_ending = np.empty(len(keys), np.int64)
@@ -332,14 +356,14 @@ def _merge(below: Discounts):
             own = k[at : at + len(own)]
             some = own[want > 0]
             mine = place[gram : gram + n]
-            replies.append(pack_all(total[mine], _steps(index[mine]), least[own], having[:, some].ravel(), lower[some]))
+            replies.append(pack_all(total[mine], _steps(index[:0] if last else index[mine]), least[own], having[:, some].ravel(), lower[some]))
             at, gram = at + len(own), gram + n
         return _replied(group, replies, np.bincount(np.minimum(total, TOP + 2), minlength=TOP + 3)[: TOP + 2])
 
     return merge
 
 
-def score(docs: DataFrame, order: int = 3, size: int = 500_000, per_bucket: int = 1_000_000, hot: int = 200_000) -> DataFrame:
+def score(docs: DataFrame, order: int = 3, size: int = 800_000, per_bucket: int = 1_000_000, hot: int = 200_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document.
 
     Learned from documents whose crc32 of the id is not 1 modulo 5, those without an id among them. A null text counts
@@ -405,7 +429,7 @@ def score(docs: DataFrame, order: int = 3, size: int = 500_000, per_bucket: int
 
     for n in range(2, order + 1):
         sent = told(["chunk", "held", "sizes", "tokens"]).mapInArrow(asking(list(discounts)), MESSAGE)
-        answer, sums = _by_chunk(sent.groupBy("bucket").applyInArrow(_merge(discounts[-1]), REPLY), f"level{n}", TOP + 2)
+        answer, sums = _by_chunk(sent.groupBy("bucket").applyInArrow(_merge(discounts[-1], n == order), REPLY), f"level{n}", TOP + 2, n == order)
         answers.append(answer)
         discounts.append(Discounts.of(sums))
 
