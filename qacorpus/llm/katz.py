@@ -44,7 +44,7 @@ def _chunk(number: int, docs: list, held: list, sizes: list, words: list[np.ndar
     return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([docs], pa.list_(pa.int64())), *(pa.array([x], pa.binary()) for x in blobs)], names=["chunk", "docs", "held", "sizes", "vocabulary", "counts", "tokens"])
 
 
-def chunks(docs: DataFrame, size: int = 800_000) -> DataFrame:
+def chunks(docs: DataFrame, size: int = 550_000) -> DataFrame:
     """Documents as word numbers: some `size` tokens to a row, with the 64-bit hashes of its words in order.
 
     The texts' A-Z become small, words lie between ASCII white space, and each text has one end token.
@@ -54,7 +54,7 @@ def chunks(docs: DataFrame, size: int = 800_000) -> DataFrame:
         part, number = TaskContext.get().partitionId(), 0
         held: tuple[list, list, list, list] = ([], [], [], [])
         have = 0
-        for batch in slices(batches, rows=1000, volume=2 << 20):
+        for batch in slices(batches, rows=1000, volume=1 << 20):
             split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(batch.column("text").cast(pa.large_string()), "")))
             doc = np.repeat(np.arange(batch.num_rows), np.diff(split.offsets.to_numpy()))
             flat = split.flatten()
@@ -363,7 +363,7 @@ def _merge(below: Discounts, last: bool):
     return merge
 
 
-def score(docs: DataFrame, order: int = 3, size: int = 800_000, per_bucket: int = 1_000_000, hot: int = 200_000) -> DataFrame:
+def score(docs: DataFrame, order: int = 3, size: int = 550_000, per_bucket: int = 1_000_000, hot: int = 200_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document.
 
     Learned from documents whose crc32 of the id is not 1 modulo 5, those without an id among them. A null text counts
