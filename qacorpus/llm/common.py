@@ -148,3 +148,13 @@ def unpack_all(data: bytes) -> list[np.ndarray]:
         out.append(flat if size == 8 else flat.astype(np.int64))
         at += n * size
     return out
+
+
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values in order and the place of each value among them."""
+    order = np.argsort(values)
+    ordered = values[order]
+    fresh = np.append(True, ordered[1:] != ordered[:-1])[: len(values)]
+    place = np.empty(len(values), np.int32)
+    place[order] = np.cumsum(fresh) - 1
+    return ordered[fresh], place

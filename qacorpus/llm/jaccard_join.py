@@ -11,9 +11,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stored
+from .common import distinct, slices, stored
 from .components import components
 
+#: Leaves of more than this part of all rows, so at most this many, are joined by broadcast.
+HOT = 10_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -48,7 +50,8 @@ def shingle_sets(texts: pa.Array, words: int = 5) -> list[np.ndarray]:
     out = []
     for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
         if b - a >= words:
-            out.append(np.unique(rolled[a : b - words + 1]))
+            own = np.sort(rolled[a : b - words + 1])
+            out.append(own[np.append(True, own[1:] != own[:-1])])
         elif b > a:
             short = np.full(1, b - a, np.uint64)
             for k in range(a, b):
@@ -95,7 +98,22 @@ def _signatures(docs: DataFrame, words: int, places: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(of, "doc_id long, n long, d1 long, d2 long, low array<long>")
 
 
-def _leaves(texts: DataFrame, runs: int, depth: int, small: int) -> DataFrame:
+def _sized(rows: DataFrame, sizes: DataFrame, hot: int) -> DataFrame:
+    """rows with what sizes has for their leaf, `many` among it; leaves that sizes hasn't are left out.
+
+    Leaves of more than `hot` rows are joined by broadcast, so that no task gets all rows of one: where `hot` is a share
+    of all rows, there are no more of them than that share's inverse. All others are joined by a shuffle, to which a
+    hot leaf's rows go by their own numbers, and find nothing.
+    """
+    more = [c for c in sizes.columns if c != "leaf"]
+    large = F.broadcast(sizes.filter(F.col("many") > hot).select("leaf", *[F.col(c).alias(f"hot_{c}") for c in more]))
+    marked = rows.join(large, "leaf", "left").withColumn("key", F.when(F.col("hot_many").isNull(), F.col("leaf")).otherwise(F.xxhash64("tid", "run")))
+    rest = sizes.filter(F.col("many") <= hot).withColumnRenamed("leaf", "key")
+    both = marked.join(rest, "key", "left").withColumns({c: F.coalesce(f"hot_{c}", F.when(F.col("hot_many").isNull(), F.col(c))) for c in more})
+    return both.filter("many is not null").select(*rows.columns, *more)
+
+
+def _leaves(texts: DataFrame, runs: int, depth: int, small: int, hot: int) -> DataFrame:
     """(tid, run, leaf): where each distinct text ends in each run; texts that end alone aren't given.
 
     A run starts with one bucket. A bucket of more than `small` texts splits by the token that comes first in each set
@@ -107,7 +125,7 @@ def _leaves(texts: DataFrame, runs: int, depth: int, small: int) -> DataFrame:
     out = None
     for level in range(depth):
         count = rows.groupBy("leaf").agg(F.count(F.lit(1)).alias("many")).filter("many > 1")
-        shared = rows.join(count, "leaf")
+        shared = _sized(rows, count, hot)
         last = level == depth - 1
         ended = (shared if last else shared.filter(F.col("many") <= small)).select("tid", "run", "leaf")
         out = ended if out is None else out.union(ended)
@@ -120,7 +138,7 @@ def _linked(sets: list[np.ndarray], least: float) -> np.ndarray:
     """Which pairs of sets have at least that Jaccard similarity: intersections from products of 0/1 matrices."""
     m = len(sets)
     size = np.array([len(s) for s in sets])
-    values, place = np.unique(np.concatenate(sets), return_inverse=True)
+    values, place = distinct(np.concatenate(sets))
     row = np.repeat(np.arange(m), size)
     shared = np.bincount(place, minlength=len(values)) > 1
     column = np.cumsum(shared) - 1
@@ -217,7 +235,8 @@ def join(docs: DataFrame, least: float = 0.8, words: int = 5, recall: float = 0.
         named.groupBy("d1", "d2").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("low").alias("low")).withColumnRenamed("d1", "tid"),
         "texts",
     )
-    leaves = _leaves(texts, runs, depth, small)
+    hot = max(1, texts.count() * runs // HOT)
+    leaves = _leaves(texts, runs, depth, small, hot)
     by_run = F.map_from_entries(F.collect_list(F.struct("run", "leaf")))
     paths = stored(leaves.groupBy("tid").agg(by_run.alias("by_run")).select("tid", F.array(*[F.col("by_run")[r] for r in range(runs)]).alias("paths")), "paths")
     met = paths.join(texts.select("tid", "doc_id", "copies", "n"), "tid").select("tid", "doc_id", "copies", "n", "paths", F.posexplode("paths").alias("run", "leaf")).filter("leaf is not null")
@@ -226,8 +245,8 @@ def join(docs: DataFrame, least: float = 0.8, words: int = 5, recall: float = 0.
         end = F.col("paths")[t]
         earlier = earlier | ((F.count(end) == F.count(F.lit(1))) & (F.min(end) == F.max(end)) & (F.lit(t) < F.col("run")))
     parts = F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("n") / volume)).cast("int")
-    fresh = stored(met.groupBy("run", "leaf").agg(parts.alias("blocks"), earlier.alias("earlier")).filter("not earlier").drop("earlier"), "leaves")
-    held = stored(met.join(fresh, ["run", "leaf"]), "held")
+    fresh = stored(met.groupBy("run", "leaf").agg(parts.alias("blocks"), F.count(F.lit(1)).alias("many"), earlier.alias("earlier")).filter("not earlier").select("leaf", "blocks", "many"), "leaves")
+    held = stored(_sized(met, fresh, hot).drop("many"), "held")
 
     def sets(batches):
         for batch in slices(batches, rows=4000):
@@ -257,7 +276,12 @@ def join(docs: DataFrame, least: float = 0.8, words: int = 5, recall: float = 0.
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """The document with the smallest id of each class of join(), once; documents without an id all stay."""
+    """The document with the smallest id of each class of join(), once; documents without an id all stay.
+
+    Rows with one id are one document: it goes if any of them is linked to a smaller id; else the row with the smallest
+    text stays, a null one before all others.
+    """
     gone = join(docs, **how).filter("doc_id <> class_id").select("doc_id").distinct()
     rest = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    return rest.filter("doc_id is not null").dropDuplicates(["doc_id"]).union(rest.filter("doc_id is null"))
+    first = F.min_by(F.struct(*docs.columns), F.struct(F.col("text"), F.xxhash64(*docs.columns))).alias("row")
+    return rest.filter("doc_id is not null").groupBy("doc_id").agg(first).select("row.*").union(rest.filter("doc_id is null"))

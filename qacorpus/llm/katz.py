@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucketed, held_out, pack, pack_all, slices, stored, unpack, unpack_all
+from .common import bucketed, distinct, held_out, pack, pack_all, slices, stored, unpack, unpack_all
 
 #: Hashes of the end of a text and of what stands before its first word: of strings that are no words.
 END, START = xxhash.xxh64_intdigest(b""), xxhash.xxh64_intdigest(b" ")
@@ -26,19 +26,9 @@ MESSAGE = "bucket int, chunk long, message binary"
 CHUNK = "chunk long, docs array<long>, held binary, sizes binary, vocabulary binary, counts binary, tokens binary"
 
 
-def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct values in order and the place of each value among them."""
-    order = np.argsort(values)
-    ordered = values[order]
-    fresh = np.append(True, ordered[1:] != ordered[:-1])[: len(values)]
-    place = np.empty(len(values), np.int32)
-    place[order] = np.cumsum(fresh) - 1
-    return ordered[fresh], place
-
-
 def _chunk(number: int, docs: list, held: list, sizes: list, words: list[np.ndarray]) -> pa.RecordBatch:
     size, flags = np.array(sizes, np.int64), np.array(held, bool)
-    vocabulary, tokens = _distinct(np.concatenate(words))
+    vocabulary, tokens = distinct(np.concatenate(words))
     counts = np.bincount(tokens, np.repeat(~flags, size), len(vocabulary)).astype(np.int64)
     blobs = [flags.tobytes(), pack(size), pack_all(_steps(vocabulary.view(np.int64))), pack(counts), pack(tokens)]
     return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([docs], pa.list_(pa.int64())), *(pa.array([x], pa.binary()) for x in blobs)], names=["chunk", "docs", "held", "sizes", "vocabulary", "counts", "tokens"])
@@ -187,7 +177,7 @@ def _unigrams(table: DataFrame, bits: int) -> tuple[DataFrame, Unigrams]:
 
     def merge(group: pa.Table) -> pa.Table:
         words, counts = zip(*map(unpack_all, group.column("message").to_pylist()))
-        every, place = _distinct(np.concatenate([_summed(x) for x in words]))
+        every, place = distinct(np.concatenate([_summed(x) for x in words]))
         total = np.bincount(place, np.concatenate(counts), len(every)).astype(np.int64)
         index = np.maximum(np.cumsum(total > 0) - 1, 0)
         replies = [pack_all(total[p], _steps(index[p])) for p in np.split(place, np.cumsum(list(map(len, words)))[:-1])]
@@ -251,7 +241,7 @@ class _Asked:
         self.context = np.where(known, context, -1)
         ending = below.counts
         seen = known & (ending > 0)
-        keys, place = _distinct(context[seen] * np.int64(width) + tokens[seen])
+        keys, place = distinct(context[seen] * np.int64(width) + tokens[seen])
         self.place = np.full(len(tokens), -1, np.int32)
         self.place[seen] = place
         self.of = (keys // width).astype(np.int32)  # the context of each n-gram
@@ -337,12 +327,12 @@ def _merge(below: Discounts, last: bool):
         parts = list(zip(*map(unpack_all, group.column("message").to_pylist())))
         ids = np.concatenate([_summed(x) for x in parts[0]])
         over, _, fan, word, count, ending = (np.concatenate([x.astype(np.int64) for x in p]) for p in parts[1:])
-        contexts, k = _distinct(ids)
+        contexts, k = distinct(ids)
         over_of = np.empty(len(contexts), np.int64)
         over_of[k] = over
         row = np.repeat(k, fan)
-        words, w = _distinct(word)
-        keys, place = _distinct(row * np.int64(max(len(words), 1)) + w)
+        words, w = distinct(word)
+        keys, place = distinct(row * np.int64(max(len(words), 1)) + w)
         total = np.bincount(place, count, len(keys)).astype(np.int64)
         row = keys // max(len(words), 1)
         of_ending = np.empty(len(keys), np.int64)

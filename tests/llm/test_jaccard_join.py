@@ -62,7 +62,7 @@ def test_against_brute_force(spark, how):
     assert _rows(J.join(df, **how)) == _brute(docs)
 
 
-def test_hot_group_of_near_copies(spark):
+def test_hot_group_of_near_copies(spark, monkeypatch):
     rnd = random.Random(8)
     base = ["w%d" % i for i in range(80)]
     docs = []
@@ -70,7 +70,10 @@ def test_hot_group_of_near_copies(spark):
         words = list(base)
         words[rnd.randrange(80)] = f"x{rnd.randrange(300)}"
         docs.append((i, " ".join(words)))
-    assert _rows(J.join(spark.createDataFrame(docs, "doc_id long, text string"), small=16, block=64)) == _brute(docs)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert _rows(J.join(df, small=16, block=64)) == _brute(docs)
+    monkeypatch.setattr(J, "HOT", 10**9)  # every leaf is hot
+    assert _rows(J.join(df, small=16, block=64)) == _brute(docs)
 
 
 def test_keep_one(spark):
@@ -78,6 +81,8 @@ def test_keep_one(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     assert sorted(str(r.doc_id) for r in J.keep_one(df).collect()) == ["1", "3", "4", "None"]
     assert J.join(df.filter("false")).count() == 0
+    other = spark.createDataFrame([(1, "one text here"), (1, "another text"), (2, None), (2, "z")], "doc_id long, text string")
+    assert sorted(J.keep_one(other).collect()) == [(1, "another text"), (2, None)]
 
 
 def test_sets_and_runs():
