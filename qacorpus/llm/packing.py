@@ -48,104 +48,140 @@ def pieces(docs: DataFrame, vocabulary: bytes, ranks: bytes, end: int = 2, room:
     return docs.select("doc_id", "text").mapInArrow(of, PIECES)
 
 
-def _fillings(sizes: list[int], left: list[int], room: int) -> list[int]:
-    """Copies of each size that together fill as much of room as they can, with few documents."""
-    best = np.full(room + 1, 1 << 30, np.int64)
-    best[0] = 0
-    took = np.full(room + 1, -1, np.int64)
-    number = np.zeros(room + 1, np.int64)
-    order = [k for k in range(len(sizes) - 1, -1, -1) if left[k] and sizes[k] <= room]
-    history = []
-    for k in order:
-        old = best.copy()
-        took[:], number[:] = -1, 0
-        for c in range(1, min(left[k], room // sizes[k]) + 1):
-            w = c * sizes[k]
-            better = old[: room + 1 - w] + c < best[w:]
-            best[w:][better] = old[: room + 1 - w][better] + c
-            number[w:][better] = c
-        history.append((k, number.astype(np.int16)))
-        if best[room] == 1:
+def _configurations(sizes: np.ndarray, room: int) -> np.ndarray:
+    """All ways to put up to `room // sizes[0]` places of these ascending sizes together, as ascending size numbers, with
+    -1 for no place in front."""
+    found = last = np.arange(len(sizes))[:, None]
+    while True:
+        used = sizes[last].sum(1)
+        fit = np.searchsorted(sizes, room - used, side="right")  # sizes that still go in
+        many = np.maximum(fit - last[:, -1], 0)
+        if not many.sum():
+            return found
+        at = np.repeat(np.arange(len(last)), many)
+        more = last[at, -1] + np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
+        last = np.concatenate([last[at], more[:, None]], 1)
+        found = np.concatenate([np.pad(found, ((0, 0), (1, 0)), constant_values=-1), last])
+
+
+def _optimised(sizes: np.ndarray, need: np.ndarray, room: int, tries: int = 20_000) -> list[tuple[int, list[int]]]:
+    """How often to use which configurations of sizes so that the fewest sequences hold `need` places of each size, as
+    a linear programme in whole steps: simplex over all configurations, amounts rounded down."""
+    ways = _configurations(sizes, room)
+    m = len(sizes)
+    each = room // sizes
+    inverse, amount = np.diag(1.0 / each), need / each
+    basis: list[np.ndarray] = [np.full(c, k) for k, c in enumerate(each)]
+    for _ in range(tries):
+        price = np.append(inverse.sum(0), 0.0)  # of a place of each size; the last is of no place
+        gain = price[ways].sum(1)
+        way = ways[int(gain.argmax())]
+        if gain.max() <= 1 + 1e-9:
             break
-    copies = [0] * len(sizes)
-    at = int(np.flatnonzero(best < 1 << 30)[-1])
-    for k, number in reversed(history):
-        c = int(number[at])
-        copies[k] += c
-        at -= c * sizes[k]
-    return copies
-
+        way = way[way >= 0]
+        step = inverse @ np.bincount(way, minlength=m)
+        ratio = np.where(step > 1e-9, amount / np.where(step > 1e-9, step, 1), np.inf)
+        out = int(ratio.argmin())
+        amount = amount - ratio[out] * step
+        amount[out] = ratio[out]
+        basis[out] = way
+        row = inverse[out] / step[out]
+        inverse = inverse - np.outer(step, row)
+        inverse[out] = row
+    return [(int(x + 1e-6), b.tolist()) for x, b in zip(np.maximum(amount, 0), basis) if x >= 1]
+
+
+def _best_fit(counts: np.ndarray, classes: list[tuple[int, list[int]]], room: int) -> list[tuple[int, list[int]]]:
+    """classes with counts[n] pieces of each length n put in, the longest first, each where it leaves the least room."""
+    classes = list(classes)
+    spaces: list[tuple[int, int]] = sorted((room - sum(x), k) for k, (_, x) in enumerate(classes))
 
-def plan(counts: np.ndarray, room: int = 1024, groups: int = 800, small: int = 256) -> list[tuple[int, list[int]]]:
-    """How many sequences hold which lengths. counts[n]: pieces of length n, for n up to room.
+    def add(many: int, lengths: list[int]) -> None:
+        classes.append((many, lengths))
+        insort(spaces, (room - sum(lengths), len(classes) - 1))
 
-    Lengths over `small`, in order, are cut into groups of equal cardinality and rounded up to their group's largest.
-    Configurations of these few sizes are chosen greedily: the largest size left, with the copies of others that fill
-    the rest best, for as many sequences as the counts allow. Then each place takes an actual length of its group, and
-    the small lengths, largest first, go where they leave the least room. All of this works on counts, so its size
-    depends on room and groups and not on the number of pieces.
-    """
-    out: list[tuple[int, list[int]]] = [(int(counts[room]), [room])] if counts[room] else []
-    large = [(n, int(counts[n])) for n in range(small + 1, room) if counts[n]]
+    for n in np.flatnonzero(counts)[::-1].tolist():
+        c = int(counts[n])
+        while c:
+            at = bisect_left(spaces, (n, -1))
+            if at < len(spaces):
+                space, k = spaces.pop(at)
+                many, lengths = classes[k]
+            else:
+                space, k, lengths = room, None, []
+                many = -(-c // (room // n))
+            fit = space // n
+            full = min(many, c // fit)
+            rest = min(c - full * fit, fit - 1) if many > full else 0
+            c -= full * fit + rest
+            parts = [(x, lengths + [n] * y) for x, y in ((full, fit), (1 if rest else 0, rest), (many - full - (1 if rest else 0), 0)) if x]
+            if k is not None:
+                classes[k] = parts[0]
+                insort(spaces, (room - sum(parts[0][1]), k))
+                parts = parts[1:]
+            for x in parts:
+                add(*x)
+    return classes
+
+
+def _grouped(counts: np.ndarray, room: int, groups: int, small: int) -> list[tuple[int, list[int]]]:
+    """The linear grouping scheme with so many groups of equal cardinality."""
+    large = [(n, int(counts[n])) for n in range(small + 1, room + 1) if counts[n]]
     total = sum(c for _, c in large)
+    if not total:
+        return _best_fit(counts, [], room)
+    share, filled = -(-total // groups), 0
     runs: list[list[list[int]]] = []  # of each group: [length, count], ascending
-    if total:
-        share, filled = -(-total // groups), 0
-        for n, c in large:
-            while c:
-                if not runs or filled == share:
-                    runs.append([])
-                    filled = 0
-                part = min(c, share - filled)
-                runs[-1].append([n, part])
-                filled += part
-                c -= part
+    for n, c in large:
+        while c:
+            if not runs or filled == share:
+                runs.append([])
+                filled = 0
+            part = min(c, share - filled)
+            runs[-1].append([n, part])
+            filled += part
+            c -= part
     by_size: dict[int, list[list[int]]] = {}
     for r in runs:  # groups of the same rounded size are one
         by_size.setdefault(r[-1][0], []).extend(r)
     sizes = sorted(by_size)
-    pools = [sorted(by_size[s]) for s in sizes]
-    left = [sum(c for _, c in p) for p in pools]
+    pools = [sorted(by_size[k]) for k in sizes]
+    need = np.array([sum(c for _, c in p) for p in pools], float)
     classes: list[tuple[int, list[int]]] = []
-    for k in range(len(sizes) - 1, -1, -1):
-        while left[k]:
-            left[k] -= 1
-            copies = _fillings(sizes, left, room - sizes[k])
-            left[k] += 1
-            copies[k] += 1
-            used = [(g, c) for g, c in enumerate(copies) if c]
-            many = min(left[g] // c for g, c in used)
-            for g, c in used:
-                left[g] -= c * many
-            places = [_take(pools[g], many) for g, c in used for _ in range(c)]
-            ends = [np.cumsum([c for _, c in runs]) for runs in places]
-            at = 0
-            for to in np.unique(np.concatenate(ends)).tolist():
-                classes.append((to - at, [runs[int(np.searchsorted(e, at, side="right"))][0] for runs, e in zip(places, ends)]))
-                at = to
-    spaces: list[tuple[int, int]] = sorted((room - sum(x), k) for k, (_, x) in enumerate(classes))
-    for n in range(min(small, room - 1), 0, -1):
-        c = int(counts[n])
-        while c:
-            at = bisect_left(spaces, (n, -1))
-            if at == len(spaces):
-                fit = room // n
-                for bins, each in ((c // fit, fit), (1, c % fit)):
-                    if bins and each:
-                        classes.append((bins, [n] * each))
-                        insort(spaces, (room - n * each, len(classes) - 1))
-                break
-            space, k = spaces.pop(at)
-            many, lengths = classes[k]
-            part = min(many, c)
-            each = min(space // n, c // part)
-            c -= part * each
-            if many > part:
-                classes.append((many - part, lengths))
-                insort(spaces, (space, len(classes) - 1))
-            classes[k] = (part, lengths + [n] * each)
-            insort(spaces, (space - n * each, k))
-    return out + classes
+    for many, way in _optimised(np.array(sizes), need, room):
+        places = [_take(pools[g], min(many, sum(c for _, c in pools[g]))) for g in way]
+        ends = [np.cumsum([c for _, c in runs]) for runs in places]
+        at = 0
+        for to in np.unique(np.concatenate([[many], *ends])).tolist():
+            held = [runs[int(np.searchsorted(e, at, side="right"))][0] for runs, e in zip(places, ends) if len(e) and at < e[-1]]
+            if held and to > at:
+                classes.append((int(to - at), held))
+            at = to
+    left = counts.copy()
+    left[small + 1 :] = 0
+    for p in pools:
+        for n, c in p:
+            left[n] += c
+    return _best_fit(left, classes, room)
+
+
+def plan(counts: np.ndarray, room: int = 1024, groups: tuple[int, ...] = (30, 60, 120), small: int | None = None) -> list[tuple[int, list[int]]]:
+    """How many sequences hold which lengths. counts[n]: pieces of length n, for n up to room.
+
+    Lengths over `small` (a quarter of room), in order, are cut into groups of equal cardinality and rounded up to their
+    group's largest. A linear programme says how often each configuration of these few sizes is used; amounts are
+    rounded down. Then each place takes an actual length of its group, and what is left of the large lengths and all
+    small ones, largest first, go where they leave the least room. Of the plans with each number of groups, and of
+    plain best-fit decreasing, that with the fewest sequences is taken. All of this works on counts, so its size
+    depends on room and groups and not on the number of pieces.
+    """
+    small = room // 4 if small is None else small
+    counts = np.asarray(counts, np.int64)
+    whole = [(int(counts[room]), [room])] if counts[room] else []
+    rest = counts.copy()
+    rest[room] = rest[0] = 0
+    plans = [_best_fit(rest, [], room), *(_grouped(rest, room, g, small) for g in groups)]
+    return whole + min(plans, key=lambda p: sum(many for many, _ in p))
 
 
 def _take(pool: list[list[int]], many: int) -> list[tuple[int, int]]:
@@ -163,7 +199,7 @@ def _take(pool: list[list[int]], many: int) -> list[tuple[int, int]]:
     return out
 
 
-def pack(stored_pieces: DataFrame, room: int = 1024, groups: int = 800, small: int = 256) -> DataFrame:
+def pack(stored_pieces: DataFrame, room: int = 1024) -> DataFrame:
     """Stored pieces with sequence_id and offset.
 
     Only the count of each length (at most `room` numbers) reaches the driver, where plan() turns it into places: runs
@@ -180,7 +216,7 @@ def pack(stored_pieces: DataFrame, room: int = 1024, groups: int = 800, small: i
     places: dict[int, list[tuple[int, int, int]]] = {}
     given = np.zeros(room + 1, np.int64)
     sequence = 0
-    for many, lengths in plan(counts, room, groups, small):
+    for many, lengths in plan(counts, room):
         offset = 0
         for n in lengths:
             places.setdefault(n, []).append((int(given[n]), sequence, offset))
