@@ -165,22 +165,22 @@ def _grouped(counts: np.ndarray, room: int, groups: int, small: int) -> list[tup
     return _best_fit(left, classes, room)
 
 
-def plan(counts: np.ndarray, room: int = 1024, groups: tuple[int, ...] = (30, 60, 120), small: int | None = None) -> list[tuple[int, list[int]]]:
+def plan(counts: np.ndarray, room: int = 1024, groups: tuple[int, ...] = (30, 60, 120)) -> list[tuple[int, list[int]]]:
     """How many sequences hold which lengths. counts[n]: pieces of length n, for n up to room.
 
-    Lengths over `small` (a quarter of room), in order, are cut into groups of equal cardinality and rounded up to their
-    group's largest. A linear programme says how often each configuration of these few sizes is used; amounts are
-    rounded down. Then each place takes an actual length of its group, and what is left of the large lengths and all
-    small ones, largest first, go where they leave the least room. Of the plans with each number of groups, and of
-    plain best-fit decreasing, that with the fewest sequences is taken. All of this works on counts, so its size
-    depends on room and groups and not on the number of pieces.
+    Lengths over a bound, in order, are cut into groups of equal cardinality and rounded up to their group's largest. A
+    linear programme says how often each configuration of these few sizes is used; amounts are rounded down. Then each
+    place takes an actual length of its group, and what is left of the large lengths and all small ones, largest first,
+    go where they leave the least room. Of the plans with each number of groups and with a quarter, half and all of
+    room as the bound, that with the fewest sequences is taken; with the last all lengths are small, so there are never
+    more sequences than by best-fit decreasing. All of this works on counts, so its size depends on room and groups and
+    not on the number of pieces.
     """
-    small = room // 4 if small is None else small
     counts = np.asarray(counts, np.int64)
     whole = [(int(counts[room]), [room])] if counts[room] else []
     rest = counts.copy()
     rest[room] = rest[0] = 0
-    plans = [_best_fit(rest, [], room), *(_grouped(rest, room, g, small) for g in groups)]
+    plans = [_grouped(rest, room, g, small) for small in (room // 4, room // 2) for g in groups] + [_grouped(rest, room, 1, room)]
     return whole + min(plans, key=lambda p: sum(many for many, _ in p))
 
 
