@@ -19,8 +19,9 @@ class Quantised:
         self.scale = np.maximum(np.abs(x).max(1), 1e-300) / 127
         self.code = np.rint(x / self.scale[:, None]).astype(np.int8)
         near = self.code * self.scale[:, None]
-        self.near = np.linalg.norm(near, axis=1)
-        self.off = np.linalg.norm(x - near, axis=1)
+        with np.errstate(over="ignore"):
+            self.near = np.linalg.norm(near, axis=1)
+            self.off = np.linalg.norm(x - near, axis=1)
 
 
 def tile_bounds(a: Quantised, b: Quantised) -> tuple[np.ndarray, np.ndarray]:
@@ -32,17 +33,21 @@ def tile_bounds(a: Quantised, b: Quantised) -> tuple[np.ndarray, np.ndarray]:
     product = np.zeros((len(a.x), len(b.x)))
     for k in range(0, a.x.shape[1], 1024):
         product += a.code[:, k : k + 1024].astype(np.float32) @ b.code[:, k : k + 1024].astype(np.float32).T
-    product *= a.scale[:, None] * b.scale[None, :]
-    error = a.off[:, None] * (b.near + b.off)[None, :] + a.near[:, None] * b.off[None, :]
-    error += 1e-12 * (np.abs(product) + error)
-    return product - error, product + error
+    with np.errstate(over="ignore", invalid="ignore"):
+        product *= a.scale[:, None] * b.scale[None, :]
+        error = a.off[:, None] * (b.near + b.off)[None, :] + a.near[:, None] * b.off[None, :]
+        error += 1e-12 * (np.abs(product) + error) + 1e-300
+        low, high = product - error, product + error
+    low[np.isnan(low)], high[np.isnan(high)] = -np.inf, np.inf  # beyond the range of doubles nothing is known
+    return low, high
 
 
 def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Inner products of rows in double precision, summed in the order of the dimensions."""
     out = np.zeros(len(a))
-    for k in range(a.shape[1]):
-        out += a[:, k] * b[:, k]
+    with np.errstate(over="ignore", invalid="ignore"):
+        for k in range(a.shape[1]):
+            out += a[:, k] * b[:, k]
     return out
 
 
@@ -63,7 +68,7 @@ def best_of_block(query_ids, queries: np.ndarray, ids, rows: np.ndarray, k: int,
         if low.shape[1] > k:
             floor = np.maximum(floor, np.partition(low, low.shape[1] - k, 1)[:, -k])
         i, j = np.nonzero((high >= floor[:, None]) & ~own)
-        score = exact(queries[i], rows[at + j])
+        score = np.nan_to_num(exact(queries[i], rows[at + j]), nan=-np.inf, posinf=np.inf, neginf=-np.inf)
         for q, s, r in zip(i.tolist(), score.tolist(), ids[at + j].tolist()):
             heap = heaps[q]
             if len(heap) < k:
@@ -76,9 +81,9 @@ def best_of_block(query_ids, queries: np.ndarray, ids, rows: np.ndarray, k: int,
 
 
 def usable(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """vec_id, dims and v (doubles) of the rows that take part: an id and a vector without null or non-finite
-    components that isn't zero. Of several rows with one id the smallest vector stands for it."""
-    v = F.transform(F.col(vector), lambda x: x.cast("double"))
+    """vec_id, dims and v (floats as they are, else doubles) of the rows that take part: an id and a vector without null
+    or non-finite components that isn't zero. Of several rows with one id the smallest vector stands for it."""
+    v = F.col(vector) if vectors.schema[vector].dataType.simpleString() == "array<float>" else F.transform(F.col(vector), lambda x: x.cast("double"))
     rows = vectors.select(F.col(key).cast("long").alias("vec_id"), v.alias("v")).filter(F.col("vec_id").isNotNull() & (F.size("v") > 0))
     wrong = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = rows.filter(~F.coalesce(wrong, F.lit(True))).filter(F.exists("v", lambda x: x != 0))
@@ -89,7 +94,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, key: str = "vec_id
     """query_id, rank, vec_id and score: for each id divisible by `every` its k rows with the largest inner product.
 
     All candidates but the query's own are compared, nearest first and ties to the smaller id; with fewer candidates
-    all are given. Which rows take part is said in usable(); vectors are compared with those of their own length. No
+    all are given. Products beyond the range of doubles are infinite; sums of infinities of both signs count as the least. Which rows take part is said in usable(); vectors are compared with those of their own length. No
     rows give no rows, and other columns aren't read.
 
     Ids are dealt into blocks by a hash. Each block of queries meets each block of candidates in one task, which holds
@@ -105,7 +110,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, key: str = "vec_id
 
     def group(table: pa.Table) -> pa.Table:
         dims = table.column("dims")[0].as_py()
-        x = table.column("v").combine_chunks().values.to_numpy().reshape(-1, dims)
+        x = table.column("v").combine_chunks().values.to_numpy().astype(np.float64).reshape(-1, dims)
         asks, ids = table.column("asks").to_numpy(), table.column("vec_id").to_numpy()
         order = np.argsort(ids[~asks], kind="stable")
         q, r, s = best_of_block(ids[asks], x[asks], ids[~asks][order], x[~asks][order], k)

@@ -57,23 +57,29 @@ class Features:
         return np.stack([np.bincount(self.word, weights[self.ids, k], len(self.words)) for k in range(weights.shape[1])], 1)
 
 
+def _flags(words: list[str], lexicon: dict[str, list[int]], labels: int) -> np.ndarray:
+    """1 where a word is in a label's lexicon, else 0."""
+    out = np.zeros((len(words), labels))
+    for i, w in enumerate(words):
+        if w in lexicon:
+            out[i, lexicon[w]] = 1
+    return out
+
+
 @dataclass
 class Field:
     """labels; weights of hashed features and of being in each label's lexicon; transitions; log shares of labels."""
 
     labels: list[str]
     weights: np.ndarray
-    lexicon: dict[str, int]
+    lexicon: dict[str, list[int]]
     listed: np.ndarray
     moves: np.ndarray
     prior: np.ndarray
 
     def emissions(self, words: list[str]) -> np.ndarray:
         out = Features(words).emissions(self.weights)
-        bits = np.array([self.lexicon.get(w, 0) for w in words], np.int64)
-        for k in range(len(self.labels)):
-            out[(bits >> k) & 1 == 1] += self.listed[k]
-        return out
+        return out + _flags(words, self.lexicon, len(self.labels)) @ self.listed
 
     def marginals(self, emission: np.ndarray, sizes: np.ndarray, block: int = 64) -> np.ndarray:
         """Posterior label probabilities of each word. sizes: how many words each sequence has (1 at least).
@@ -166,11 +172,11 @@ def train(texts: list[str], langs: list[str], shares: dict[str, float], window:
     y_of = np.array([label_of[x] for x in langs], np.int64)
     count = np.zeros((len(names), len(labels)), np.int64)
     np.add.at(count, (place, y_of[doc]), 1)
-    lexicon: dict[str, int] = {}
+    lexicon: dict[str, list[int]] = {}
     for k in range(len(labels)):
         for w in np.argsort(-count[:, k], kind="stable")[:listed]:
             if count[w, k] >= 3:
-                lexicon[names[w]] = lexicon.get(names[w], 0) | 1 << k
+                lexicon.setdefault(names[w], []).append(k)
     field = Field(labels, np.zeros((PLACES, len(labels))), lexicon, np.zeros((len(labels), len(labels))), np.zeros((len(labels), len(labels))), prior)
     sizes = np.bincount(doc, minlength=len(texts)) if len(doc) else np.zeros(len(texts), np.int64)
     pieces = -(-sizes // window)
@@ -195,8 +201,7 @@ def train(texts: list[str], langs: list[str], shares: dict[str, float], window:
     used, x = np.unique(x, return_inverse=True)
     x = x.reshape(y.shape)
     features = Features([names[w] for w in used])
-    bits = np.array([lexicon.get(w, 0) for w in features.words], np.int64)
-    flags = ((bits[:, None] >> np.arange(len(labels))) & 1).astype(float)
+    flags = _flags(features.words, lexicon, len(labels))
     n, wide = y.size, len(labels)
     seen = np.zeros((n, wide))
     seen[np.arange(n), y.ravel()] = real.ravel()
@@ -236,7 +241,8 @@ def fit(docs: DataFrame, per_label: int = 800, longest: int = 10_000, **how) ->
 
     The shares of languages come from all of these documents. The weights come from a bounded sample: of each language
     up to `per_label` documents, chosen by a hash of id and text; of one with more than `longest` characters a run of so
-    many, at a place that the hash chooses, without the words that the run's ends may cut.
+    many, at a place that the hash chooses, without the words that the run's ends may cut. Languages may be of any
+    number, and their texts short; an empty table gives a field without labels.
     """
     known = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(4, 2))
     shares = {r.lang: r.n for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}

@@ -75,12 +75,14 @@ SIZE = len(statistics(b""))
 
 @dataclass
 class Discriminant:
-    """Class means and Cholesky factors. classes holds 0 and 1, or fewer if training rows had fewer."""
+    """Class means, and inverses and log determinants of Cholesky factors. classes holds 0 and 1, or fewer if training
+    rows had fewer."""
 
     classes: list[int]
     prior: np.ndarray
     mean: np.ndarray
-    factor: np.ndarray
+    whiten: np.ndarray
+    volume: np.ndarray
 
     @classmethod
     def fit(cls, moments: dict[int, tuple[float, np.ndarray, np.ndarray]], pooled: float = 0.1, ridge: float = 0.1) -> "Discriminant":
@@ -93,21 +95,23 @@ class Discriminant:
         means = [moments[k][1] / moments[k][0] for k in classes]
         scatter = [moments[k][2] - moments[k][0] * np.outer(m, m) for k, m in zip(classes, means)]
         total = sum(moments[k][0] for k in classes)
-        factors = []
+        whiten, volume = [], []
         for k, s in zip(classes, scatter):
             covariance = (1 - pooled) * s / max(moments[k][0], 1.0) + pooled * sum(scatter) / max(total, 1.0)
             covariance += (ridge * np.trace(covariance) / len(covariance) + 1e-9) * np.eye(len(covariance))
-            factors.append(np.linalg.cholesky(covariance))
-        return cls(classes, np.array([moments[k][0] / total for k in classes]), np.array(means), np.array(factors))
+            factor = np.linalg.cholesky(covariance)
+            whiten.append(np.linalg.inv(factor))
+            volume.append(np.log(np.diag(factor)).sum())
+        return cls(classes, np.array([moments[k][0] / total for k in classes]), np.array(means), np.array(whiten), np.array(volume))
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """Probability of label 1 of each row; 0.5 where nothing was learned."""
         if len(self.classes) < 2:
             return np.full(len(x), float(self.classes[0]) if self.classes else 0.5)
         density = []
-        for mean, factor, prior in zip(self.mean, self.factor, self.prior):
-            z = np.linalg.solve(factor, (x - mean).T)
-            density.append(np.log(prior) - np.log(np.diag(factor)).sum() - 0.5 * (z * z).sum(0))
+        for mean, whiten, volume, prior in zip(self.mean, self.whiten, self.volume, self.prior):
+            z = whiten @ (x - mean).T
+            density.append(np.log(prior) - volume - 0.5 * (z * z).sum(0))
         return 1 / (1 + np.exp(np.clip(density[0] - density[1], -700, 700)))
 
 

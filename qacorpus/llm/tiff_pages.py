@@ -20,6 +20,8 @@ TILE_WIDTH, TILE_LENGTH, TILE_OFFSETS, TILE_COUNTS = 322, 323, 324, 325
 TYPES = {1: ("B", 1), 3: ("H", 2), 4: ("I", 4), 6: ("b", 1), 8: ("h", 2), 9: ("i", 4)}
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 CLEAR, END = 256, 257
+#: No more bytes than this come out of one, by compression: of the formats' longest codes and runs.
+MOST = {NONE: 1, PACKBITS: 64, DEFLATE: 1100, OLD_DEFLATE: 1100, LZW: 4096}
 
 
 def packbits(rows: np.ndarray) -> bytes:
@@ -243,7 +245,7 @@ def read_pages(data: bytes | None) -> list[Page]:
             pages.append(page)
             try:
                 _fill(page, tags, data, order)
-            except (ValueError, KeyError, IndexError, zlib.error, struct.error) as e:
+            except (ValueError, KeyError, IndexError, ZeroDivisionError, OverflowError, MemoryError, zlib.error, struct.error) as e:
                 page.pixels, page.error = None, f"{type(e).__name__}: {e}"[:200]
             (at,) = struct.unpack_from(order + "I", data, at + 2 + 12 * many)
     except struct.error as e:
@@ -262,9 +264,14 @@ def _fill(page: Page, tags: dict, data: bytes, order: str) -> None:
     tiled = TILE_OFFSETS in tags
     wide, high = (one(TILE_WIDTH), one(TILE_LENGTH)) if tiled else (page.width, min(one(ROWS_PER_STRIP, page.height), page.height))
     offsets, counts = (tags[TILE_OFFSETS], tags[TILE_COUNTS]) if tiled else (tags[STRIP_OFFSETS], tags[STRIP_COUNTS])
+    if min(page.width, page.height, page.samples, wide, high) < 1:
+        raise ValueError("a size is 0")
     across, down = -(-page.width // wide), -(-page.height // high)
-    if min(wide, high) < 1 or len(offsets) < across * down * planes or len(counts) < len(offsets):
+    if len(offsets) < across * down * planes or len(counts) < len(offsets):
         raise ValueError("strips or tiles are missing")
+    most = sum(min(n, len(data)) for n in counts) * MOST.get(page.compression, 1)
+    if (across * wide * down * high if tiled else page.width * page.height) * page.samples * kind.itemsize > most:
+        raise ValueError("more pixels than the strips or tiles can hold")
     image = np.zeros((down * high, across * wide, page.samples), kind)
     for k in range(across * down * planes):
         plane, cell = divmod(k, across * down)
@@ -321,7 +328,10 @@ def payload_of(text: bytes) -> bytes:
 
 
 def store_texts(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes and the TIFF file that holds each text; null counts as empty."""
+    """doc_id, n_bytes and the TIFF file that holds each text; null counts as empty.
+
+    Repeated rows give a row each, an empty table gives none, and other columns of docs aren't read.
+    """
 
     def of(batches):
         for batch in slices(batches, rows=500):
@@ -347,7 +357,10 @@ def feature_of(pages_read: list[Page]) -> str:
 
 
 def stored_features(files: DataFrame) -> DataFrame:
-    """What op5 asks for of each stored file, from the bytes that read_pages() gives back."""
+    """Digests and a feature of each file of store_texts(), from the bytes that read_pages() gives back.
+
+    Repeated rows give a row each, an empty table gives none.
+    """
 
     def of(batches):
         for batch in slices(batches, rows=500, column="media"):

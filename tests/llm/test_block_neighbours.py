@@ -38,3 +38,23 @@ def test_against_brute_force(spark):
     assert B.nearest(df.filter("false")).count() == 0
     twice = B.nearest(df.union(df), every=20)
     assert sorted(tuple(r) for r in twice.collect()) == sorted(tuple(r) for r in B.nearest(df, every=20).collect())
+
+
+def test_large_and_small_magnitudes(spark):
+    rnd = np.random.default_rng(2)
+    for size in (1e155, 1e-160, 1e20):
+        rows = [(i, (rnd.normal(size=4) * size).tolist()) for i in range(101)]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        got = sorted(tuple(r) for r in B.nearest(df, every=50).collect())
+        ok = dict(rows)
+        want = []
+        for q in (0, 50, 100):
+            scored = []
+            for c, v in rows:
+                if c != q:
+                    s = 0.0
+                    for a, b in zip(ok[q], v):
+                        s += a * b
+                    scored.append((-s if s == s else math.inf, c))
+            want += [(q, r + 1, c) for r, (_, c) in enumerate(sorted(scored)[:20])]
+        assert [g[:3] for g in got] == sorted(want)

@@ -83,3 +83,12 @@ def test_short_and_long_texts_teach(spark):
     # all labels are drawn from, however few windows are used
     field = L.train([t for _, t, _ in mixed], [x for _, _, x in mixed], {x: 1 / 3 for x in SOUNDS}, most=9)
     assert field.predict(pa.array([_text(rnd, x, 40) for x in SOUNDS], pa.large_string()))[0] == list(SOUNDS)
+
+
+def test_many_languages(spark):
+    rnd = random.Random(7)
+    rows = [(i, " ".join(f"{chr(0x4E00 + 7 * (i % 70))}{chr(0x4E01 + 7 * (i % 70) + rnd.randrange(3))}" for _ in range(8)), f"l{i % 70:02}") for i in range(1400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    truth = {i: x for i, _, x in rows}
+    got = L.predict(df, L.fit(df, most=2000)).collect()
+    assert np.mean([r.lang_pred == truth[r.doc_id] for r in got]) > 0.9

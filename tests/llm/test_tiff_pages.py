@@ -63,6 +63,10 @@ def test_broken_files():
     loop = bytearray(good)
     loop[-4:] = good[4:8]  # the directory names itself as the next
     assert len(T.read_pages(bytes(loop))) == 1
+    for wrong in ([(256, 4, 0)], [(278, 4, 0)], [(256, 4, 3_000_000), (257, 4, 3_000_000), (278, 4, 3_000_000)], [(257, 4, 2**32 - 1)], [(277, 3, 0)], [(322, 4, 0), (323, 4, 16), (324, 4, 8), (325, 4, 4)]):
+        tags = {256: (256, 4, 2), 257: (257, 4, 2), 258: (258, 3, 8), 277: (277, 3, 1), 278: (278, 4, 2), 273: (273, 4, 8), 279: (279, 4, 4)} | {t[0]: t for t in wrong}
+        (page,) = T.read_pages(_big_endian(list(tags.values()), b"abcd"))
+        assert page.error and page.pixels is None
 
 
 def test_query_and_pages(spark):
