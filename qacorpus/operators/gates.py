@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lists
 from ..functions.text import lemmas, normalize_lexical
-from .questions import _array, _by_lang
+from .questions import _array, _by_lang, strip_py
 
 
 def answer_coverage(answers: DataFrame, contexts: DataFrame, idf: DataFrame, idf_max: float | None, table: Column | None = None) -> DataFrame:
@@ -34,8 +34,7 @@ def model_does_not_know(text: Column, lang: Column) -> Column:
 def explicit_refusal(text: Column, lang: Column, window: int = 160) -> Column:
     """Whether a refusal stands in the first characters, without accents and with plain apostrophes."""
     start = normalize_lexical(F.translate(F.substring(text, 1, window), "’", "'"))
-    plain = lambda x: [p.replace("ę", "e").replace("ć", "c").replace("ó", "o").replace("ż", "z").replace("ą", "a") for p in lists.EXPLICIT_REFUSALS[x]]
-    return _by_lang(lang, lambda x: reduce(lambda a, p: a | F.contains(start, F.lit(p)), plain(x), F.lit(False)))
+    return _by_lang(lang, lambda x: reduce(lambda a, p: a | F.contains(start, F.lit(strip_py(p))), lists.EXPLICIT_REFUSALS[x], F.lit(False)))
 
 
 def gate_reason(df: DataFrame) -> DataFrame:

@@ -62,12 +62,12 @@ def rate_counts(df: DataFrame, key: str, per_min: int, per_day: int) -> DataFram
 def fold_cooldown(rows, until: float | None, seconds: int):
     """rows (t, outcome, correction) of one address in order; gives accepted for each, and the time it is blocked until.
 
-    A first mail starts a block, a complete failure or a refusal by the global limit ends it, a partial failure keeps
+    A first mail starts a block, to whose last moment others are refused; a complete failure or a refusal by the global limit ends it, a partial failure keeps
     it, and a correction renews it.
     """
     accepted = []
     for t, outcome, correction in rows:
-        if not correction and until is not None and t < until:
+        if not correction and until is not None and t <= until:
             accepted.append(False)
             continue
         accepted.append(outcome != "limit")

@@ -159,7 +159,7 @@ def full_report(df: DataFrame, days: int | None = None, lang: str | None = None,
 def outcome(df: DataFrame) -> DataFrame:
     """wynik and powod from mode, section and refusal_reason; has_data false: nothing came back."""
     wynik = F.when(F.col("mode") == "rozmowa", "rozmowa").when(F.coalesce("section", F.lit("")) != "", "odpowiedz").otherwise("odmowa")
-    reason = F.when(~F.coalesce("has_data", F.lit(False)), "brak_wyniku").when(wynik == "odmowa", F.coalesce("refusal_reason", F.lit("odmowa"))).otherwise(wynik)
+    reason = F.when(~F.coalesce("has_data", F.lit(False)), "brak_wyniku").when(wynik == "odmowa", F.coalesce(F.nullif("refusal_reason", F.lit("")), F.lit("odmowa"))).otherwise(wynik)
     return df.withColumns({"wynik": wynik, "powod": reason})
 
 
@@ -239,4 +239,5 @@ def validate_events(df: DataFrame) -> DataFrame:
 
 
 def client_ip(forwarded: Column, host: Column) -> Column:
-    return F.when(forwarded.isNull(), host).otherwise(F.trim(F.element_at(F.split(forwarded, ","), -1)))
+    """The last address of the header, or the host where the header is missing or empty."""
+    return F.when(F.coalesce(forwarded, F.lit("")) == "", host).otherwise(F.trim(F.element_at(F.split(forwarded, ","), -1)))

@@ -74,7 +74,8 @@ def detect_language(df: DataFrame, freq: DataFrame, key: str = "query_id", text:
 
 
 def effective_language(hint: Column, detected: Column, default: str = "pl") -> Column:
-    return F.coalesce(hint, detected, F.lit(default))
+    """The hint, else the detected language, else the default; empty ones count as missing."""
+    return F.coalesce(F.nullif(hint, F.lit("")), F.nullif(detected, F.lit("")), F.lit(default))
 
 
 def best_candidate(tokens: DataFrame, dictionary: DataFrame) -> DataFrame:

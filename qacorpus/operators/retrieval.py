@@ -101,8 +101,9 @@ def candidates(rankings: list[DataFrame], k_raw: int, k: int = 60) -> DataFrame:
 
 
 def dedup_best(hits: DataFrame, key: list[str]) -> DataFrame:
-    """Of each query's hits with one key the one with the highest score, the earlier of equals."""
-    return hits.withColumn("_place", _place(["query_id", *key], [F.desc("score"), "pos"])).filter("_place = 0").drop("_place")
+    """Of each query's hits with one key the one with the highest score, the earlier of equals, at the place of the first."""
+    first = F.min("pos").over(Window.partitionBy("query_id", *key))
+    return hits.withColumns({"_place": _place(["query_id", *key], [F.desc("score"), "pos"]), "_first": first}).filter("_place = 0").drop("_place", "pos").withColumnRenamed("_first", "pos")
 
 
 def _first(hits: DataFrame, k: int) -> DataFrame:
@@ -157,7 +158,7 @@ def search_reranked(queries: DataFrame, by_side: list[DataFrame], chunks: DataFr
     first k by score."""
     rows = None
     for number, side in enumerate(by_side):
-        part = side.select("query_id", "chunk_id", (F.col("pos") + number * 1_000_000).alias("pos"))
+        part = side.select("query_id", "chunk_id", (F.col("pos") + F.lit(number << 40)).alias("pos"))  # beyond all places of a ranking
         rows = part if rows is None else rows.unionByName(part)
     hits = rerank_pairs(queries, rows, chunks, scorer)
     return _first(dedup_best(dedup_best(hits, ["url"]), ["title", "text"]), k)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -15,7 +15,7 @@ from ..operators import questions as Q
 from ..operators import retrieval as R
 from ..sources import io
 from ..streaming import streams as W
-from . import views
+from . import log_queries, views
 from .scratch import stored
 
 QUERIES: dict = {}
@@ -74,8 +74,8 @@ query("c14_merged", "SELECT count(*) AS n, max(doc_id) AS last FROM (SELECT doc_
 query("c19_content_sha", "SELECT doc_id, sha1(title || chr(10) || body) AS sha, 'passage: ' || title || chr(10) || body AS passage FROM articles")(
     lambda spark, sf_dir: views.articles(spark, sf_dir).select("doc_id", T.content_sha(F.col("title"), F.col("body")).alias("sha"), C.passage_text(F.col("title"), F.col("body")).alias("passage"))
 )
-query("c18_unit_vectors", "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x)) / list_sum(list_transform(embedding, lambda x: x::DOUBLE * x)), 6) AS norm FROM embeddings")(
-    lambda spark, sf_dir: read(spark, sf_dir, "embeddings").select("vec_id", F.round(F.aggregate(T.l2_normalize(F.transform("embedding", lambda x: x.cast("double"))), F.lit(0.0), lambda a, x: a + x * x), 6).alias("norm"))
+query("c18_unit_vectors", "SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS place, round(unnest(embedding)::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS value FROM embeddings")(
+    lambda spark, sf_dir: read(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(T.l2_normalize(F.transform("embedding", lambda x: x.cast("double")))).alias("place", "value")).select("vec_id", F.col("place").cast("long").alias("place"), F.round("value", 6).alias("value"))
 )
 query("c21_fingerprint")(lambda spark, sf_dir: C.fingerprint(read(spark, sf_dir, "documents"), "doc_id", ["text", "lang", "source"], stored))
 query("c05_ids", "SELECT doc_id, section, row_number() OVER (ORDER BY section, doc_id) - 1 AS chunk_id FROM articles")(
@@ -194,8 +194,8 @@ query(
     "q01_screened",
     r""", s AS (SELECT query_id, trim(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS q FROM questions) SELECT query_id, CASE WHEN length(q) < 3 THEN 'za_krotkie' WHEN length(q) > 500 THEN 'za_dlugie' WHEN length(regexp_replace(q, '\P{L}', '', 'g')) / length(q) < 0.4 THEN 'nie_rozumiem' END AS reason FROM s""",
 )(lambda spark, sf_dir: views.user_questions(spark, sf_dir).select("query_id", Q.screen_question(F.col("text")).alias("reason")))
-query("q03_cleaned", f" SELECT CASE WHEN len(list_filter(regexp_extract_all(text, '{WORDS}'), lambda w: length(w) >= 2)) <= 1 THEN 'bez_tresci' END AS reason, count(*) AS n FROM questions GROUP BY 1 HAVING reason IS NOT NULL")(
-    lambda spark, sf_dir: Q.clean_questions(views.user_questions(spark, sf_dir))[2]
+query("q03_cleaned", f", t AS (SELECT CASE query_id % 5 WHEN 0 THEN text[:4] || ' ?' WHEN 1 THEN text || ' привет' ELSE text END AS text FROM questions) SELECT CASE WHEN regexp_matches(text, '[а-я]') THEN 'obcy_alfabet' WHEN len(list_filter(regexp_extract_all(text, '{WORDS}'), lambda w: length(w) >= 2)) <= 1 THEN 'bez_tresci' END AS reason, count(*) AS n FROM t GROUP BY 1 HAVING reason IS NOT NULL")(
+    lambda spark, sf_dir: Q.clean_questions(views.user_questions(spark, sf_dir).withColumn("text", F.when(F.col("query_id") % 5 == 0, F.concat(F.substring("text", 1, 4), F.lit(" ?"))).when(F.col("query_id") % 5 == 1, F.concat("text", F.lit(" привет"))).otherwise(F.col("text"))))[2]
 )
 query(
     "q04_languages",
@@ -277,7 +277,21 @@ query(
     r""", p AS (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)), 9) AS score FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0)
     SELECT query_id, chunk_id, round(score, 6) AS score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) - 1)::INT AS pos FROM p QUALIFY pos < 10""",
 )(lambda spark, sf_dir: (lambda e: R.vector_rank(e.filter("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), "vector"), e, 10).withColumn("score", F.round("score", 6)))(read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))))
-query("r03_fused", _RANK + " SELECT query_id, chunk_id, round(1.0 / (60 + pos), 12) AS score, pos FROM r WHERE pos < 20")(lambda spark, sf_dir: R.rrf([_bm25(spark, sf_dir)]))
+query(
+    "r03_fused",
+    _RANK + """, two AS (SELECT query_id, chunk_id, pos FROM r WHERE pos < 20 UNION ALL SELECT query_id, doc_id, (row_number() OVER (PARTITION BY query_id ORDER BY length(body) DESC, doc_id) - 1)::INT AS pos FROM r JOIN articles ON doc_id = chunk_id WHERE pos < 20 AND chunk_id % 3 > 0),
+    f AS (SELECT query_id, chunk_id, round(sum(1.0 / (60 + pos)), 12) AS score FROM two GROUP BY 1, 2) SELECT query_id, chunk_id, score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) - 1)::INT AS pos FROM f""",
+)(lambda spark, sf_dir: _fused(spark, sf_dir))
+
+
+def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ranking by BM25 and, of two thirds of its articles, one by length."""
+    by_words = stored(_bm25(spark, sf_dir), "ranking")
+    rows = by_words.filter("chunk_id % 3 > 0").join(views.articles(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), F.length("body").alias("n")), "chunk_id")
+    by_length = rows.select("query_id", "chunk_id", (F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("n"), "chunk_id")) - 1).alias("pos"))
+    return R.rrf([by_words, by_length])
+
+
 query("r04_certified")(lambda spark, sf_dir: R.certified((_bm25(spark, sf_dir, 50), R.vector_rank(*_encoded(spark, sf_dir), 50)), 5, 50))
 query("r06_hybrid")(lambda spark, sf_dir: R.search_hybrid([_bm25(spark, sf_dir), R.vector_rank(*_encoded(spark, sf_dir), 20)], whole_chunks(spark, sf_dir)).select("query_id", "chunk_id", "url", "score", "pos"))
 query("r08_reranked")(lambda spark, sf_dir: R.search_reranked(_benchmark(spark, sf_dir), [R.candidates([_bm25(spark, sf_dir), R.vector_rank(*_encoded(spark, sf_dir), 20)], 12)], whole_chunks(spark, sf_dir), 5).select("query_id", "chunk_id", "url", "score", "pos"))
@@ -467,7 +481,10 @@ query("w02_daily", f", log AS ({views.LOG}) SELECT CAST(ts AS DATE) AS day, coun
 query("w03_rate", f", log AS ({views.LOG}), b AS (SELECT user_id % 20 AS ip, time_bucket(INTERVAL 1 HOUR, ts) AS start FROM log) SELECT ip, start, start + INTERVAL 1 HOUR AS end, count(*) AS n FROM b GROUP BY 1, 2")(
     lambda spark, sf_dir: _finished(W.stream_rate(_stream(spark, sf_dir).withColumn("ip", F.col("user_id") % 20), "ip", "1 hour", "1 hour"), "rate", "complete").withColumns({"start": F.col("start").cast("timestamp_ntz"), "end": F.col("end").cast("timestamp_ntz")})
 )
-query("w04_admit")(lambda spark, sf_dir: _finished(W.stream_admit(_stream(spark, sf_dir), "user_id", 2, 40), "admit"))
+query("w04_admit", f", log AS ({views.LOG})" + log_queries.ADMITTED + " SELECT user_id::VARCHAR AS key, seq, admitted FROM f WHERE n > 0")(lambda spark, sf_dir: _finished(W.stream_admit(_stream(spark, sf_dir), "user_id", 2, 40), "admit"))
+query("w05_cooldown", f", log AS ({views.LOG})" + log_queries.COOLED + " SELECT email || '@x.example' AS address, seq, accepted FROM a")(
+    lambda spark, sf_dir: _finished(W.stream_cooldown(log_queries.mails(_stream(spark, sf_dir)), 6 * 3600), "cooldown")
+)
 query("w06_signal")(lambda spark, sf_dir: _finished(W.stream_gate_signal(_stream(spark, sf_dir).filter("typ is null"), "user_id"), "signal"))
 query("w08_dedup", " SELECT count(DISTINCT user_id * 1000 + epoch_us(ts) % 1000) AS n FROM events")(
     lambda spark, sf_dir: _finished(W.stream_dedup(_stream(spark, sf_dir).select("ts", (F.col("user_id") * 1000 + F.unix_micros("ts") % 1000).alias("h")), ["h"], "400 days"), "dedup").agg(F.count(F.lit(1)).alias("n"))

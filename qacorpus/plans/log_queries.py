@@ -20,7 +20,7 @@ def query(name: str, sql: str | None = None):
     def add(f):
         QUERIES[name] = lambda spark, sf_dir: f(views.log(spark, sf_dir))
         if sql:
-            SQL[name] = f"WITH log AS ({views.LOG}), q AS (SELECT * FROM log WHERE typ IS NULL) {sql}"
+            SQL[name] = f"WITH RECURSIVE log AS ({views.LOG}), q AS (SELECT * FROM log WHERE typ IS NULL) {sql}"
         return f
 
     return add
@@ -166,7 +166,13 @@ def _signal(df: DataFrame) -> DataFrame:
     return logs.skipped_gate_signal(df.withColumns({"shard": F.col("user_id") % 10, "bramki_pominiete": gates}), ["shard"]).select("seq", "shard", F.round("share", 6).alias("share"), "active", "alert")
 
 
-query("a21_admit")(lambda df: limits.admit_requests(df, "user_id", 2, 40))
+ADMITTED = """, o AS (SELECT seq, user_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, seq) AS n FROM log),
+       f(user_id, n, seq, times, admitted) AS (
+         SELECT DISTINCT user_id, 0::BIGINT, NULL::BIGINT, []::BIGINT[], NULL::BOOLEAN FROM o
+         UNION ALL SELECT user_id, n, seq, CASE WHEN good THEN list_append(held, us) ELSE held END, good FROM (
+           SELECT *, len(held) < 40 AND len(list_filter(held, lambda x: x > us - 60000000)) < 2 AS good FROM (
+             SELECT o.user_id, o.n, o.seq, o.us, list_filter(f.times, lambda x: x >= o.us - 86400000000) AS held FROM f JOIN o ON o.user_id = f.user_id AND o.n = f.n + 1)))"""
+query("a21_admit", ADMITTED + " SELECT seq, user_id, admitted FROM f WHERE n > 0")(lambda df: limits.admit_requests(df, "user_id", 2, 40).select("seq", "user_id", "admitted"))
 query(
     "a22_rate_counts",
     """, c AS (SELECT seq, user_id % 20 AS ip, epoch_us(ts) AS us FROM log), w AS (SELECT seq, ip, count(*) OVER (PARTITION BY ip ORDER BY us RANGE BETWEEN 59999999 PRECEDING AND CURRENT ROW) AS in_minute,
@@ -174,14 +180,30 @@ query(
 )(lambda df: limits.rate_counts(df.select("seq", (F.col("user_id") % 20).alias("ip"), "ts"), "ip", 1, 20).select("seq", "ip", "in_minute", "in_day", "over_minute", "over_day"))
 
 
-def _mails(df: DataFrame) -> DataFrame:
+def mails(df: DataFrame) -> DataFrame:
     kind = F.when(F.col("k") % 5 == 0, "failed").when(F.col("k") % 7 == 0, "partial").when(F.col("k") % 11 == 0, "limit").otherwise("ok")
     rows = df.filter("typ = 'wysylka'")
     return rows.select("seq", "ts", F.concat(F.lit("User"), F.col("user_id") % 30, F.lit("@x.example")).alias("email"), kind.alias("outcome"), (F.col("k") % 3 == 0).alias("correction"), F.concat(F.lit("T"), F.col("user_id") % 30).alias("ticket"))
 
 
-query("a23_cooldown")(lambda df: limits.address_cooldown(_mails(df), 6 * 3600))
-query("a24_tickets")(lambda df: limits.correction_tickets(_mails(df)))
+MAILS = """, m AS (SELECT seq, epoch_us(ts) AS us, 'user' || (user_id % 30) AS email, CASE WHEN k % 5 = 0 THEN 'failed' WHEN k % 7 = 0 THEN 'partial' WHEN k % 11 = 0 THEN 'limit' ELSE 'ok' END AS outcome, k % 3 = 0 AS correction, row_number() OVER (PARTITION BY user_id % 30 ORDER BY ts, seq) AS n FROM log WHERE typ = 'wysylka')"""
+COOLED = MAILS + """, f(email, n, seq, until, blocked, outcome) AS (
+         SELECT DISTINCT email, 0::BIGINT, NULL::BIGINT, NULL::BIGINT, false, '' FROM m
+         UNION ALL SELECT email, n, seq, CASE WHEN blocked THEN until WHEN outcome IN ('failed', 'limit') THEN CASE WHEN correction THEN until END ELSE us + 21600000000 END, blocked, outcome FROM (
+           SELECT m.*, f.until, NOT m.correction AND f.until IS NOT NULL AND m.us <= f.until AS blocked FROM f JOIN m ON m.email = f.email AND m.n = f.n + 1)),
+       a AS (SELECT email, seq, NOT blocked AND outcome <> 'limit' AS accepted FROM f WHERE n > 0)"""
+query(
+    "a23_cooldown",
+    COOLED + " SELECT seq, accepted FROM a",
+)(lambda df: limits.address_cooldown(mails(df), 6 * 3600).select("seq", "accepted"))
+query(
+    "a24_tickets",
+    MAILS + """, f(email, n, seq, is_open, allowed) AS (
+         SELECT DISTINCT email, 0::BIGINT, NULL::BIGINT, false, NULL::BOOLEAN FROM m
+         UNION ALL SELECT m.email, m.n, m.seq, CASE WHEN NOT m.correction THEN f.is_open OR m.outcome IN ('ok', 'partial') ELSE f.is_open AND m.outcome <> 'ok' END, CASE WHEN m.correction THEN f.is_open END
+         FROM f JOIN m ON m.email = f.email AND m.n = f.n + 1)
+       SELECT seq, allowed FROM f WHERE n > 0""",
+)(lambda df: limits.correction_tickets(mails(df)).select("seq", "allowed"))
 query(
     "a25_repeat_requests",
     """, r AS (SELECT seq, ts, lang, strona, lower(trim(pytanie)) AS question_key, k % 5 > 0 AS standalone, wynik, powod FROM q),
@@ -215,7 +237,7 @@ query(
 )(lambda df: io.csv_cells(io.export_rows(df, ["pytanie", "cache_hit", "wynik", "strona", "lang", "czas", "other"])))
 
 
-@sources("a01_times", f"WITH log AS ({views.LOG}) SELECT seq, CAST(substr(czas, 1, 19) AS TIMESTAMP) AS t, CAST(substr(czas, 1, 10) AS DATE) AS d FROM log WHERE seq % 3 > 0 UNION ALL SELECT seq, NULL, NULL FROM log WHERE seq % 3 = 0")
+@sources("a01_times", f"WITH RECURSIVE log AS ({views.LOG}) SELECT seq, CAST(substr(czas, 1, 19) AS TIMESTAMP) AS t, CAST(substr(czas, 1, 10) AS DATE) AS d FROM log WHERE seq % 3 > 0 UNION ALL SELECT seq, NULL, NULL FROM log WHERE seq % 3 = 0")
 def _times(spark: SparkSession, sf_dir: str) -> DataFrame:
     czas = F.when(F.col("seq") % 3 == 0, F.concat(F.lit("broken-"), "czas")).otherwise(F.col("czas"))
     return views.log(spark, sf_dir).select("seq", logs.event_time(czas).cast("timestamp_ntz").alias("t"), logs.event_day(czas).alias("d"))

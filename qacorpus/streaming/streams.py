@@ -38,7 +38,7 @@ def _in_order(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
 
 
 def _expire(state: GroupState, last: float) -> None:
-    """A key's state goes once the watermark is a day past its last row."""
+    """A key's state goes once the watermark is a day past the last time that matters for it."""
     state.setTimeoutTimestamp(max(int(last * 1000) + DAY_MS, state.getCurrentWatermarkMs() + 1))
 
 
@@ -71,7 +71,7 @@ def stream_cooldown(df: DataFrame, seconds: int = 600, late: str = "1 hour") ->
         rows = _in_order(batches)
         accepted, until = fold_cooldown(list(zip(rows["t"], rows["outcome"], rows["correction"])), until, seconds)
         state.update((until,))
-        _expire(state, rows["t"].max())
+        _expire(state, max(rows["t"].max(), until or 0.0))
         yield pd.DataFrame({"address": k[0], "seq": rows["seq"].to_numpy(), "accepted": accepted})
 
     rows = df.withWatermark("ts", late).select(F.lower("email").alias("address"), "seq", "ts", (F.unix_micros("ts") / 1e6).alias("t"), "outcome", F.coalesce("correction", F.lit(False)).alias("correction"))
