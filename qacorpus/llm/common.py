@@ -78,7 +78,7 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def slices(batches, rows: int = 1000, volume: int = 16 << 20, column: str = "text"):
+def slices(batches, rows: int = 1000, volume: int = 4 << 20, column: str = "text"):
     """Arrow batches cut so that none has more than so many rows or, but for single rows, so many bytes of a column.
 
     The parts are copies: some kernels misread a cast slice, whose values don't begin where its data does.

@@ -306,6 +306,6 @@ def identified(docs: DataFrame, least: float = 0.4) -> DataFrame:
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             whole = pa.array(texts, pa.large_string(), from_pandas=True)
-            yield pd.Series(np.concatenate([np.zeros(0), *[field.value.predict(whole.slice(k, 500))[1] for k in range(0, len(whole), 500)]]))
+            yield pd.Series(np.concatenate([np.zeros(0), *[field.value.predict(whole.slice(k, 200))[1] for k in range(0, len(whole), 200)]]))
 
     return docs.filter(of(F.col("text")) >= F.lit(max(least, 1e-12)))
