@@ -187,12 +187,15 @@ def threshold_share(points: DataFrame, tau_score: float, tau_margin: float, by:
 
 def accuracy_report(points: DataFrame, coverage: float = 0.30, key: str = "query_id") -> DataFrame:
     """One row from points (class, predicted, knn, majority, confidence): accuracies on all points, the model's lead over
-    the baselines on its most confident share, and whether that is enough."""
+    the baselines on its most confident share, and whether that is enough.
+
+    A point without a baseline's class has no part in that baseline's accuracy, nor in the model's lead over it.
+    """
     n = points.count()
-    right = lambda c: F.round(F.avg((F.col(c) == F.col("class")).cast("double")), 4)
+    right = lambda c, where="predicted": F.round(F.avg(F.when(F.col(where).isNotNull(), (F.col(c) == F.col("class")).cast("double"))), 4)
     whole = points.agg(*[right(c).alias(c) for c in ("predicted", "knn", "majority")])
     top = points.orderBy(F.desc("confidence"), key).limit(max(1, round(coverage * n)))
-    lead = top.agg((right("predicted") - right("majority")).alias("a"), (right("predicted") - right("knn")).alias("b"))
+    lead = top.agg((right("predicted", "majority") - right("majority")).alias("a"), (right("predicted", "knn") - right("knn")).alias("b"))
     return whole.withColumns({"over_majority": F.round(lead.select("a").scalar(), 4), "over_knn": F.round(lead.select("b").scalar(), 4)}).withColumns({"majority_ok": F.col("over_majority") >= 0.15, "knn_ok": F.col("over_knn") >= 0.05})
 
 

@@ -150,8 +150,8 @@ def log_range(df: DataFrame, max_days: int = 400) -> DataFrame:
 
 
 def full_report(df: DataFrame, days: int | None = None, lang: str | None = None, side: str | None = None, now=None, top: int = 15, max_days: int = 400) -> dict[str, DataFrame]:
-    """All parts of the report over the filtered events, which are kept while the parts are read."""
-    kept = filter_log(df, days, lang, side, now).persist()
+    """All parts of the report over the filtered events; each part reads df by itself, so persist a df that is dear to make."""
+    kept = filter_log(df, days, lang, side, now)
     parts = {"overview": overview(kept), "latency": latency_stats(kept), "histogram": latency_histogram(kept), "daily": daily_series(kept, max_days), "top": top_questions(kept, top), "ratings": rating_stats(kept), "costs": cost_stats(kept), "range": log_range(kept, max_days)}
     return parts | {by: distribution(kept, by) for by in ("sections", "sides", "reasons", "languages")}
 
@@ -209,15 +209,30 @@ def skipped_gate_signal(df: DataFrame, key: list[str], window: int = 50, thresho
     return rows.withColumn("alert", F.col("active") & ~F.coalesce(F.lag("active").over(order), F.lit(False))).drop("n")
 
 
-def build_log_events(outcomes: DataFrame) -> DataFrame:
-    """Question rows of the log from outcomes: latency to 3 places, missing counts 0, the question without personal data."""
+def build_log_events(outcomes: DataFrame, ratings: DataFrame | None = None, mails: DataFrame | None = None) -> DataFrame:
+    """Rows of the log: one for each outcome, then those of ratings and mails where they are given.
+
+    Questions and answers are without personal data, latency has 3 places, missing counts are 0 and missing skipped
+    gates none. Columns that outcomes may lack: powod_etap2, bramki_pominiete, tokeny_szacowane and cechy. ratings have
+    czas, ocena, id_zapytania, lang, strona, sekcja, pytanie and odpowiedz; mails have czas, lang, kategoria, ticket,
+    sukces and blad, of which an empty one is null; their address and body aren't read.
+    """
     from ..functions.text import redact_pii
 
     rows = outcome(outcomes)
-    return rows.select(
-        "seq", F.lit(None).cast("string").alias("typ"), "czas", "id", "lang", "strona", F.col("section").alias("sekcja"), "wynik", "powod", F.round("latencja_s", 3).alias("latencja_s"),
+    given = lambda c, kind: F.col(c) if c in rows.columns else F.lit(None).cast(kind)
+    events = rows.select(
+        "seq", F.lit(None).cast("string").alias("typ"), "czas", "id", "lang", "strona", F.nullif("section", F.lit("")).alias("sekcja"), "wynik", "powod", F.round("latencja_s", 3).alias("latencja_s"),
         *[F.coalesce(c, F.lit(0)).alias(c) for c in ("tokeny_we", "tokeny_wy", "koszt_usd")], redact_pii(F.col("pytanie")).alias("pytanie"), F.coalesce("cache_hit", F.lit(False)).alias("cache_hit"),
+        given("powod_etap2", "string").alias("powod_etap2"), F.coalesce(given("bramki_pominiete", "array<string>"), F.array().cast("array<string>")).alias("bramki_pominiete"),
+        F.coalesce(given("tokeny_szacowane", "boolean"), F.lit(False)).alias("tokeny_szacowane"), *([F.col("cechy")] if "cechy" in rows.columns else []),
     )
+    if ratings is not None:
+        clean = [redact_pii(F.col(c)).alias(c) for c in ("pytanie", "odpowiedz")]
+        events = events.unionByName(ratings.select(F.lit("ocena").alias("typ"), "czas", "ocena", "id_zapytania", "lang", "strona", "sekcja", *clean), allowMissingColumns=True)
+    if mails is not None:
+        events = events.unionByName(mails.select(F.lit("wysylka").alias("typ"), "czas", "lang", "kategoria", "ticket", "sukces", F.nullif("blad", F.lit("")).alias("blad")), allowMissingColumns=True)
+    return events
 
 
 def validate_events(df: DataFrame) -> DataFrame:

@@ -83,11 +83,14 @@ def best_candidate(tokens: DataFrame, dictionary: DataFrame) -> DataFrame:
 
     Compared without accents; one edit is allowed up to six letters, two above. Least distance, then most frequent,
     then first in order. Both sides are joined on what is left of a form when up to so many letters are taken out
-    (which two forms within the distance share), so no length becomes one large group.
+    (which two forms within the distance share), so no length becomes one large group. Words of a length that no token
+    can reach are left out before, so that a long word of the dictionary costs nothing unless a token is as long.
     """
     allowed = F.when(F.length("token") <= 6, 1).otherwise(2)
     asked = tokens.select("token").distinct().select("token", fold(F.col("token")).alias("folded"), allowed.alias("allowed"))
-    known = dictionary.select("word", "cnt", fold(F.col("word")).alias("wfolded"))
+    reach = F.explode(F.sequence(F.length("folded") - F.col("allowed"), F.length("folded") + F.col("allowed"))).alias("n")
+    lengths = asked.select(reach).agg(F.collect_set("n")).scalar()  # at most as many as the longest token has letters, and two
+    known = dictionary.select("word", "cnt", fold(F.col("word")).alias("wfolded")).filter(F.array_contains(lengths, F.length("wfolded")))
     left = asked.select("*", F.explode(_without(F.col("folded"), F.col("allowed"))).alias("key"))
     right = known.select("*", F.explode(_without(F.col("wfolded"), F.lit(2))).alias("key"))
     near = left.join(right, "key").filter(F.abs(F.length("folded") - F.length("wfolded")) <= F.col("allowed")).drop("key").distinct()

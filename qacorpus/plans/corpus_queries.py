@@ -438,9 +438,19 @@ query("m12_majority", _FOLDED + ", c AS (SELECT class, count(*) AS n FROM f WHER
     lambda spark, sf_dir: (lambda b: M.majority_baseline(b.filter("fold = 'uczenie'"), b.filter("fold = 'test'")).select("query_id", "by_all"))(_bank(spark, sf_dir))
 )
 query("m14_shares")(lambda spark, sf_dir: M.threshold_share(_points(spark, sf_dir), 5.0, 5.0, ["board"]))
-query("m15_accuracy")(
-    lambda spark, sf_dir: (lambda p: M.accuracy_report(M.confidence(p.filter("fold = 'test'").withColumns({"majority": F.lit("en"), "knn": F.lit("fr")}), p.filter("fold = 'kalibracja'"))))(_points(spark, sf_dir))
-)
+query("m15_accuracy")(lambda spark, sf_dir: M.accuracy_report(_with_baselines(spark, sf_dir)))
+
+
+def _with_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points of the test fold with their confidence, the majority class and that of their nearest vectors; documents without a vector have none."""
+    bank, points = _bank(spark, sf_dir), _points(spark, sf_dir)
+    majority = M.majority_baseline(bank.filter("fold = 'uczenie'"), bank.filter("fold = 'test'")).select("query_id", F.col("by_all").alias("majority"))
+    vectors = _folded(spark, sf_dir).drop("class").join(bank.select(F.col("query_id").alias("chunk_id"), "class"), "chunk_id")
+    nearest = M.knn_baseline(vectors, 5).select(F.col("chunk_id").alias("query_id"), F.col("class").alias("knn"))
+    rows = points.filter("fold = 'test'").join(majority, "query_id").join(nearest, "query_id", "left")
+    return M.confidence(rows, points.filter("fold = 'kalibracja'"))
+
+
 query("m16_top_lemmas", _WEIGHTS + " SELECT class, lemma, z FROM weights WHERE z > 0 QUALIFY row_number() OVER (PARTITION BY class ORDER BY z DESC, lemma) <= 40")(lambda spark, sf_dir: M.top_lemmas(_weights(spark, sf_dir)).drop("place"))
 query("m17_sample")(lambda spark, sf_dir: M.stratified_sample(_bank(spark, sf_dir)).select("query_id", "class", "turn"))
 query("m18_agreement", " SELECT 'quality' AS field, count(*) FILTER (quality = 1) AS yes, count(*) AS filled, 0 AS unfilled, round(count(*) FILTER (quality = 1) / count(*), 4) AS share, count(*) FILTER (quality = 1) / count(*) >= 0.3 AS ok FROM labels")(

@@ -231,6 +231,12 @@ query("a26_log_events", "SELECT seq, czas, id, lang, strona, wynik, round(latenc
         logs.questions(df).withColumns({"mode": F.when(F.col("wynik") == "rozmowa", "rozmowa"), "section": F.when(F.col("wynik") == "odpowiedz", F.coalesce("sekcja", F.lit("x"))), "has_data": F.lit(True), "refusal_reason": F.col("powod"), "koszt_usd": F.col("koszt_usd").cast("double")})
     ).select("seq", "czas", "id", "lang", "strona", "wynik", "latencja_s", "tokeny_we", F.trim("pytanie").alias("pytanie"))
 )
+query("a26_rating_rows", "SELECT czas, ocena, id_zapytania, lang, strona, trim(pytanie) AS pytanie, NULL::VARCHAR AS wynik FROM log WHERE typ = 'ocena'")(
+    lambda df: logs.build_log_events(
+        logs.questions(df).withColumns({"mode": F.lit(None).cast("string"), "section": F.col("sekcja"), "has_data": F.lit(True), "refusal_reason": F.col("powod")}),
+        df.filter("typ = 'ocena'").withColumn("odpowiedz", F.lit(None).cast("string")),
+    ).filter("typ = 'ocena'").select("czas", "ocena", "id_zapytania", "lang", "strona", F.trim("pytanie").alias("pytanie"), "wynik")
+)
 query(
     "s06_export",
     """SELECT replace(substr(czas, 1, 19), 'T', ' ') AS czas, coalesce(lang, '') AS lang, CASE WHEN strona IN ('kupujacy', 'sprzedajacy') THEN strona ELSE 'nieznana' END AS strona, coalesce(wynik, '') AS wynik, cache_hit::VARCHAR AS cache_hit, pytanie FROM q""",

@@ -90,13 +90,13 @@ def to_frontmatter(df: DataFrame) -> DataFrame:
 CHUNK = "chunk_id long, url string, title string, section string, subslug string, heading string, text string"
 
 
-def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """A chunk table: one JSON array to a file, or JSON lines."""
-    return spark.read.schema(CHUNK).option("multiLine", True).json(path)
+def read_chunks(spark: SparkSession, path: str, array: bool = True) -> DataFrame:
+    """A chunk table: one JSON array to a file, each read by one task, or JSON lines as write_chunks() makes them."""
+    return spark.read.schema(CHUNK).option("multiLine", array).json(path)
 
 
 def write_chunks(df: DataFrame, path: str) -> None:
-    """JSON lines in a folder per section."""
+    """JSON lines in a folder per section, so that a section of any size is written and read in parts."""
     df.write.partitionBy("section").json(path)
 
 

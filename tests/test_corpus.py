@@ -181,3 +181,51 @@ def test_reachable_never_ends_early_in_silence(spark):
     except ValueError:
         return
     raise AssertionError("slugs were lost")
+
+
+def test_files_round_trip(spark, tmp_path):
+    chunks = spark.createDataFrame([(1, "u", "t", "a", "s", "h", "x"), (2, "u", "t", "a", "s", "h", "y"), (3, "u", "t", "b", "s", "h", None)], io.CHUNK)
+    io.write_chunks(chunks.coalesce(1), str(tmp_path / "lines"))
+    assert _rows(io.read_chunks(spark, str(tmp_path / "lines"), array=False), *chunks.columns[:6]) == _rows(chunks, *chunks.columns[:6])
+    (tmp_path / "array.json").write_text('[{"chunk_id": 1, "text": "x"},\n {"chunk_id": 2, "text": "y"}]')
+    assert _rows(io.read_chunks(spark, str(tmp_path / "array.json")), "chunk_id", "text") == [(1, "x"), (2, "y")]
+    (tmp_path / "bank.jsonl").write_text('{"pytanie": "a", "zrodlo": "forum", "board": "b"}\n{"pytanie": "b", "zrodlo": "forum", "board": ""}\n{"pytanie": "c", "zrodlo": "log"}\n')
+    assert _rows(io.read_questions(spark, str(tmp_path / "bank.jsonl"), ["forum"]), "pytanie") == [("a",)]
+    assert io.read_questions(spark, str(tmp_path / "bank.jsonl")).count() == 3
+    log = spark.createDataFrame([(None, "=1", None), ("ocena", "b", "pl")], "typ string, wynik string, lang string")
+    for _ in range(2):
+        io.append_log(log, str(tmp_path / "log"))
+    assert io.read_query_log(spark, str(tmp_path / "log")).count() == 4
+    events = io.parse_log(spark.createDataFrame([('{"wynik": "=1", "lang": null}',), ('{"typ": "ocena"}',)], "value string"))
+    io.export_json(events, str(tmp_path / "out"), ["wynik", "lang"])
+    assert [r.value for r in spark.read.text(str(tmp_path / "out")).collect()] == ['{"lang":null,"wynik":"=1"}']
+
+
+def test_corpus_stamp(spark, tmp_path):
+    import os
+
+    assert io.corpus_stamp(spark, [str(tmp_path / "none")]) == 0
+    for name, at in (("a", 1_600_000_000), ("b", 1_700_000_000)):
+        (tmp_path / name).write_text("x")
+        os.utime(tmp_path / name, (at, at))
+    assert io.corpus_stamp(spark, [str(tmp_path / n) for n in ("a", "b", "none")]) == 1_700_000_000
+
+
+def test_language_and_offer(spark):
+    df = spark.createDataFrame([("en", "pl", True, None), ("", "en", False, "h/x-paczka"), (None, "", False, "h/y"), (None, None, None, "h/paczka")], "hint string, found string, signal boolean, url string")
+    got = df.select(Q.effective_language(F.col("hint"), F.col("found")), Q.mail_offer_gate(F.col("signal"), F.col("url"), ["paczka"])).collect()
+    assert [tuple(r) for r in got] == [("en", True), ("en", True), ("pl", False), ("pl", True)]
+
+
+def test_best_candidate_lengths(spark):
+    known = spark.createDataFrame([("paczka", 5), ("paczki", 9), ("a" * 1500, 1), ("przesyłka", 2)], "word string, cnt long")
+    asked = spark.createDataFrame([("paczkk",), ("przesilkaa",), ("zzz",)], "token string")
+    assert _rows(Q.best_candidate(asked, known), "token", "word", "distance") == [("paczkk", "paczki", 1), ("przesilkaa", "przesyłka", 2)]
+    assert Q.best_candidate(asked.limit(0), known).count() == 0
+
+
+def test_accuracy_without_vectors(spark):
+    rows = [(i, "a", "a" if i < 3 else "b", "b" if i == 0 else None, "b", 1.0 - i / 10) for i in range(4)]
+    points = spark.createDataFrame(rows, "query_id long, class string, predicted string, knn string, majority string, confidence double")
+    got = M.accuracy_report(points, 0.5).first()
+    assert (got.predicted, got.knn, got.majority, got.over_majority, got.over_knn, got.knn_ok) == (0.75, 0.0, 0.0, 1.0, 1.0, True)

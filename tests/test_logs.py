@@ -117,3 +117,22 @@ def test_queries_against_sql(spark, tmp_path):
         norm = lambda v: round(v, 6) if isinstance(v, float) else v
         assert sorted(str([norm(r[c]) for c in names]) for r in df.collect()) == sorted(str([norm(x) for x in r]) for r in found.fetchall())
     assert views.log(spark, sf).filter(F.col("typ") == "ocena").count() > 0
+
+
+def test_all_kinds_of_events(spark):
+    out = spark.createDataFrame([(1, "2024-01-01", "i", "pl", "kupujacy", None, "", False, None, 1.23456, None, None, None, "pisz do a@b.pl", None, "sedzia")], "seq long, czas string, id string, lang string, strona string, mode string, section string, has_data boolean, refusal_reason string, latencja_s double, tokeny_we long, tokeny_wy long, koszt_usd double, pytanie string, cache_hit boolean, powod_etap2 string")
+    rated = spark.createDataFrame([("2024-01-02", "gora", "i", "pl", "kupujacy", None, "pisz do a@b.pl", "ok a@b.pl")], "czas string, ocena string, id_zapytania string, lang string, strona string, sekcja string, pytanie string, odpowiedz string")
+    sent = spark.createDataFrame([("2024-01-03", "pl", "zwrot", "AB12CD34", True, "", "x@y.pl")], "czas string, lang string, kategoria string, ticket string, sukces boolean, blad string, email string")
+    rows = {r.typ: r for r in logs.build_log_events(out, rated, sent).collect()}
+    q, r, m = rows[None], rows["ocena"], rows["wysylka"]
+    assert (q.wynik, q.powod, q.powod_etap2, q.sekcja, q.latencja_s, q.tokeny_we, q.bramki_pominiete, q.tokeny_szacowane, q.cache_hit) == ("odmowa", "brak_wyniku", "sedzia", None, 1.235, 0, [], False, False)
+    assert all("a@b.pl" not in x for x in (q.pytanie, r.pytanie, r.odpowiedz)) and r.ocena == "gora" and r.wynik is None
+    assert (m.kategoria, m.ticket, m.sukces, m.blad) == ("zwrot", "AB12CD34", True, None) and "email" not in m.asDict()
+
+
+def test_full_report(spark):
+    log = views.log(spark, "/root/testdata/sf0.001")
+    report = logs.full_report(log)
+    assert set(report) == {"overview", "latency", "histogram", "daily", "top", "ratings", "costs", "range", "sections", "sides", "reasons", "languages"}
+    assert report["overview"].collect() == logs.overview(logs.filter_log(log, None, None, None, None)).collect()
+    assert sum(r.n for r in report["sides"].collect()) == logs.questions(log).count()
