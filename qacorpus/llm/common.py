@@ -78,14 +78,18 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def slices(batches, rows: int = 1000, volume: int = 4 << 20, column: str = "text"):
-    """Arrow batches cut so that none has more than so many rows or, but for single rows, so many bytes of a column.
+def slices(batches, rows: int = 1000, volume: int = 4 << 20, column: str | None = "text"):
+    """Arrow batches cut so that none has more than so many rows or, but for single rows, so many bytes of a column
+    (None: rows alone count).
 
     The parts are copies: some kernels misread a cast slice, whose values don't begin where its data does.
     """
     for batch in batches:
         if not batch.num_rows:
             continue
+        if column is None:
+            yield from (batch.take(pa.array(np.arange(k, min(k + rows, batch.num_rows)))) for k in range(0, batch.num_rows, rows))
+            continue
         sizes = np.frombuffer(batch.column(column).cast(pa.large_binary()).buffers()[1], np.int64)
         offset = batch.column(column).offset
         ends = sizes[offset : offset + batch.num_rows + 1]

@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, with production parameters, each over its whole table."""
+"""The registered queries of the operators, with production parameters, each over its whole table."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import block_neighbours, jaccard_join, katz, langid, line_dedup, packing, quality, sentencepiece_codec, tiff_pages, token_counts
+from . import block_neighbours, fill_in_middle, jaccard_join, katz, langid, license_index, line_dedup, packing, phrase_automata, quality, sentencepiece_codec, tiff_pages, token_counts
 from .common import stored, table
 
 
@@ -67,6 +67,18 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents"))
 
 
+def op11_license_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_index.labelled(table(spark, sf_dir, "documents"))
+
+
+def op12_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_automata.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.transformed(table(spark, sf_dir, "documents"))
+
+
 OP10_SQL = r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\s+'), lambda x: x <> '') AS w FROM documents
@@ -93,4 +105,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": line_dedup.PAGES_SQL, "op4_neighbours": block_neighbours.SQL, "op10_jaccard_join": OP10_SQL}
+    return {"op3_line_dedup": line_dedup.PAGES_SQL, "op4_neighbours": block_neighbours.SQL, "op10_jaccard_join": OP10_SQL, "op12_phrase_automata": phrase_automata.SQL}
