@@ -5,9 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import lemmas, normalize_question, sha1_mod
+from ..functions.text import normalize_question, sha1_mod
+from .bm25 import Store
+from .lexstats import lemma_sets
 from .retrieval import knn_out_of_fold
 
+
+def same_frame(df: DataFrame, name: str) -> DataFrame:
+    """What stores nothing."""
+    return df
+
+
 GRID = [p / 100 for p in range(10, 95, 5)]
 
 
@@ -43,40 +51,45 @@ def inventory(questions: DataFrame) -> dict[str, DataFrame]:
     return {c: count(c) for c in ("zrodlo", "board", "strona", "year", "fold")} | {"complete": forum.withColumn("ok", (F.col("board") >= 0.99) & (F.col("url") >= 0.99))}
 
 
-def train_weights(df: DataFrame, alpha0: float = 500.0, df_min: int = 20, per_class: int = 200, text: str = "text", label: str = "class", table: Column | None = None) -> DataFrame:
-    """(class, lemma, z): for each class the per_class lemmas with the largest log-odds scores against all other classes.
+def train_weights(df: DataFrame, alpha0: float = 500.0, df_min: int = 20, per_class: int = 200, text: str = "text", label: str = "class", lang: str | None = None, table: DataFrame | None = None, store: Store = same_frame) -> DataFrame:
+    """(class, lemma, z): for each class the per_class lemmas with the largest log-odds scores against all other classes,
+    the first by name of equal ones.
 
-    Counts are of questions that have the lemma. The prior of a lemma is alpha0 times its share of all questions that
-    have it; classes are few, so the grid of lemmas and classes is an array of each lemma.
+    Counts are of questions (query_id, ...) that have the lemma; store(df, name) writes them once, so that texts are split
+    once. The prior of a lemma is alpha0 times its share of all questions that have it; classes are few, so the grid of
+    lemmas and classes is an array of each lemma. table (lang, form, lemma) gives lemmas by a column of languages.
     """
-    rows = df.filter(F.col(label).isNotNull()).select(F.col(label).alias("class"), lemmas(F.col(text), table).alias("lemmas"))
-    counts = rows.select("class", F.explode("lemmas").alias("lemma")).groupBy("lemma", "class").agg(F.count(F.lit(1)).alias("y"))
+    rows = df.filter(F.col(label).isNotNull()).withColumns({"_class": F.col(label), "_row": F.monotonically_increasing_id()})
+    found = lemma_sets(rows, ["_row", "_class"], text, lang, table)
+    counts = store(found.groupBy("lemma", F.col("_class").alias("class")).agg(F.count(F.lit(1)).alias("y")), "counts")
     often = counts.groupBy("lemma").agg(F.sum("y").alias("df"), F.map_from_entries(F.collect_list(F.struct("class", "y"))).alias("by_class")).filter(F.col("df") >= df_min)
-    kept = counts.join(often.select("lemma"), "lemma", "left_semi")
-    sizes = kept.groupBy("class").agg(F.sum("y").alias("n"))
+    sizes = often.select(F.explode("by_class").alias("class", "y")).groupBy("class").agg(F.sum("y").alias("n"))
     listed = sizes.agg(F.collect_list(F.struct("class", "n")).alias("classes"), F.sum("n").alias("whole"))
-    grid = often.withColumns({"classes": listed.select("classes").scalar(), "whole": listed.select("whole").scalar()}).select("lemma", "df", "by_class", "whole", F.explode("classes").alias("c"))
+    grid = often.crossJoin(F.broadcast(listed)).select("lemma", "df", "by_class", "whole", F.explode("classes").alias("c"))  # listed is one row
     a = F.lit(alpha0) * F.col("df") / F.col("whole")
     y = F.coalesce(F.element_at("by_class", F.col("c.class")), F.lit(0))
     rest, n, m = F.col("df") - y, F.col("c.n"), F.col("whole") - F.col("c.n")
     odds = lambda y, n: F.log((y + a) / F.greatest(n + alpha0 - y - a, F.lit(1e-9)))
     z = (odds(y, n) - odds(rest, m)) / F.sqrt(1 / (y + a) + 1 / (rest + a))
     scored = grid.select(F.col("c.class").alias("class"), "lemma", z.alias("raw"))
-    best = Window.partitionBy("class").orderBy(F.desc(F.abs("raw")), "lemma")
+    best = Window.partitionBy("class").orderBy(F.desc(F.round(F.abs("raw"), 9)), "lemma")
     return scored.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= per_class).select("class", "lemma", F.round("raw", 4).alias("z"))
 
 
-def classify(df: DataFrame, weights: DataFrame, key: str = "query_id", text: str = "text", table: Column | None = None) -> DataFrame:
+def classify(df: DataFrame, weights: DataFrame, key: str = "query_id", text: str = "text", lang: str | None = None, table: DataFrame | None = None, store: Store = same_frame) -> DataFrame:
     """key, class, score and margin: the class whose weights of the question's lemmas sum highest, the greater name of
-    equals, and how far it is above the next. Weights are at most so many per class: a small table."""
-    classes = weights.agg(F.array_sort(F.collect_set("class"))).scalar()
-    words = df.select(key, F.explode(lemmas(F.col(text), table)).alias("lemma"))
+    equals, and how far it is above the next. Weights are at most so many per class; stored (store), they are made once
+    and as small as they are meet the lemmas without a shuffle."""
+    weights = store(weights, "weights")
+    classes = weights.agg(F.array_sort(F.collect_set("class"))).first()[0]
+    words = lemma_sets(df, [key], text, lang, table)
     sums = words.join(weights, "lemma").groupBy(key, "class").agg(F.sum("z").alias("score"))
     by_class = sums.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("class", "score"))).alias("m"))
-    rows = df.select(key).join(by_class, key, "left").withColumn("classes", classes)
+    named = F.array(*[F.lit(c) for c in classes]) if classes else F.array().cast("array<string>")
+    rows = df.select(key).join(by_class, key, "left").withColumn("classes", named)
     scored = F.transform("classes", lambda c: F.struct(F.round(F.coalesce(F.element_at("m", c), F.lit(0.0)), 9).alias("score"), c.alias("class")))
     order = F.sort_array(scored, asc=False)
-    return rows.withColumn("o", order).select(key, F.col("o")[0]["class"].alias("class"), F.col("o")[0]["score"].alias("score"), F.round(F.col("o")[0]["score"] - F.coalesce(F.get("o", F.lit(1))["score"], F.lit(0.0)), 9).alias("margin"))
+    return rows.withColumn("o", order).select(key, F.get("o", F.lit(0))["class"].alias("class"), F.get("o", F.lit(0))["score"].alias("score"), F.round(F.get("o", F.lit(0))["score"] - F.coalesce(F.get("o", F.lit(1))["score"], F.lit(0.0)), 9).alias("margin"))
 
 
 def percentile_rank_in(df: DataFrame, reference: DataFrame, column: str, name: str) -> DataFrame:

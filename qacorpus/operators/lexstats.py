@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import fold, lemmas, lexical_tokens, tokenize_words
+from ..functions.text import fold, tokenize_words
+from .bm25 import tables
 
 
 def build_dictionary(chunks: DataFrame, min_len: int = 4, min_count: int = 1) -> DataFrame:
@@ -16,32 +17,36 @@ def build_dictionary(chunks: DataFrame, min_len: int = 4, min_count: int = 1) ->
     return words.filter(F.length("word") >= min_len).groupBy("word").agg(F.count(F.lit(1)).alias("cnt")).filter(F.col("cnt") >= min_count)
 
 
-def idf_table(chunks: DataFrame, table: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """(lemma, df, idf) and one row (n, idf_max): chunks count once for each of their lemmas."""
+def idf_table(chunks: DataFrame, lang: str | None = None, table: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(lemma, df, idf) and one row (n, idf_max): chunks (chunk_id, text) count once for each of their lemmas, which a
+    table (lang, form, lemma) gives by the chunks' column of languages."""
     total = chunks.agg(F.greatest(F.lit(1), F.count(F.lit(1))).alias("n"))
-    counts = chunks.select(F.explode(lemmas(F.col("text"), table)).alias("lemma")).groupBy("lemma").agg(F.count(F.lit(1)).alias("df"))
+    counts = lemma_sets(chunks, ["chunk_id"], "text", lang, table).groupBy("lemma").agg(F.count(F.lit(1)).alias("df"))
     n = total.scalar()
     return counts.withColumn("idf", F.log((F.lit(1) + n) / (F.lit(1) + F.col("df")))), total.withColumn("idf_max", F.log1p("n"))
 
 
-def bm25_index(chunks: DataFrame, sides: Column | None = None, table: Column | None = None, epsilon: float = 0.25, store: Callable[[DataFrame, str], DataFrame] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def lemma_sets(rows: DataFrame, keys: list[str], text: str = "text", lang: str | None = None, table: DataFrame | None = None, min_len: int = 4) -> DataFrame:
+    """(*keys, lemma): the distinct lemmas of each text's words of min_len letters and more. Each distinct word of a
+    language meets the table (lang, form, lemma) once; words it lacks are their own lemmas."""
+    words = F.array_distinct(F.filter(tokenize_words(F.col(text)), lambda w: F.length(w) >= min_len))
+    if table is None:
+        return rows.select(*keys, F.explode(words).alias("lemma"))
+    found = rows.select(*keys, F.col(lang).alias("lang"), F.explode(words).alias("word"))
+    own = table.groupBy(F.col("lang").alias("s_lang"), F.col("form").alias("s_word")).agg(F.min("lemma").alias("s_lemma")).filter("s_word <> s_lemma")
+    own = own.join(found.select("lang", "word").distinct(), (F.col("s_word") == F.col("word")) & F.col("s_lang").eqNullSafe(F.col("lang")), "left_semi")
+    met = found.join(own, (F.col("word") == F.col("s_word")) & F.col("lang").eqNullSafe(F.col("s_lang")), "left")
+    return met.select(*keys, F.coalesce("s_lemma", "word").alias("lemma")).distinct()
+
+
+def bm25_index(chunks: DataFrame, sides: Column | None = None, lang: str | None = None, lemmas: DataFrame | None = None, epsilon: float = 0.25, store: Callable[[DataFrame, str], DataFrame] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(postings, lengths, terms) of Okapi indexes by side: (side, token, chunk_id, tf), (side, chunk_id, len, avg_len)
     and (side, token, df, idf). A negative idf becomes epsilon times the side's mean idf.
 
-    All three come from the postings; store(df, name) writes them once, so that texts are split once.
+    lemmas (lang, form, lemma) with the chunks' column of languages gives words their lemmas. All three come from the
+    postings; store(df, name) writes them once, so that texts are split once. build_index() adds what searches read.
     """
-    rows = chunks.select("chunk_id", (sides if sides is not None else F.lit("all")).alias("side"), F.concat_ws("\n", "title", "text").alias("text"))
-    postings = rows.select("side", "chunk_id", F.explode(lexical_tokens(F.col("text"), table)).alias("token")).groupBy("side", "token", "chunk_id").agg(F.count(F.lit(1)).alias("tf"))
-    if store is not None:
-        postings = store(postings, "postings")
-    counted = postings.groupBy("chunk_id").agg(F.sum("tf").alias("len"))
-    lengths = rows.select("side", "chunk_id").join(counted, "chunk_id", "left").withColumn("len", F.coalesce("len", F.lit(0)))
-    means = lengths.groupBy("side").agg(F.avg("len").alias("avg_len"), F.count(F.lit(1)).alias("n"))  # a row per side
-    raw = postings.groupBy("side", "token").agg(F.count(F.lit(1)).alias("df")).join(means, "side")
-    raw = raw.withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    floor = raw.groupBy("side").agg((F.avg("idf") * epsilon).alias("floor"))
-    terms = raw.join(floor, "side").select("side", "token", "df", F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf")).alias("idf"))
-    return postings, lengths.join(means, "side").select("side", "chunk_id", "len", "avg_len"), terms
+    return tables(chunks, sides, store, lang, lemmas, epsilon)
 
 
 def length_buckets(dictionary: DataFrame) -> DataFrame:

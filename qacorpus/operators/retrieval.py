@@ -9,21 +9,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import content_sha, lexical_tokens
+from ..functions.text import content_sha
+from .bm25 import Bm25Index, Store, asked_tokens, top_chunks
 
 
 def _place(by: list, order: list) -> Column:
     return F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1
 
 
-def bm25_rank(queries: DataFrame, index: tuple[DataFrame, DataFrame, DataFrame], depth: int | None = None, k1: float = 1.5, b: float = 0.75, table: Column | None = None) -> DataFrame:
+def bm25_rank(queries: DataFrame, index: tuple[DataFrame, DataFrame, DataFrame], depth: int | None = None, k1: float = 1.5, b: float = 0.75, lang: str | None = None, lemmas: DataFrame | None = None) -> DataFrame:
     """(query_id, chunk_id, score, pos) for queries (query_id, side, text): best first, ties by chunk_id, pos from 0.
 
     Without a depth every chunk of the side is ranked, those without a common token with score 0: exact, for corpora
-    small enough to be listed for each question. With one, only chunks with a common token are, up to it.
+    small enough to be listed for each question. With one, only chunks with a common token are, up to it; top_chunks()
+    gives the same from an index by impact, without reading all postings.
     """
     postings, lengths, terms = index
-    asked = queries.select("query_id", "side", F.explode(lexical_tokens(F.col("text"), table)).alias("token")).groupBy("query_id", "side", "token").agg(F.count(F.lit(1)).alias("qtf"))
+    asked = asked_tokens(queries, lang, lemmas)
     weighted = asked.join(terms.select("side", "token", "idf"), ["side", "token"])
     hits = weighted.join(postings, ["side", "token"]).join(lengths, ["side", "chunk_id"])
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
@@ -35,15 +37,16 @@ def bm25_rank(queries: DataFrame, index: tuple[DataFrame, DataFrame, DataFrame],
     return ranked if depth is None else ranked.filter(F.col("pos") < depth)
 
 
-def vector_rank(queries: DataFrame, vectors: DataFrame, depth: int | None = None, block: int = 4096, queries_at_once: int = 1024, group: str | None = None, own: bool = True) -> DataFrame:
+def vector_rank(queries: DataFrame, vectors: DataFrame, depth: int | None = None, block: int = 4096, queries_at_once: int = 1024, group: str | None = None, own: bool = True, same: str | None = None) -> DataFrame:
     """(query_id, chunk_id, score, pos) by inner product of queries (query_id, vector) and vectors (chunk_id, vector).
 
     Questions and chunks are dealt into blocks, and each pair of blocks is one matrix product in one task. group: a
-    column of both; only rows with different values are compared. own=False leaves out pairs of equal ids.
+    column of both; only rows with different values are compared; same: one of both that must be equal. own=False leaves
+    out pairs of equal ids.
     """
     n, m = vectors.count(), queries.count()
     wide, high = max(1, -(-n // block)), max(1, -(-m // queries_at_once))
-    label = F.lit(None).cast("string") if group is None else F.col(group).cast("string")
+    label = F.lit(None).cast("string") if group is None and same is None else F.col(group or same).cast("string")
     deal = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k)).cast("int")
     doubles = F.transform("vector", lambda x: x.cast("double")).alias("v")
     every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
@@ -58,6 +61,8 @@ def vector_rank(queries: DataFrame, vectors: DataFrame, depth: int | None = None
         wrong = np.zeros(score.shape, bool)
         if group is not None:
             wrong |= labels[asks][:, None] == labels[~asks][None, :]
+        elif same is not None:
+            wrong |= labels[asks][:, None] != labels[~asks][None, :]
         if not own:
             wrong |= ids[asks][:, None] == ids[~asks][None, :]
         out = []
@@ -85,7 +90,8 @@ def rrf(rankings: list[DataFrame], k: int = 60) -> DataFrame:
 def certified(rankings: tuple[DataFrame, DataFrame], k_raw: int, depth: int, k: int = 60) -> DataFrame:
     """(query_id, exact): whether two rankings cut at depth surely give the same best k_raw as whole ones.
 
-    So it is if the best k_raw are in both lists and none that a list lacks can reach the last of them.
+    So it is if the best k_raw are in both lists and none that a list lacks can reach the last of them. A list that is
+    shorter than depth has to be whole.
     """
     rows = rankings[0].select("query_id", "chunk_id", "pos").unionByName(rankings[1].select("query_id", "chunk_id", "pos"))
     sums = rows.groupBy("query_id", "chunk_id").agg(F.sum(F.lit(1.0) / (k + F.col("pos"))).alias("score"), F.count(F.lit(1)).alias("lists"))
@@ -93,13 +99,79 @@ def certified(rankings: tuple[DataFrame, DataFrame], k_raw: int, depth: int, k:
     top = F.col("pos") < k_raw
     unseen = 1.0 / (k + depth)
     row = sums.groupBy("query_id").agg(F.min(F.when(top, F.col("score"))).alias("last"), F.min(F.when(top, F.col("lists"))).alias("lists"), F.max(F.when(~top & (F.col("lists") == 1), F.col("score") + unseen)).alias("rival"))
-    return row.select("query_id", ((F.col("lists") == 2) & (F.col("last") >= F.coalesce("rival", F.lit(0.0))) & (F.col("last") >= 2 * unseen)).alias("exact"))
+    return row.select("query_id", ((F.col("lists") == 2) & (F.col("last") > F.coalesce("rival", F.lit(0.0)) + 1e-11) & (F.col("last") > 2 * unseen + 1e-11)).alias("exact"))
 
 
 def candidates(rankings: list[DataFrame], k_raw: int, k: int = 60) -> DataFrame:
     return rrf(rankings, k).filter(F.col("pos") < k_raw)
 
 
+def padded(ranking: DataFrame, queries: DataFrame, lengths: DataFrame, depth: int) -> DataFrame:
+    """A ranking of chunks with a common token, as whole lists go on: by id, the side's other chunks, up to depth.
+
+    queries (query_id, side), lengths (side, chunk_id). Of each side only the first `depth` ids can be needed.
+    """
+    heads = lengths.select("side", "chunk_id").withColumn("_p", F.row_number().over(Window.partitionBy("side").orderBy("chunk_id"))).filter(F.col("_p") <= depth).drop("_p")
+    have = queries.select("query_id", "side").join(ranking.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n")), "query_id", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    more = have.filter(F.col("_n") < depth).join(heads, "side").join(ranking.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
+    place = F.col("_n") + _place(["query_id"], ["chunk_id"])
+    more = more.select("query_id", "chunk_id", F.lit(0.0).alias("score"), place.cast("int").alias("pos")).filter(F.col("pos") < depth)
+    return ranking.select("query_id", "chunk_id", "score", F.col("pos").cast("int").alias("pos")).unionByName(more)
+
+
+def fused_top(queries: DataFrame, index: Bm25Index, vectors: DataFrame, k_raw: int, store: Store, depth: int = 1024, grow: int = 8, lang: str | None = None, lemmas: DataFrame | None = None, rounds: list[tuple[int, int]] | None = None) -> DataFrame:
+    """(query_id, chunk_id, score, pos) of the best k_raw chunks of each question's side by both rankings fused, exactly as
+    of whole lists.
+
+    queries (query_id, side, text, vector), vectors (chunk_id, side, vector). Both rankings are cut at a depth; questions
+    whose best k_raw that doesn't settle are ranked again `grow` times as deep, until none is left or the lists are
+    whole. A question without a vector, or whose side has none, is ranked by its words. rounds: gets the depth and the
+    questions of each round.
+    """
+    most = max(index.sizes.values(), default=0)
+    vectored = vectors.groupBy("side").agg(F.count(F.lit(1)).alias("_v"))
+    pending = store(queries.select("query_id", "side", "text", "vector", *([] if lang is None else [lang])), "pending")
+    done: DataFrame | None = None
+    left = pending.count()
+    while left:
+        depth = min(depth, max(most, 1))
+        words = top_chunks(pending, index, depth, store, lang, lemmas) if index.exact else bm25_rank(pending, (index.postings, index.lengths, index.terms), None, lang=lang, lemmas=lemmas).filter(F.col("pos") < depth)
+        words = store(padded(words, pending, index.lengths, depth), "words")
+        near = store(vector_rank(pending, vectors, depth, same="side"), "near")
+        fused = candidates([words, near], k_raw)
+        if depth >= most:
+            rows, pending, left = fused, None, 0
+        else:
+            sure = certified((words, near), k_raw, depth).filter("exact").select("query_id")
+            lone = pending.join(vectored, "side", "left").filter("vector is null or _v is null").select("query_id") if k_raw <= depth else sure.limit(0)
+            sure = store(sure.union(lone).distinct(), "sure")
+            rows = fused.join(sure, "query_id", "left_semi")
+            after = store(pending.join(sure, "query_id", "left_anti"), "pending")
+            if rounds is not None:
+                rounds.append((depth, left))
+            pending, left = after, after.count()
+        rows = store(rows, "fused")
+        done = rows if done is None else done.unionByName(rows)
+        depth *= grow
+    return done if done is not None else store(candidates([queries.select("query_id", F.lit(0).cast("long").alias("chunk_id"), F.lit(0).alias("pos")).limit(0)], k_raw), "fused")
+
+
+def hybrid_top(queries: DataFrame, index: Bm25Index, vectors: DataFrame, chunks: DataFrame, store: Store, k: int = 5, grow: int = 4, lang: str | None = None, lemmas: DataFrame | None = None) -> DataFrame:
+    """search_hybrid() over whole lists: so many of the best fused chunks as leave k after both rounds of removing repeats."""
+    most = max(index.sizes.values(), default=0)
+    wanted, pending, done = grow * k, queries, None
+    while True:
+        hits = fused_top(pending, index, vectors, wanted, store, lang=lang, lemmas=lemmas).join(chunks.select("chunk_id", "url", "title", "text"), "chunk_id")
+        found = store(_first(dedup_best(dedup_best(hits, ["url"]), ["title", "text"]), k), "hits")
+        full = found.groupBy("query_id").count().filter(F.col("count") >= k).select("query_id") if wanted < most else pending.select("query_id")
+        rows = found.join(full, "query_id", "left_semi")
+        done = rows if done is None else done.unionByName(rows)
+        pending = store(pending.join(full, "query_id", "left_anti"), "pending")
+        if pending.isEmpty():
+            return done
+        wanted *= grow
+
+
 def dedup_best(hits: DataFrame, key: list[str]) -> DataFrame:
     """Of each query's hits with one key the one with the highest score, the earlier of equals, at the place of the first."""
     first = F.min("pos").over(Window.partitionBy("query_id", *key))

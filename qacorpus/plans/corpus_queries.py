@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import lists
 from ..functions import text as T
+from ..operators import bm25 as B
 from ..operators import chunks as C
 from ..operators import forum as M
 from ..operators import gates as G
@@ -13,6 +17,7 @@ from ..operators import lexstats as L
 from ..operators import pages as P
 from ..operators import questions as Q
 from ..operators import retrieval as R
+from ..operators import search as S
 from ..sources import io
 from ..streaming import streams as W
 from . import log_queries, views
@@ -139,12 +144,22 @@ _BM = rf""", w AS (SELECT doc_id AS chunk_id, CASE WHEN section = 'sprzedaz' THE
   lens AS (SELECT e.chunk_id, e.side, coalesce(len, 0) AS len FROM every e LEFT JOIN n USING (chunk_id)), avgs AS (SELECT side, avg(len) AS avg_len, count(*) AS n FROM lens GROUP BY 1),
   raw AS (SELECT side, token, count(*) AS df, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS idf FROM tf JOIN avgs USING (side) GROUP BY 1, 2),
   terms AS (SELECT side, token, df, CASE WHEN idf < 0 THEN 0.25 * avg(idf) OVER (PARTITION BY side) ELSE idf END AS idf FROM raw)"""
-query("l03_bm25_terms", _BM + " SELECT side, token, df, round(idf, 9) AS idf FROM terms")(lambda spark, sf_dir: _index(spark, sf_dir)[2].withColumn("idf", F.round("idf", 9)))
+query("l03_bm25_terms", _BM + " SELECT side, token, df, round(idf, 9) AS idf FROM terms")(lambda spark, sf_dir: _index(spark, sf_dir).terms.withColumn("idf", F.round("idf", 9)))
+
+
+def _index(spark: SparkSession, sf_dir: str) -> B.Bm25Index:
+    """The index of a folder's articles, built once in a session."""
+    return _once(spark, sf_dir, "index", lambda: B.build_index(C.partition_by_side(whole_chunks(spark, sf_dir)), F.col("side"), stored))
+
+
+_kept: dict[tuple[str, str, str], object] = {}
 
 
-def _index(spark: SparkSession, sf_dir: str):
-    rows = C.partition_by_side(whole_chunks(spark, sf_dir))
-    return L.bm25_index(rows, F.col("side"), store=stored)
+def _once(spark: SparkSession, sf_dir: str, name: str, make):
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _kept:
+        _kept[key] = make()
+    return _kept[key]
 
 
 _FREQ = f", c AS (SELECT lang, word, count(*) AS cnt FROM (SELECT lang, unnest(regexp_extract_all(lower(body), '{WORDS}')) AS word FROM articles) GROUP BY 1, 2), freq AS (SELECT lang, word, log10(cnt / sum(cnt) OVER (PARTITION BY lang) * 1e9) AS zipf FROM c)"
@@ -247,29 +262,58 @@ query(
 
 # --- retrieval
 
-_RANK = (
-    _BM
-    + rf""", b AS (SELECT item_id AS query_id, 'kupujacy' AS side, unnest(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS w FROM benchmark), bt AS (SELECT query_id, side, unnest({_GRAMS}) AS token FROM b),
+_SIDE_OF = "CASE WHEN {} % 2 = 0 THEN 'kupujacy' ELSE 'sprzedajacy' END"
+_ASKED = f""", asked AS (SELECT item_id AS query_id, {_SIDE_OF.format("item_id")} AS side, text FROM benchmark)"""
+_LEXICAL = rf""", b AS (SELECT query_id, side, unnest(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS w FROM asked), bt AS (SELECT query_id, side, unnest({_GRAMS}) AS token FROM b),
   qt AS (SELECT query_id, side, token, count(*) AS qtf FROM bt GROUP BY 1, 2, 3),
-  s AS (SELECT query_id, chunk_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avg_len))), 9) AS score FROM qt JOIN terms USING (side, token) JOIN tf USING (side, token) JOIN lens USING (side, chunk_id) JOIN avgs USING (side) GROUP BY 1, 2),
+  s AS (SELECT query_id, side, chunk_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avg_len))), 9) AS score FROM qt JOIN terms USING (side, token) JOIN tf USING (side, token) JOIN lens USING (side, chunk_id) JOIN avgs USING (side) GROUP BY 1, 2, 3),
   r AS (SELECT query_id, chunk_id, score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) - 1)::INT AS pos FROM s)"""
-)
+_RANK = _BM + _ASKED + _LEXICAL
+_LETTERS = "list_transform(string_split('abcdefghijklmnopqrstuvwxyz', ''), lambda c: (length(lower({0})) - length(replace(lower({0}), c, '')))::DOUBLE)"
+#: Whole rankings of every chunk of the asked side by words and by letters, fused.
+_FUSED = rf""", qv AS (SELECT query_id, side, {_LETTERS.format("('query: ' || text)")} AS v FROM asked), cv AS (SELECT doc_id AS chunk_id, CASE WHEN section = 'sprzedaz' THEN 'sprzedajacy' ELSE 'kupujacy' END AS side, {_LETTERS.format("('passage: ' || title || chr(10) || body)")} AS v FROM articles),
+  unit AS (SELECT * REPLACE (list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v) FROM cv),
+  near AS (SELECT q.query_id, c.chunk_id, round(list_dot_product(list_transform(q.v, lambda x: x / sqrt(list_dot_product(q.v, q.v))), c.v), 9) AS score FROM qv q JOIN unit c USING (side)),
+  whole AS (SELECT n.query_id, n.chunk_id, n.score AS v, coalesce(s.score, 0) AS w FROM near n LEFT JOIN s ON s.query_id = n.query_id AND s.chunk_id = n.chunk_id),
+  placed AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY w DESC, chunk_id) - 1 AS a, row_number() OVER (PARTITION BY query_id ORDER BY v DESC, chunk_id) - 1 AS b FROM whole),
+  sums AS (SELECT query_id, chunk_id, round(1.0::DOUBLE / (60 + a) + 1.0::DOUBLE / (60 + b), 12) AS score FROM placed), fused AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) - 1)::INT AS pos FROM sums)"""
+_WORDS = r"list_distinct(list_filter(regexp_split_to_array(lower({}), '\s+'), lambda x: x <> ''))"
+#: The best candidates with their pair scores, then without repeats, in order.
+_RERANKED = rf""", pairs AS (SELECT f.query_id, f.chunk_id, f.pos, a.url, a.title, a.section, a.body, {_WORDS.format("q.text")} AS qw, {_WORDS.format("(a.title || chr(10) || a.body)")} AS pw FROM fused f JOIN articles a ON a.doc_id = f.chunk_id JOIN asked q ON q.query_id = f.query_id WHERE f.pos < 12),
+  rated AS (SELECT * EXCLUDE (qw, pw), len(list_intersect(qw, pw))::DOUBLE / greatest(len(qw), 1) - 1e-6 * len(pw) AS score FROM pairs),
+  single AS (SELECT * REPLACE (first_pos AS pos) FROM (SELECT *, min(pos) OVER (PARTITION BY query_id, title, body) AS first_pos FROM rated QUALIFY row_number() OVER (PARTITION BY query_id, title, body ORDER BY score DESC, pos) = 1)),
+  hits AS (SELECT query_id, chunk_id, url, title, section, body, score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos) - 1)::INT AS pos FROM single QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos) <= 5)"""
+
+
+def letter_profile(text):
+    """A unit vector of how often each letter from a to z occurs: an encoder of built-in expressions, which SQL can follow."""
+    low = F.lower(text)
+    counts = F.array(*[(F.length(low) - F.length(F.replace(low, F.lit(c), F.lit("")))).cast("double") for c in "abcdefghijklmnopqrstuvwxyz"])
+    return T.l2_normalize(counts)
 
 
 def _benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.lit("kupujacy").alias("side"), "text")
+    """The benchmark's items as questions, of the buyer's and the seller's side in turn."""
+    return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.when(F.col("item_id") % 2 == 0, lists.SIDES[0]).otherwise(lists.SIDES[1]).alias("side"), "text")
 
 
 def _bm25(spark: SparkSession, sf_dir: str, depth: int = 20) -> DataFrame:
-    return R.bm25_rank(_benchmark(spark, sf_dir), _index(spark, sf_dir), depth)
+    return B.top_chunks(_benchmark(spark, sf_dir), _index(spark, sf_dir), depth, stored)
+
+
+query("r01_bm25", _RANK + " SELECT query_id, chunk_id, round(score, 3) AS score, pos FROM r WHERE pos < 20")(lambda spark, sf_dir: _bm25(spark, sf_dir).select("query_id", "chunk_id", F.round("score", 3).alias("score"), F.col("pos").cast("int").alias("pos")))
+
 
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _once(spark, sf_dir, "vectors", lambda: stored(C.partition_by_side(whole_chunks(spark, sf_dir)).select("chunk_id", "side", letter_profile(C.passage_text(F.col("title"), F.col("text"))).alias("vector")), "vectors"))
 
-query("r01_bm25", _RANK + " SELECT query_id, chunk_id, round(score, 3) AS score, pos FROM r WHERE pos < 20")(lambda spark, sf_dir: _bm25(spark, sf_dir).select("query_id", "chunk_id", F.round("score", 3).alias("score"), "pos"))
 
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _benchmark(spark, sf_dir).withColumn("vector", letter_profile(C.query_text(F.col("text"))))
 
-def _encoded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    vectors = C.partition_by_side(whole_chunks(spark, sf_dir)).filter("side = 'kupujacy'").select("chunk_id", R.hashed_encoder(C.passage_text(F.col("title"), F.col("text"))).alias("vector"))
-    return _benchmark(spark, sf_dir).select("query_id", R.hashed_encoder(C.query_text(F.col("text"))).alias("vector")), vectors
+
+def _candidates(spark: SparkSession, sf_dir: str, k_raw: int) -> DataFrame:
+    return R.fused_top(_asked(spark, sf_dir), _index(spark, sf_dir), _vectors(spark, sf_dir), k_raw, stored)
 
 
 query(
@@ -292,19 +336,42 @@ def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.rrf([by_words, by_length])
 
 
-query("r04_certified")(lambda spark, sf_dir: R.certified((_bm25(spark, sf_dir, 50), R.vector_rank(*_encoded(spark, sf_dir), 50)), 5, 50))
-query("r06_hybrid")(lambda spark, sf_dir: R.search_hybrid([_bm25(spark, sf_dir), R.vector_rank(*_encoded(spark, sf_dir), 20)], whole_chunks(spark, sf_dir)).select("query_id", "chunk_id", "url", "score", "pos"))
-query("r08_reranked")(lambda spark, sf_dir: R.search_reranked(_benchmark(spark, sf_dir), [R.candidates([_bm25(spark, sf_dir), R.vector_rank(*_encoded(spark, sf_dir), 20)], 12)], whole_chunks(spark, sf_dir), 5).select("query_id", "chunk_id", "url", "score", "pos"))
+def _cut(spark: SparkSession, sf_dir: str, depth: int) -> tuple[DataFrame, DataFrame]:
+    asked, index = _asked(spark, sf_dir), _index(spark, sf_dir)
+    words = R.padded(B.top_chunks(asked, index, depth, stored), asked, index.lengths, depth)
+    return stored(words, "words"), stored(R.vector_rank(asked, _vectors(spark, sf_dir), depth, same="side"), "near")
+
+
+query("r04_certified")(lambda spark, sf_dir: R.certified(_cut(spark, sf_dir, 50), 5, 50))
+query("r04_candidates", _RANK + _FUSED + " SELECT query_id, chunk_id, score, pos FROM fused WHERE pos < 12")(lambda spark, sf_dir: _candidates(spark, sf_dir, 12))
+query(
+    "r06_hybrid",
+    _RANK + _FUSED + """, one AS (SELECT f.query_id, f.chunk_id, f.score, f.pos, a.url FROM fused f JOIN articles a ON a.doc_id = f.chunk_id QUALIFY row_number() OVER (PARTITION BY f.query_id, a.title, a.body ORDER BY f.pos) = 1)
+    SELECT query_id, chunk_id, url, score, (row_number() OVER (PARTITION BY query_id ORDER BY pos) - 1)::INT AS pos FROM one QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY pos) <= 5""",
+)(lambda spark, sf_dir: R.hybrid_top(_asked(spark, sf_dir), _index(spark, sf_dir), _vectors(spark, sf_dir), whole_chunks(spark, sf_dir), stored).select("query_id", "chunk_id", "url", "score", "pos"))
+query("r08_reranked", _RANK + _FUSED + _RERANKED + " SELECT query_id, chunk_id, url, round(score, 9) AS score, pos FROM hits")(
+    lambda spark, sf_dir: R.search_reranked(_benchmark(spark, sf_dir), [_candidates(spark, sf_dir, 12)], whole_chunks(spark, sf_dir), 5).select("query_id", "chunk_id", "url", F.round("score", 9).alias("score"), "pos")
+)
+_TABLE = _RANK + _FUSED + rf""", bank AS (SELECT * FROM asked QUALIFY row_number() OVER (PARTITION BY text ORDER BY query_id) = 1),
+  scored AS (SELECT q.text AS query, q.side, f.pos, a.url, sha1(a.title || chr(10) || a.body) AS sha, {_WORDS.format("q.text")} AS qw, {_WORDS.format("(a.title || chr(10) || a.body)")} AS pw FROM fused f JOIN bank q USING (query_id) JOIN articles a ON a.doc_id = f.chunk_id WHERE f.pos < 30),
+  tablica AS (SELECT 'pl' AS lang, query, side, pos, url, round(len(list_intersect(qw, pw))::DOUBLE / greatest(len(qw), 1) - 1e-6 * len(pw), 9) AS score, sha FROM scored)"""
 
 
 def _score_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = _benchmark(spark, sf_dir).withColumn("lang", F.lit("pl"))
-    return R.build_score_table(asked, _bm25(spark, sf_dir).withColumn("side", F.lit("kupujacy")), whole_chunks(spark, sf_dir))
+    asked = _benchmark(spark, sf_dir)
+    found = _candidates(spark, sf_dir, 30).join(asked.select("query_id", "side"), "query_id")
+    return R.build_score_table(asked.drop("side").withColumn("lang", F.lit("pl")), found, whole_chunks(spark, sf_dir)).withColumn("score", F.round("score", 9))
 
 
-query("r09_score_table")(_score_table)
-query("r10_replayed")(lambda spark, sf_dir: (lambda t: R.replay_search(t, _benchmark(spark, sf_dir).select("query_id", F.col("text").alias("query")).join(t.select("query").distinct(), "query", "left_semi"), ["kupujacy"], 5, 12))(stored(_score_table(spark, sf_dir), "scores")))
-query("r11_reconciled")(lambda spark, sf_dir: (lambda t: R.reconcile_candidates(t, t.filter("pos <> 3")))(stored(_score_table(spark, sf_dir), "scores")))
+query("r09_score_table", _TABLE + " SELECT * FROM tablica")(_score_table)
+query(
+    "r10_replayed",
+    _TABLE + """, cut AS (SELECT query, side, pos, url, score, sha FROM tablica WHERE pos < 12), one AS (SELECT * FROM (SELECT * REPLACE (min(pos) OVER (PARTITION BY query, sha) AS pos), pos AS own FROM cut) QUALIFY row_number() OVER (PARTITION BY query, sha ORDER BY score DESC, own) = 1)
+    SELECT q.query_id, o.query, o.side, o.url, o.score, o.sha, (row_number() OVER (PARTITION BY q.query_id ORDER BY o.score DESC, o.pos) - 1)::INT AS pos FROM one o JOIN asked q ON q.text = o.query QUALIFY row_number() OVER (PARTITION BY q.query_id ORDER BY o.score DESC, o.pos) <= 5""",
+)(lambda spark, sf_dir: (lambda t: R.replay_search(t, _benchmark(spark, sf_dir).select("query_id", F.col("text").alias("query")), list(lists.SIDES), 5, 12).drop("lang"))(stored(_score_table(spark, sf_dir), "scores")))
+query("r11_reconciled", _TABLE + " SELECT lang, query, side, count(*) AS old_n, count(*) FILTER (pos <> 3) AS new_n, min(pos) FILTER (pos = 3) AS first_mismatch, count(*) FILTER (pos = 3) = 0 AS same FROM tablica GROUP BY 1, 2, 3")(
+    lambda spark, sf_dir: (lambda t: R.reconcile_candidates(t, t.filter("pos <> 3")))(stored(_score_table(spark, sf_dir), "scores"))
+)
 query("r14_sources", _RANK + ", f AS (SELECT query_id, url, min(pos) AS pos FROM r JOIN articles a ON a.doc_id = chunk_id WHERE pos < 20 GROUP BY 1, 2) SELECT query_id, array_to_string(list(url ORDER BY pos), ' ') AS urls FROM f GROUP BY 1")(
     lambda spark, sf_dir: R.result_sources(_bm25(spark, sf_dir).join(whole_chunks(spark, sf_dir), "chunk_id")).select("query_id", F.array_join(F.transform("sources", lambda s: s["url"]), " ").alias("urls"))
 )
@@ -316,14 +383,19 @@ query(
 
 
 def _golden(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The articles that hold a benchmark item: joined on a run of five of its words, then checked."""
-    items = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("item"))
+    """The articles that hold a benchmark item: joined on a run of its inner words, which stand there whole, up to five,
+    then checked. Items of fewer than three words have none; they are sought in every article."""
     words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
-    run = lambda i: F.xxhash64(F.array_join(F.slice("w", i, 5), " "))
-    keys = items.withColumn("w", words(F.col("item"))).select("query_id", "item", run(F.lit(2)).alias("key"))
-    rows = whole_chunks(spark, sf_dir).select("chunk_id", "url", F.col("lang").alias("set"), "text", words(F.col("text")).alias("w")).filter(F.size("w") >= 5)
-    runs = rows.select("chunk_id", "url", "set", "text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 4), run))).alias("key"))
-    return runs.join(keys, "key").filter(F.contains("text", F.col("item"))).select("query_id", "set", "url").distinct()
+    run = lambda i, n: F.xxhash64(F.array_join(F.slice("w", i, n), " "))
+    items = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("item")).withColumn("w", words(F.col("item"))).withColumn("n", F.least(F.lit(5), F.size("w") - 2))
+    rows = whole_chunks(spark, sf_dir).select("chunk_id", "url", F.col("lang").alias("set"), "text", words(F.col("text")).alias("w"))
+    found = rows.join(items.filter("n < 1").select("query_id", "item"), F.contains("text", F.col("item"))).select("query_id", "set", "url")
+    for (n,) in items.filter("n >= 1").select("n").distinct().collect():  # at most five
+        keys = items.filter(F.col("n") == n).select("query_id", "item", run(F.lit(2), n).alias("key"))
+        starts = F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - n + 1)).otherwise(F.array().cast("array<int>"))
+        runs = rows.select("chunk_id", "url", "set", "text", F.explode(F.array_distinct(F.transform(starts, lambda i: run(i, n)))).alias("key"))
+        found = found.union(runs.join(keys, "key").filter(F.contains("text", F.col("item"))).select("query_id", "set", "url"))
+    return found.distinct()
 
 
 query("r16_sweep", ", s AS (SELECT CASE WHEN event_type IN ('view', 'click') THEN 'golden' ELSE 'ood' END AS set, value AS score FROM events) SELECT t AS threshold, count(*) FILTER (set = 'golden' AND score < t) AS false_refusals, count(*) FILTER (set = 'ood' AND score < t) AS cut, count(*) FILTER (score >= t) AS judge_calls FROM s, (VALUES (5.0), (20.0), (80.0)) v(t) GROUP BY 1")(
@@ -344,10 +416,54 @@ query("r15_neighbours", _NEAR + " SELECT query_id, chunk_id, pos FROM k")(lambda
 query("m13_knn", _NEAR + ", c AS (SELECT query_id, class, count(*) AS n, min(pos) AS pos FROM k GROUP BY 1, 2) SELECT query_id AS chunk_id, class, round(n / 5, 4) AS confidence FROM c QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY n DESC, pos) = 1")(
     lambda spark, sf_dir: M.knn_baseline(_folded(spark, sf_dir), 5)
 )
-query("r12_two_stages", f", log AS ({views.LOG}) SELECT seq AS query_id, CASE WHEN wynik = 'odmowa' AND k % 2 = 0 THEN 'sprzedajacy' ELSE 'kupujacy' END AS side, CASE WHEN wynik = 'odmowa' AND k % 2 = 0 THEN 2 ELSE 1 END AS etap, CASE WHEN wynik = 'odmowa' AND k % 2 = 1 THEN coalesce(powod, 'odmowa') END AS powod, CASE WHEN wynik = 'odmowa' AND k % 2 = 1 THEN 'sedzia' END AS powod_etap2, coalesce(wynik = 'odmowa' AND k % 2 = 0, false) AS note FROM log WHERE typ IS NULL")(
+query("r12_outcomes", f", log AS ({views.LOG}) SELECT seq AS query_id, CASE WHEN wynik = 'odmowa' AND k % 2 = 0 THEN 'sprzedajacy' ELSE 'kupujacy' END AS side, CASE WHEN wynik = 'odmowa' AND k % 2 = 0 THEN 2 ELSE 1 END AS etap, CASE WHEN wynik = 'odmowa' AND k % 2 = 1 THEN coalesce(powod, 'odmowa') END AS powod, CASE WHEN wynik = 'odmowa' AND k % 2 = 1 THEN 'sedzia' END AS powod_etap2, coalesce(wynik = 'odmowa' AND k % 2 = 0, false) AS note FROM log WHERE typ IS NULL")(
     lambda spark, sf_dir: (lambda q: R.two_stage(q.select(F.col("seq").alias("query_id"), F.lit("kupujacy").alias("side"), F.when(F.col("wynik") == "odmowa", F.coalesce("powod", F.lit("odmowa"))).alias("reason")), q.filter("wynik = 'odmowa'").select(F.col("seq").alias("query_id"), F.lit("sprzedajacy").alias("side"), F.when(F.col("k") % 2 == 1, "sedzia").alias("reason"))))(views.log(spark, sf_dir).filter("typ is null"))
 )
 
+#: Questions of the whole search: benchmark items and what users say, some as greetings, too short, or asking for a mail.
+_SAID = """SELECT item_id AS query_id, CASE item_id % 3 WHEN 0 THEN 'kupujacy' WHEN 1 THEN 'sprzedajacy' ELSE 'auto' END AS side, text, false AS has_history, NULL AS previous FROM benchmark
+  UNION ALL SELECT 1000000 + conv_id * 1000 + turn, CASE conv_id % 3 WHEN 0 THEN 'kupujacy' WHEN 1 THEN 'sprzedajacy' END,
+    CASE conv_id % 10 WHEN 0 THEN 'Good morning' WHEN 1 THEN 'Please write a complaint: ' || substr(text, 1, 60) WHEN 2 THEN substr(text, 1, 2) WHEN 3 THEN 'Hello, ' || text ELSE text END, turn > 0, NULL FROM conversations WHERE role = 'user'"""
+
+
+def _two_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    views.register(spark, sf_dir, "benchmark", "conversations")
+    said = spark.sql(_SAID)
+    asked = said.withColumns({"lang": F.lit("en"), "prev_section": F.lit(None).cast("string"), "previous": F.lit(None).cast("string"), "rewritten": F.lit(None).cast("string"), "mail_category": F.lit(None).cast("string"), "correct": F.lit(False)})
+    chunks = C.partition_by_side(whole_chunks(spark, sf_dir))
+    idf = _once(spark, sf_dir, "idf", lambda: stored(L.idf_table(whole_chunks(spark, sf_dir))[0], "idf"))
+    corpus = S.Corpus(chunks, _index(spark, sf_dir), _vectors(spark, sf_dir), idf, 12.0)
+    found = S.two_stage_search(asked, corpus, lambda t: letter_profile(C.query_text(t)), stored, rerank={"pl": 0.05, "en": 0.1}, covered={"pl": 0.5, "en": 0.8})
+    return found.select("query_id", "tryb", "side", F.coalesce("etap", F.lit(0)).alias("etap"), "powod", "powod_etap2", "nota", "section", F.get("sources", F.lit(0)).alias("top_source"), F.coalesce(F.size("sources"), F.lit(0)).alias("n_sources"), "cechy.rerank_top1", "cechy.pokrycie")
+
+
+def _stage_sql(n: int, source: str) -> str:
+    """One stage over the questions of a source (query_id, side, text), its tables numbered."""
+    names = "asked|b|bt|qt|s|r|qv|cv|unit|near|whole|placed|sums|fused|pairs|rated|single|hits"
+    text = re.sub(rf"(?<![\w.])({names})(?= AS \()|(?<=FROM )({names})\b|(?<=JOIN )({names})\b|(?<![\w.])(s)(?=\.)", lambda m: f"{m[0]}{n}", _LEXICAL + _FUSED + _RERANKED)
+    return f", asked{n} AS ({source})" + text + rf""",
+  top{n} AS (SELECT query_id, arg_min(score, pos) AS top_score, arg_min(section, pos) AS section, arg_min(body, pos) AS body, arg_min(url, pos) AS url, count(*) AS n_hits, count(DISTINCT url) AS n_sources FROM hits{n} GROUP BY 1),
+  say{n} AS (SELECT q.query_id, q.side, t.* EXCLUDE (query_id), q.text || ' ' || substr(t.body, 1, 200) AS answer FROM asked{n} q LEFT JOIN top{n} t USING (query_id)),
+  al{n} AS (SELECT DISTINCT query_id, unnest(list_filter(regexp_extract_all(lower(answer), '{WORDS}'), lambda x: length(x) >= 4)) AS lemma FROM say{n}), cl{n} AS (SELECT DISTINCT query_id, unnest(list_filter(regexp_extract_all(lower(body), '{WORDS}'), lambda x: length(x) >= 4)) AS lemma FROM hits{n}),
+  cov{n} AS (SELECT a.query_id, sum(CASE WHEN c.lemma IS NOT NULL THEN coalesce(idf, 12.0) ELSE 0 END) / sum(coalesce(idf, 12.0)) AS v FROM al{n} a LEFT JOIN idf USING (lemma) LEFT JOIN cl{n} c ON c.query_id = a.query_id AND c.lemma = a.lemma GROUP BY 1),
+  out{n} AS (SELECT y.*, coalesce(v, 0) AS coverage, CASE WHEN n_hits IS NULL OR top_score < 0.1 THEN 'prog_rerank' WHEN top_score < 0.2 THEN 'sedzia' WHEN coalesce(v, 0) < 0.8 THEN 'pokrycie'
+    WHEN top_score < 0.3 AND (contains(lower(answer), 'i do not know') OR contains(lower(answer), 'no information')) THEN 'model_nie_wie' END AS reason FROM say{n} y LEFT JOIN cov{n} USING (query_id))"""
+
+
+_TWO_STAGES = (
+    _BM + _IDF
+    + rf""", said AS ({_SAID}), trimmed AS (SELECT *, regexp_replace(text, '^\s+|\s+$', '', 'g') AS q0 FROM said), greeted AS (SELECT *, CASE WHEN starts_with(q0, 'Hello, ') AND len(list_filter(regexp_extract_all(lower(substr(q0, 8)), '{WORDS}'), lambda x: length(x) >= 4)) >= 2 THEN trim(regexp_replace(substr(q0, 6), '^[ ,:;\-]+', '')) ELSE text END AS q, q0 = 'Good morning' AS chat FROM trimmed),
+  guarded AS (SELECT *, regexp_replace(q, '^\s+|\s+$', '', 'g') AS z FROM greeted),
+  ready AS (SELECT query_id, side, q AS text, CASE WHEN chat THEN 'rozmowa' ELSE 'rag' END AS tryb, CASE WHEN chat THEN NULL WHEN length(z) < 3 THEN 'guard_za_krotkie' WHEN length(z) > 500 THEN 'guard_za_dlugie' WHEN length(regexp_replace(z, '\P{{L}}', '', 'g')) / length(z) < 0.4 THEN 'guard_nie_rozumiem' WHEN starts_with(q, 'Please write a complaint') THEN 'mail_doprecyzuj' END AS powod FROM guarded)"""
+    + _stage_sql(1, "SELECT query_id, CASE WHEN side = 'sprzedajacy' THEN side ELSE 'kupujacy' END AS side, text FROM ready WHERE tryb = 'rag' AND powod IS NULL")
+    + _stage_sql(2, "SELECT query_id, CASE WHEN side = 'kupujacy' THEN 'sprzedajacy' ELSE 'kupujacy' END AS side, text FROM asked1 JOIN (SELECT query_id FROM out1 WHERE reason IS NOT NULL) USING (query_id)")
+    + """, pair AS (SELECT a.*, b.query_id IS NOT NULL AND b.reason IS NULL AS moved, b.side AS side2, b.reason AS reason2, b.section AS section2, b.url AS url2, b.n_sources AS n2, b.top_score AS top2, b.coverage AS cov2 FROM out1 a LEFT JOIN out2 b USING (query_id))
+  SELECT r.query_id, tryb, CASE WHEN moved THEN side2 ELSE o.side END AS side, CASE WHEN moved THEN 2 WHEN o.query_id IS NOT NULL THEN 1 ELSE 0 END AS etap, coalesce(powod, CASE WHEN NOT moved THEN reason END) AS powod, CASE WHEN NOT moved THEN reason2 END AS powod_etap2, CASE WHEN moved THEN side2 END AS nota,
+    CASE WHEN moved THEN section2 WHEN reason IS NULL THEN section END AS section, CASE WHEN moved THEN url2 WHEN reason IS NULL THEN url END AS top_source, CASE WHEN moved THEN n2 WHEN reason IS NULL AND o.query_id IS NOT NULL THEN n_sources ELSE 0 END::INT AS n_sources,
+    round(CASE WHEN moved THEN top2 ELSE top_score END, 4) AS rerank_top1, round(CASE WHEN moved THEN cov2 WHEN reason IN ('prog_rerank', 'sedzia', 'brak_generacji') THEN NULL ELSE coverage END, 4) AS pokrycie FROM ready r LEFT JOIN pair o USING (query_id)"""
+)
+query("r12_two_stages", _TWO_STAGES)(_two_stages)
+
 # --- gates
 
 query(
@@ -400,13 +516,14 @@ _WEIGHTS = (
     + f""", e AS (SELECT class, unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '{WORDS}'), lambda x: length(x) >= 4))) AS lemma FROM f WHERE fold = 'uczenie' AND class IS NOT NULL), y AS (SELECT lemma, class, count(*) AS y FROM e GROUP BY 1, 2),
   d AS (SELECT lemma, sum(y) AS df FROM y GROUP BY 1 HAVING sum(y) >= 20), n2 AS (SELECT class, sum(y) AS n FROM y JOIN d USING (lemma) GROUP BY 1), w AS (SELECT sum(n) AS whole FROM n2),
   g AS (SELECT d.lemma, n2.class, coalesce(y.y, 0)::DOUBLE AS y, (df - coalesce(y.y, 0))::DOUBLE AS r, n2.n::DOUBLE AS n, (whole - n2.n)::DOUBLE AS m, 500.0 * df / whole AS a FROM d CROSS JOIN n2 CROSS JOIN w LEFT JOIN y ON y.lemma = d.lemma AND y.class = n2.class),
-  weights AS (SELECT class, lemma, round((ln((y + a) / greatest(n + 500 - y - a, 1e-9)) - ln((r + a) / greatest(m + 500 - r - a, 1e-9))) / sqrt(1 / (y + a) + 1 / (r + a)), 4) AS z FROM g)"""
+  raw_z AS (SELECT class, lemma, (ln((y + a) / greatest(n + 500 - y - a, 1e-9)) - ln((r + a) / greatest(m + 500 - r - a, 1e-9))) / sqrt(1 / (y + a) + 1 / (r + a)) AS z FROM g),
+  weights AS (SELECT class, lemma, round(z, 4) AS z FROM raw_z QUALIFY row_number() OVER (PARTITION BY class ORDER BY round(abs(z), 9) DESC, lemma) <= 200)"""
 )
 query("m04_weights", _WEIGHTS + " SELECT class, lemma, z FROM weights")(lambda spark, sf_dir: _weights(spark, sf_dir))
 
 
 def _weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.train_weights(_bank(spark, sf_dir).filter("fold = 'uczenie'"), per_class=1_000_000)
+    return M.train_weights(_bank(spark, sf_dir).filter("fold = 'uczenie'"), store=stored)
 
 
 _SCORED = (
@@ -416,7 +533,7 @@ _SCORED = (
   points AS (SELECT query_id, truth, fold, class, score, round(score - coalesce(lead(score) OVER o, 0), 9) AS margin FROM a WINDOW o AS (PARTITION BY query_id ORDER BY score DESC, class DESC) QUALIFY row_number() OVER o = 1)"""
 )
 query("m05_classified", _SCORED + " SELECT query_id, class, round(score, 4) AS score, round(margin, 4) AS margin FROM points")(
-    lambda spark, sf_dir: M.classify(_bank(spark, sf_dir), _weights(spark, sf_dir)).select("query_id", "class", F.round("score", 4).alias("score"), F.round("margin", 4).alias("margin"))
+    lambda spark, sf_dir: M.classify(_bank(spark, sf_dir), _weights(spark, sf_dir), store=stored).select("query_id", "class", F.round("score", 4).alias("score"), F.round("margin", 4).alias("margin"))
 )
 
 
