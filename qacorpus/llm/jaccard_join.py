@@ -214,7 +214,7 @@ def _verified(tasks: DataFrame, least: float) -> DataFrame:
     return dealt.select(*columns).mapInArrow(of, "tid long, links long, root long")
 
 
-def join(docs: DataFrame, least: float = 0.8, words: int = 5, recall: float = 0.9999, depth: int = 3, small: int = 256, block: int = 1024, volume: int = 1 << 20) -> DataFrame:
+def join(docs: DataFrame, least: float = 0.8, words: int = 5, recall: float = 0.9999, depth: int = 3, small: int = 256, block: int = 1024, volume: int = 1 << 20, hot: int = HOT, copied: int = 1000) -> DataFrame:
     """doc_id, class_id and n_links of every document.
 
     Documents are linked if the Jaccard similarity of their shingle sets is at least `least`. class_id is the smallest
@@ -226,7 +226,9 @@ def join(docs: DataFrame, least: float = 0.8, words: int = 5, recall: float = 0.
     paths find the leaves in which texts meet; a leaf whose texts all met in one earlier run is left out. A leaf of
     any size is cut into blocks of at most about `block` texts and `volume` shingles, and each pair of blocks is
     compared by itself, exactly, on sets made again from the texts: no task holds more than two blocks. Only sums and
-    links to a root leave a comparison, so rows grow with the texts in leaves and not with their pairs.
+    links to a root leave a comparison, so rows grow with the texts in leaves and not with their pairs. Leaves of over a
+    share of 1 / `hot` of all rows are joined by broadcast and so is the class of texts with over 1 / `copied` of all
+    documents, of which there can be no more than `hot` and `copied`: no task gets all rows of one.
     """
     runs = runs_for(recall, least, depth)
     rows = stored(_signatures(docs, words, runs * depth), "signatures")
@@ -235,7 +237,7 @@ def join(docs: DataFrame, least: float = 0.8, words: int = 5, recall: float = 0.
         named.groupBy("d1", "d2").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("low").alias("low")).withColumnRenamed("d1", "tid"),
         "texts",
     )
-    hot = max(1, texts.count() * runs // HOT)
+    hot = max(1, texts.count() * runs // hot)
     leaves = _leaves(texts, runs, depth, small, hot)
     by_run = F.map_from_entries(F.collect_list(F.struct("run", "leaf")))
     paths = stored(leaves.groupBy("tid").agg(by_run.alias("by_run")).select("tid", F.array(*[F.col("by_run")[r] for r in range(runs)]).alias("paths")), "paths")
@@ -269,8 +271,13 @@ def join(docs: DataFrame, least: float = 0.8, words: int = 5, recall: float = 0.
     label = components(found.select(F.col("tid").alias("u"), F.col("root").alias("v")))
     linked = texts.select("tid", "d2", "doc_id", "copies").join(links, "tid", "left").join(label.withColumnRenamed("id", "tid"), "tid", "left").withColumn("label", F.coalesce("label", "tid"))
     smallest = linked.groupBy("label").agg(F.min("doc_id").alias("class_id"))
-    full = linked.join(smallest, "label").select(F.col("tid").alias("d1"), "d2", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    with_class = named.select("doc_id", "d1", "d2").join(full, ["d1", "d2"]).select("doc_id", "class_id", "n_links")
+    full = stored(linked.join(smallest, "label").select(F.col("tid").alias("d1"), "d2", "copies", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "classes")
+    many = full.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0] / copied
+    large = F.broadcast(full.filter(F.col("copies") > many).select("d1", "d2", F.col("class_id").alias("hot_class"), F.col("n_links").alias("hot_links")))
+    marked = named.select("doc_id", "d1", "d2").join(large, ["d1", "d2"], "left")
+    hot_class = marked.filter("hot_class is not null").select("doc_id", F.col("hot_class").alias("class_id"), F.col("hot_links").alias("n_links"))
+    rest = marked.filter("hot_class is null").join(full.filter(F.col("copies") <= many), ["d1", "d2"]).select("doc_id", "class_id", "n_links")
+    with_class = rest.union(hot_class)
     alone = rows.filter("n = 0 or doc_id is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return with_class.union(alone)
 

@@ -42,9 +42,10 @@ def drop_lines(docs: DataFrame, site: str | Column, text: str = "text", ratio: f
     `least` keeps small sites whole: with 1, every line of a site of fewer than 1 / ratio rows would be boilerplate.
 
     A site has at most its mean number of lines over `ratio` of such lines, however many rows it has, so one array per
-    site carries them; counts are summed before they are shuffled, by site and line. Sites with over a thousandth of
-    all rows, at most 1000, get their arrays by broadcast, so that no task has all rows of one; others by a shuffle.
-    Columns of docs with the names of this join, which end in `_of_line_dedup`, are lost.
+    site carries them; counts are summed before they are shuffled, by site and line. Rows of a site with over a thousandth
+    of all rows, of which there are at most 1000, are dealt in turn to parts of about that share, copies, null texts and
+    all, and each part gets the site's array: no task has all rows of one site. The only broadcast is that of the names
+    of such sites with their parts. Columns of docs with the names of this join, which end in `_of_line_dedup`, are lost.
     """
     site = F.coalesce(F.col(site) if isinstance(site, str) else site, F.lit(""))
     docs = docs.drop("n_lines", "n_dropped")
@@ -56,15 +57,16 @@ def drop_lines(docs: DataFrame, site: str | Column, text: str = "text", ratio: f
     per_line = rows.select("site", F.explode("lines").alias("line")).groupBy("site", "line").agg(F.count(F.lit(1)).alias("with_line"))
     totals = rows.groupBy("site").agg(F.count(F.lit(1)).alias("total"))
     often = per_line.filter(F.col("with_line") >= least).join(totals, "site").filter(F.col("with_line") > ratio * F.col("total"))
-    by_site = stored(often.groupBy("site").agg(F.collect_set("line").alias("often"), F.first("total").alias("total")), "lines")
-    hot = F.col("total") > max(1, docs.count()) / 1000
-    names = [f"_{x}_of_line_dedup" for x in ("site", "hot", "key", "often")]
-    large = F.broadcast(by_site.filter(hot).select(F.col("site").alias(names[0]), F.col("often").alias(names[1])))
-    rest = by_site.filter(~hot).select(F.col("site").alias(names[2]), F.col("often").alias(names[3]))
-    own_key = F.when(F.col(names[1]).isNull(), F.col(names[0])).otherwise(F.concat(F.col(names[0]), F.xxhash64(text).cast("string")))
-    joined = docs.drop(*names).withColumn(names[0], site).join(large, names[0], "left").withColumn(names[2], own_key).join(rest, names[2], "left")
-    often_here = F.coalesce(names[1], names[3])
-    kept = F.when(often_here.isNull(), lines).otherwise(F.filter(lines, lambda x: (_bare(x) == "") | ~F.array_contains(often_here, F.xxhash64(_bare(x)))))
+    by_site = stored(often.groupBy("site").agg(F.collect_set("line").alias("often")), "lines")
+    sizes = stored(docs.groupBy(site.alias("site")).agg(F.count(F.lit(1)).alias("rows")), "sites")  # rows, copies too
+    share = (sizes.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0] or 1) / 1000
+    names = [f"_{x}_of_line_dedup" for x in ("site", "parts", "part", "often")]
+    parts = sizes.filter(F.col("rows") > share).select(F.col("site").alias(names[0]), F.ceil(F.col("rows") / share).cast("int").alias(names[1]))
+    every = F.explode(F.sequence(F.lit(0), F.coalesce(names[1], F.lit(1)) - 1)).alias(names[2])
+    carried = by_site.select(F.col("site").alias(names[0]), F.col("often").alias(names[3])).join(F.broadcast(parts), names[0], "left").select(names[0], every, names[3])
+    part = F.pmod(F.monotonically_increasing_id(), F.coalesce(names[1], F.lit(1))).cast("int")
+    joined = docs.drop(*names).withColumn(names[0], site).join(F.broadcast(parts), names[0], "left").withColumn(names[2], part).join(carried, [names[0], names[2]], "left")
+    kept = F.when(F.col(names[3]).isNull(), lines).otherwise(F.filter(lines, lambda x: (_bare(x) == "") | ~F.array_contains(names[3], F.xxhash64(_bare(x)))))
     return joined.withColumns(
         {"n_lines": F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)), "n_dropped": F.when(F.col(text).isNull(), 0).otherwise(F.size(lines) - F.size(kept)), text: F.array_join(kept, "\n")}
     ).drop(*names)

@@ -62,7 +62,29 @@ def test_against_brute_force(spark, how):
     assert _rows(J.join(df, **how)) == _brute(docs)
 
 
-def test_hot_group_of_near_copies(spark, monkeypatch):
+def _largest(df):
+    """The rows of the largest partition of the last exchanges, without what adaptive plans change."""
+    return max(len(p) for p in df.select("doc_id").rdd.glom().collect())
+
+
+def test_copies_are_spread(spark):
+    """A third of all documents are copies of one text: no task gets them all, in the last join neither."""
+    docs = [(k, "one text that many documents have and more words" if k % 3 == 0 else f"text number {k} with words of its own {k * 7}") for k in range(3000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(16)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
+    try:
+        for k, v in zip(before, ("false", "-1", "16")):
+            spark.conf.set(k, v)
+        found = J.join(df)
+        assert _largest(found) < 3 * 3000 / 16
+        classes = {r.doc_id: (r.class_id, r.n_links) for r in found.collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert all(classes[k] == ((0, 999) if k % 3 == 0 else (k, 0)) for k in range(3000))
+
+
+def test_hot_group_of_near_copies(spark):
     rnd = random.Random(8)
     base = ["w%d" % i for i in range(80)]
     docs = []
@@ -72,8 +94,7 @@ def test_hot_group_of_near_copies(spark, monkeypatch):
         docs.append((i, " ".join(words)))
     df = spark.createDataFrame(docs, "doc_id long, text string")
     assert _rows(J.join(df, small=16, block=64)) == _brute(docs)
-    monkeypatch.setattr(J, "HOT", 10**9)  # every leaf is hot
-    assert _rows(J.join(df, small=16, block=64)) == _brute(docs)
+    assert _rows(J.join(df, small=16, block=64, hot=10**9)) == _brute(docs)  # every leaf is hot
 
 
 def test_keep_one(spark):

@@ -46,3 +46,25 @@ def test_pages(spark):
     got = df.select(L.host(F.col("url")).alias("h"), L.page_lines(F.col("html")).alias("t")).collect()
     assert [r.h for r in got] == ["www.x.org", ""]
     assert [x for x in got[0].t.split("\n") if x] == ["Home", "One two", "three", "end"] and got[1].t is None
+
+
+def test_hot_sites_are_spread(spark):
+    """A site with half of all rows and no line in common, copies of one text, and null texts: no task gets them all."""
+    rows = []
+    for i in range(8000):
+        site = "hot" if i % 2 else ("copies" if i % 4 == 0 else f"site {i % 97}")
+        rows.append((i, site, {"hot": f"own {i}", "copies": None if i % 8 else "menu\nsame"}.get(site, f"menu\nown {i}")))
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(16)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
+    try:
+        for k, v in zip(before, ("false", "-1", "16")):
+            spark.conf.set(k, v)
+        for once in (False, True):
+            got = L.drop_lines(df, "source", copies_once=once)
+            sizes = sorted(len(p) for p in got.select("doc_id").rdd.glom().collect())
+            assert sum(sizes) == 8000 and sizes[-1] < 3 * sizes[len(sizes) // 2]
+            texts = {r.doc_id: r.text for r in got.collect()}
+            assert [texts[i] for i, _, _ in rows] == [t for t in _brute([(s, t) for _, s, t in rows], 0.05, 3)] if not once else texts[1] == "own 1"
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
