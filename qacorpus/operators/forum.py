@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_question, sha1_mod
+from ..sources.scratch import stored
 from .bm25 import Store
 from .lexstats import lemma_sets
+from .ranks import nearest_rank_quantiles, running
 from .retrieval import knn_out_of_fold
 
 
@@ -30,25 +34,27 @@ def assign_fold(question: Column, learn: int = 70, calibrate: int = 85) -> Colum
     return F.when(place < learn, "uczenie").when(place < calibrate, "kalibracja").otherwise("test")
 
 
-def nearest_rank_quantile(df: DataFrame, column: str, q: float, by: list[str] | None = None) -> DataFrame:
+def nearest_rank_quantile(df: DataFrame, column: str, q: float, by: list[str] | None = None, store: Store = stored) -> DataFrame:
     """The value at place round(q (n - 1)), halves to even, of the sorted ones of each group."""
-    by = by or []
-    rows = df.filter(F.col(column).isNotNull()).select(*by, column)
-    counts = rows.groupBy(*by, column).agg(F.count(F.lit(1)).alias("n"))
-    upto = Window.partitionBy(*by).orderBy(column)
-    counts = counts.withColumns({"below": F.sum("n").over(upto) - F.col("n"), "total": F.sum("n").over(Window.partitionBy(*by))})
-    at = F.bround(F.lit(q) * (F.col("total") - 1)).cast("long")
-    return counts.filter((F.col("below") <= at) & (at < F.col("below") + F.col("n"))).select(*by, F.col(column).alias("value"))
+    return nearest_rank_quantiles(df, column, [q], by, store).drop("q")
 
 
-def inventory(questions: DataFrame) -> dict[str, DataFrame]:
-    """Counts by source, board, side, year and fold with their shares, and how complete the forum's rows are."""
+def inventory(questions: DataFrame, lang: str | None = None, table: DataFrame | None = None, store: Store = stored) -> dict[str, DataFrame]:
+    """Counts by source, board, side, year and fold with their shares, how complete the forum's rows are, and lengths:
+    (measure, p05, median, p95) of the questions in characters and in distinct lemmas, by nearest rank; 0 without rows."""
     rows = questions.withColumns({"year": F.substring("data", 1, 4), "fold": assign_fold(F.col("pytanie"))})
     total = rows.agg(F.count(F.lit(1))).scalar()
     count = lambda c: rows.groupBy(F.col(c).alias("key")).agg(F.count(F.lit(1)).alias("n")).withColumn("share", F.round(F.col("n") / total, 4))
     filled = lambda c: F.avg((F.coalesce(c, F.lit("")) != "").cast("double"))
     forum = rows.filter("zrodlo = 'forum'").agg(filled("board").alias("board"), filled("url").alias("url"))
-    return {c: count(c) for c in ("zrodlo", "board", "strona", "year", "fold")} | {"complete": forum.withColumn("ok", (F.col("board") >= 0.99) & (F.col("url") >= 0.99))}
+    numbered = store(questions.select(F.monotonically_increasing_id().alias("_row"), F.coalesce("pytanie", F.lit("")).alias("pytanie"), *([] if lang is None else [lang])), "questions")
+    lemmas = numbered.select("_row").join(lemma_sets(numbered, ["_row"], "pytanie", lang, table).groupBy("_row").agg(F.count(F.lit(1)).alias("n")), "_row", "left")
+    sizes = numbered.select(F.lit("chars").alias("measure"), F.length("pytanie").cast("long").alias("value")).unionByName(lemmas.select(F.lit("lemmas").alias("measure"), F.coalesce("n", F.lit(0)).alias("value")))
+    found = nearest_rank_quantiles(sizes, "value", [0.05, 0.5, 0.95], ["measure"], store)
+    pick = lambda q, name: F.coalesce(F.max(F.when(F.col("q") == q, F.col("value"))), F.lit(0)).alias(name)
+    measures = questions.sparkSession.createDataFrame([("chars",), ("lemmas",)], "measure string")
+    lengths = measures.join(found, "measure", "left").groupBy("measure").agg(pick(0.05, "p05"), pick(0.5, "median"), pick(0.95, "p95"))
+    return {c: count(c) for c in ("zrodlo", "board", "strona", "year", "fold")} | {"complete": forum.withColumn("ok", (F.col("board") >= 0.99) & (F.col("url") >= 0.99)), "lengths": lengths}
 
 
 def train_weights(df: DataFrame, alpha0: float = 500.0, df_min: int = 20, per_class: int = 200, text: str = "text", label: str = "class", lang: str | None = None, table: DataFrame | None = None, store: Store = same_frame) -> DataFrame:
@@ -92,13 +98,15 @@ def classify(df: DataFrame, weights: DataFrame, key: str = "query_id", text: str
     return rows.withColumn("o", order).select(key, F.get("o", F.lit(0))["class"].alias("class"), F.get("o", F.lit(0))["score"].alias("score"), F.round(F.get("o", F.lit(0))["score"] - F.coalesce(F.get("o", F.lit(1))["score"], F.lit(0.0)), 9).alias("margin"))
 
 
-def percentile_rank_in(df: DataFrame, reference: DataFrame, column: str, name: str) -> DataFrame:
-    """Adds name: the share of reference values that are at most the row's."""
+def percentile_rank_in(df: DataFrame, reference: DataFrame, column: str, name: str, store: Store = stored) -> DataFrame:
+    """Adds name: the share of reference values that are at most the row's; null for a null value or without reference.
+
+    Distinct values of both are ranked together, in ranges that are counted and offset.
+    """
     counts = reference.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    points = df.select(F.col(column).alias("v")).distinct().withColumn("n", F.lit(0).cast("long"))
-    steps = counts.union(points).groupBy("v").agg(F.sum("n").alias("n"))
-    total = counts.agg(F.sum("n")).scalar()
-    ranks = steps.select("v", (F.sum("n").over(Window.orderBy("v")) / total).alias(name))
+    points = df.filter(F.col(column).isNotNull()).select(F.col(column).alias("v")).distinct().withColumn("n", F.lit(0).cast("long"))
+    steps = running(counts.union(points).groupBy("v").agg(F.sum("n").alias("n")), "v", store=store)
+    ranks = steps.select("v", F.when(F.col("total") > 0, F.col("upto") / F.col("total")).alias(name))
     return df.join(ranks, df[column] == ranks.v, "left").drop("v")
 
 
@@ -115,30 +123,37 @@ def precision_at_coverage(points: DataFrame, coverage: float = 0.30, key: str =
     return top.agg(F.count(F.lit(1)).alias("covered"), F.count_if("right").alias("right")).select(F.round(F.col("covered") / n, 4).alias("coverage"), F.round(F.col("right") / F.col("covered"), 4).alias("precision"), "covered", "right")
 
 
-def thresholds(calibration: DataFrame) -> DataFrame:
+def thresholds(calibration: DataFrame, store: Store = stored) -> DataFrame:
     """(score_p, margin_p, tau_score, tau_margin): the grid of 17 x 17 nearest-rank percentiles of calibration points."""
-    def of(column: str) -> Column:
-        values = calibration.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-        upto = values.withColumns({"upto": F.sum("n").over(Window.orderBy(column)), "total": F.sum("n").over(Window.partitionBy())})
-        pick = [F.min(F.when(F.col("upto") > F.bround(F.lit(p) * (F.col("total") - 1)).cast("long"), F.col(column))) for p in GRID]
-        return upto.agg(F.array(*[F.coalesce(x, F.lit(0.0)) for x in pick])).scalar()
+    steps = calibration.sparkSession.createDataFrame([(p, round(100 * p)) for p in GRID], "q double, p int")
+    def of(column: str) -> DataFrame:
+        found = steps.join(nearest_rank_quantiles(calibration, column, GRID, store=store), "q", "left")
+        return found.select(F.col("p").alias(f"{column}_p"), F.coalesce("value", F.lit(0.0)).alias(f"tau_{column}"))
 
-    row = calibration.sparkSession.range(1).select(of("score").alias("s"), of("margin").alias("m"))
-    percent = F.array(*[F.lit(round(100 * p)) for p in GRID])
-    one = row.select("m", F.explode(F.arrays_zip(percent.alias("p"), F.col("s").alias("t"))).alias("s"))
-    return one.select("s", F.explode(F.arrays_zip(percent.alias("p"), F.col("m").alias("t"))).alias("m")).select(F.col("s.p").alias("score_p"), F.col("m.p").alias("margin_p"), F.col("s.t").alias("tau_score"), F.col("m.t").alias("tau_margin"))
+    both = store(of("score"), "taus").withColumn("one", F.lit(1)).join(store(of("margin"), "taus").withColumn("one", F.lit(1)), "one")  # 17 rows each
+    return both.select("score_p", "margin_p", "tau_score", "tau_margin")
 
 
 def threshold_grid(points: DataFrame, grid: DataFrame) -> DataFrame:
     """The grid with coverage, precision and covered of points (score, margin, right).
 
-    The 289 rows go to the points as an array, whatever their number; sums are made before the shuffle.
+    A point falls to one cell: how many thresholds its score and its margin reach. Of these at most 18 x 18 counts, sums
+    from the greatest cell down, along both sides, give every pair of thresholds. A null value reaches none.
     """
-    cells = grid.agg(F.collect_list(F.struct("score_p", "margin_p", "tau_score", "tau_margin"))).scalar()
-    rows = points.select("score", "margin", F.col("right").alias("right"), F.explode(cells).alias("g"))
-    passed = (F.col("score") >= F.col("g.tau_score")) & (F.col("margin") >= F.col("g.tau_margin"))
-    sums = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.count_if(passed).alias("covered"), F.count_if(passed & F.col("right")).alias("hits"))
-    return sums.select("g.*", F.round(F.col("covered") / F.col("n"), 4).alias("coverage"), F.when(F.col("covered") > 0, F.round(F.col("hits") / F.col("covered"), 4)).otherwise(0.0).alias("precision"), "covered")
+    steps = {c: sorted({(r[0], r[1]) for r in grid.select(f"{c}_p", f"tau_{c}").collect()}) for c in ("score", "margin")}  # of 289 rows
+    reached = lambda c, t: F.when(F.col(c) >= t, 1).otherwise(0)
+    cell = lambda c: reduce(lambda a, x: a + reached(c, x[1]), steps[c], F.lit(0))
+    cells = points.groupBy(cell("score").alias("i"), cell("margin").alias("j")).agg(F.count(F.lit(1)).alias("n"), F.count_if("right").alias("hits"))
+    spread = points.sparkSession.range(18 * 18).select(F.floor(F.col("id") / 18).cast("int").alias("i"), (F.col("id") % 18).cast("int").alias("j"))
+    full = spread.join(cells, ["i", "j"], "left").fillna(0, ["n", "hits"])
+    for one, other in (("i", "j"), ("j", "i")):
+        down = Window.partitionBy(one).orderBy(F.desc(other))
+        full = full.withColumns({"n": F.sum("n").over(down), "hits": F.sum("hits").over(down)})
+    at = lambda c: F.array_position(F.array(*[F.lit(p) for p, _ in steps[c]]), F.col(f"{c}_p")).cast("int")
+    total = full.filter("i = 0 and j = 0").select("n").scalar()
+    covered = full.select("i", "j", F.col("n").alias("covered"), "hits")
+    rows = grid.withColumns({"i": at("score"), "j": at("margin"), "total": total}).filter("total > 0").join(covered, ["i", "j"])
+    return rows.select("score_p", "margin_p", "tau_score", "tau_margin", F.round(F.col("covered") / F.col("total"), 4).alias("coverage"), F.when(F.col("covered") > 0, F.round(F.col("hits") / F.col("covered"), 4)).otherwise(0.0).alias("precision"), "covered")
 
 
 def envelope(grid: DataFrame) -> DataFrame:

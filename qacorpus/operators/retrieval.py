@@ -90,7 +90,7 @@ def rrf(rankings: list[DataFrame], k: int = 60) -> DataFrame:
 def certified(rankings: tuple[DataFrame, DataFrame], k_raw: int, depth: int, k: int = 60) -> DataFrame:
     """(query_id, exact): whether two rankings cut at depth surely give the same best k_raw as whole ones.
 
-    So it is if the best k_raw are in both lists and none that a list lacks can reach the last of them. A list that is
+    So it is if there are so many, the best k_raw are in both lists and none that a list lacks can reach the last of them. A list that is
     shorter than depth has to be whole.
     """
     rows = rankings[0].select("query_id", "chunk_id", "pos").unionByName(rankings[1].select("query_id", "chunk_id", "pos"))
@@ -98,8 +98,8 @@ def certified(rankings: tuple[DataFrame, DataFrame], k_raw: int, depth: int, k:
     sums = sums.withColumn("pos", _place(["query_id"], [F.desc("score"), "chunk_id"]))
     top = F.col("pos") < k_raw
     unseen = 1.0 / (k + depth)
-    row = sums.groupBy("query_id").agg(F.min(F.when(top, F.col("score"))).alias("last"), F.min(F.when(top, F.col("lists"))).alias("lists"), F.max(F.when(~top & (F.col("lists") == 1), F.col("score") + unseen)).alias("rival"))
-    return row.select("query_id", ((F.col("lists") == 2) & (F.col("last") > F.coalesce("rival", F.lit(0.0)) + 1e-11) & (F.col("last") > 2 * unseen + 1e-11)).alias("exact"))
+    row = sums.groupBy("query_id").agg(F.count_if(top).alias("n"), F.min(F.when(top, F.col("score"))).alias("last"), F.min(F.when(top, F.col("lists"))).alias("lists"), F.max(F.when(~top & (F.col("lists") == 1), F.col("score") + unseen)).alias("rival"))
+    return row.select("query_id", ((F.col("n") == k_raw) & (F.col("lists") == 2) & (F.col("last") > F.coalesce("rival", F.lit(0.0)) + 1e-11) & (F.col("last") > 2 * unseen + 1e-11)).alias("exact"))
 
 
 def candidates(rankings: list[DataFrame], k_raw: int, k: int = 60) -> DataFrame:

@@ -543,18 +543,40 @@ def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(scored.join(bank.select("query_id", "class", "fold", "board", "side"), "query_id").withColumn("right", F.coalesce(F.col("class") == F.col("predicted"), F.lit(False))), "points")
 
 
-query("m06_confidence")(lambda spark, sf_dir: (lambda p: M.confidence(p.filter("fold = 'test'"), p.filter("fold = 'kalibracja'")).select("query_id", "score_rank", "margin_rank", "confidence"))(_points(spark, sf_dir)))
-query("m07_precision")(lambda spark, sf_dir: (lambda p: M.precision_at_coverage(M.confidence(p.filter("fold = 'test'"), p.filter("fold = 'kalibracja'"))))(_points(spark, sf_dir)))
+_CONFIDENCE = (
+    _SCORED + """, rights AS (SELECT *, coalesce(truth = class, false) AS hit FROM points), cal AS (SELECT * FROM rights WHERE fold = 'kalibracja'), test AS (SELECT * FROM rights WHERE fold = 'test'), size AS (SELECT count(*) AS n FROM cal),
+  ranked AS (SELECT t.query_id, t.truth, t.class, t.hit, (SELECT count(*) FROM cal c WHERE c.score <= t.score) / n AS score_rank, (SELECT count(*) FROM cal c WHERE c.margin <= t.margin) / n AS margin_rank FROM test t, size), confident AS (SELECT *, least(score_rank, margin_rank) AS confidence FROM ranked)"""
+)
+_TAUS = _SCORED + """, rights AS (SELECT *, coalesce(truth = class, false) AS hit, regexp_extract(url, 'example/([^/]+)', 1) AS board FROM points JOIN (SELECT doc_id, url FROM articles) ON doc_id = query_id), cal AS (SELECT * FROM rights WHERE @@),
+  ps AS (SELECT 5 * k AS p FROM (SELECT unnest(range(2, 19)) AS k)), lists AS (SELECT list_sort(list(score)) AS s, list_sort(list(margin)) AS m, count(*) AS n FROM cal),
+  grid AS (SELECT a.p::INT AS score_p, b.p::INT AS margin_p, s[round_even((a.p / 100)::DOUBLE * (n - 1), 0)::INT + 1] AS tau_score, m[round_even((b.p / 100)::DOUBLE * (n - 1), 0)::INT + 1] AS tau_margin FROM ps a, ps b, lists)"""
+
+
+def _over(name: str, where: str) -> str:
+    return f""", {name} AS (SELECT g.score_p, g.margin_p, g.tau_score, g.tau_margin, round(count(*) FILTER (score >= tau_score AND margin >= tau_margin) / count(*), 4) AS coverage,
+  coalesce(round(count(*) FILTER (score >= tau_score AND margin >= tau_margin AND hit) / nullif(count(*) FILTER (score >= tau_score AND margin >= tau_margin), 0), 4), 0) AS precision, count(*) FILTER (score >= tau_score AND margin >= tau_margin) AS covered FROM grid g, (SELECT * FROM rights WHERE {where}) GROUP BY 1, 2, 3, 4)"""
+
+
+query("m06_confidence", _CONFIDENCE + " SELECT query_id, score_rank, margin_rank, confidence FROM confident")(lambda spark, sf_dir: (lambda p: M.confidence(p.filter("fold = 'test'"), p.filter("fold = 'kalibracja'")).select("query_id", "score_rank", "margin_rank", "confidence"))(_points(spark, sf_dir)))
+query("m07_precision", _CONFIDENCE + ", best AS (SELECT *, row_number() OVER (ORDER BY confidence DESC, query_id) AS i, count(*) OVER () AS n FROM confident QUALIFY i <= greatest(1, round_even(0.3::DOUBLE * n, 0))) SELECT round(count(*) / any_value(n), 4) AS coverage, round(count(*) FILTER (hit) / count(*), 4) AS precision, count(*) AS covered, count(*) FILTER (hit) AS right FROM best")(lambda spark, sf_dir: (lambda p: M.precision_at_coverage(M.confidence(p.filter("fold = 'test'"), p.filter("fold = 'kalibracja'"))))(_points(spark, sf_dir)))
 query("m08_quantiles", " SELECT event_type, value FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events) WHERE i = round_even(0.95 * (n - 1), 0)")(
     lambda spark, sf_dir: M.nearest_rank_quantile(read(spark, sf_dir, "events"), "value", 0.95, ["event_type"])
 )
-query("m09_grid")(lambda spark, sf_dir: (lambda p: M.threshold_grid(p, M.thresholds(p)))(_points(spark, sf_dir).filter("fold = 'kalibracja'")))
-query("m10_envelope")(lambda spark, sf_dir: (lambda p: M.envelope(M.threshold_grid(p, M.thresholds(p))))(_points(spark, sf_dir).filter("fold = 'kalibracja'")))
-query("m11_gate_sweep")(lambda spark, sf_dir: (lambda p: M.gate_sweep(*[p.filter(w) for w in ("fold = 'kalibracja' and board <> 'src9'", "fold = 'test'", "board = 'src9'", "fold = 'uczenie' and board = 'src1'")]))(_points(spark, sf_dir)))
+_CAL = "fold = 'kalibracja'"
+query("m09_grid", _TAUS.replace("@@", _CAL) + _over("cov", _CAL) + " SELECT * FROM cov")(lambda spark, sf_dir: (lambda p: M.threshold_grid(p, M.thresholds(p)))(_points(spark, sf_dir).filter("fold = 'kalibracja'")))
+query("m10_envelope", _TAUS.replace("@@", _CAL) + _over("cov", _CAL) + ", b AS (SELECT *, max(precision) OVER (ORDER BY coverage DESC, precision DESC, score_p, margin_p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM cov) SELECT * EXCLUDE (before) FROM b WHERE before IS NULL OR precision > before")(lambda spark, sf_dir: (lambda p: M.envelope(M.threshold_grid(p, M.thresholds(p))))(_points(spark, sf_dir).filter("fold = 'kalibracja'")))
+_SWEEP = (
+    _TAUS.replace("@@", "fold = 'kalibracja' AND board <> 'src9'") + _over("sc", "fold = 'kalibracja' AND board <> 'src9'") + _over("st", "fold = 'test'") + _over("so", "board = 'src9'") + _over("sl", "fold = 'uczenie' AND board = 'src1'")
+    + """, sj AS (SELECT sc.*, st.coverage AS test_coverage, st.precision AS test_precision, coalesce(so.coverage, 0) AS ood, coalesce(sl.coverage, 0) AS golden FROM sc LEFT JOIN st USING (score_p, margin_p) LEFT JOIN so USING (score_p, margin_p) LEFT JOIN sl USING (score_p, margin_p)),
+    sf AS (SELECT *, ood < 0.1 AS ood_ok, golden >= 0.15 AS golden_ok, precision >= 0.7 AS precision_ok, covered >= 20 AS enough FROM sj), su AS (SELECT *, CASE WHEN ood_ok AND golden_ok AND precision_ok AND enough THEN 2 WHEN precision_ok AND enough THEN 1 ELSE 0 END AS u FROM sf)
+    SELECT * EXCLUDE (u), row_number() OVER (ORDER BY u DESC, CASE WHEN u > 0 THEN coverage ELSE precision END DESC, CASE WHEN u > 0 THEN precision ELSE coverage END DESC, score_p, margin_p) = 1 AS chosen, row_number() OVER (ORDER BY golden - ood DESC, score_p, margin_p) = 1 AS best_compromise FROM su"""
+)
+query("m11_gate_sweep", _SWEEP)(lambda spark, sf_dir: (lambda p: M.gate_sweep(*[p.filter(w) for w in ("fold = 'kalibracja' and board <> 'src9'", "fold = 'test'", "board = 'src9'", "fold = 'uczenie' and board = 'src1'")]))(_points(spark, sf_dir)))
 query("m12_majority", _FOLDED + ", c AS (SELECT class, count(*) AS n FROM f WHERE fold = 'uczenie' GROUP BY 1) SELECT query_id, (SELECT class FROM c ORDER BY n DESC, class LIMIT 1) AS by_all FROM f WHERE fold = 'test'")(
     lambda spark, sf_dir: (lambda b: M.majority_baseline(b.filter("fold = 'uczenie'"), b.filter("fold = 'test'")).select("query_id", "by_all"))(_bank(spark, sf_dir))
 )
-query("m14_shares")(lambda spark, sf_dir: M.threshold_share(_points(spark, sf_dir), 5.0, 5.0, ["board"]))
+_RANKS = ", ".join(f"round(s[round_even({q}::DOUBLE * (n - 1), 0)::INT + 1], 3) AS score_{name}, round(m[round_even({q}::DOUBLE * (n - 1), 0)::INT + 1], 3) AS margin_{name}" for q, name in ((0.1, "p10"), (0.5, "median"), (0.9, "p90")))
+query("m14_shares", _SCORED + f", groups AS (SELECT regexp_extract(url, 'example/([^/]+)', 1) AS board, list_sort(list(score)) AS s, list_sort(list(margin)) AS m, count(*) AS n, count(*) FILTER (score >= 5 AND margin >= 5) AS k FROM points JOIN (SELECT doc_id, url FROM articles) ON doc_id = query_id GROUP BY 1) SELECT board, n, round(k / n, 4) AS share, {_RANKS} FROM groups")(lambda spark, sf_dir: M.threshold_share(_points(spark, sf_dir), 5.0, 5.0, ["board"]))
 query("m15_accuracy")(lambda spark, sf_dir: M.accuracy_report(_with_baselines(spark, sf_dir)))
 
 
@@ -576,6 +598,10 @@ query("m18_agreement", " SELECT 'quality' AS field, count(*) FILTER (quality = 1
 query("m02_inventory", " SELECT source AS key, count(*) AS n, round(count(*) / (SELECT count(*) FROM documents), 4) AS share FROM documents GROUP BY 1")(
     lambda spark, sf_dir: M.inventory(views.articles(spark, sf_dir).select(F.element_at(F.split("url", "/"), 4).alias("board"), F.lit("forum").alias("zrodlo"), F.lit("kupujacy").alias("strona"), F.lit("2024-01-01").alias("data"), F.col("title").alias("pytanie"), "url"))["board"]
 )
+query("m02_lengths", rf""", q AS (SELECT length(title) AS c, len(list_distinct(list_filter(regexp_extract_all(lower(title), '{WORDS}'), lambda x: length(x) >= 4))) AS l FROM articles), v AS (SELECT 'chars' AS measure, list_sort(list(c)) AS x, count(*) AS n FROM q UNION ALL SELECT 'lemmas', list_sort(list(l)), count(*) FROM q)
+  SELECT measure, x[round_even(0.05::DOUBLE * (n - 1), 0)::INT + 1] AS p05, x[round_even(0.5::DOUBLE * (n - 1), 0)::INT + 1] AS median, x[round_even(0.95::DOUBLE * (n - 1), 0)::INT + 1] AS p95 FROM v""")(
+    lambda spark, sf_dir: M.inventory(views.articles(spark, sf_dir).select(F.lit("b").alias("board"), F.lit("forum").alias("zrodlo"), F.lit("kupujacy").alias("strona"), F.lit("2024-01-01").alias("data"), F.col("title").alias("pytanie"), "url"))["lengths"]
+)
 query("m01_classes", " SELECT CASE source WHEN 'src0' THEN 'a' WHEN 'src1' THEN 'b' END AS class, count(*) AS n FROM documents GROUP BY 1")(
     lambda spark, sf_dir: M.assign_class(read(spark, sf_dir, "documents").withColumnRenamed("source", "board"), spark.createDataFrame([("src0", "a", "kupujacy"), ("src1", "b", "sprzedajacy")], "board string, class string, side string")).groupBy("class").agg(F.count(F.lit(1)).alias("n"))
 )

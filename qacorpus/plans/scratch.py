@@ -1,23 +1,5 @@
-"""Tables in the shared folder, for loops and for results that are read more than once."""
+"""Where the registered queries keep tables."""
 
-from __future__ import annotations
+from ..sources.scratch import scratch, stored
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def scratch(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; where that is unset, a temporary one, or the warehouse on a cluster."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='spark-')}" if spark.sparkContext.master.startswith("local[") else spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base}/tables-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    path = f"{scratch(df.sparkSession)}/{name}"
-    schema = df.schema
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
+__all__ = ["scratch", "stored"]
