@@ -11,10 +11,15 @@ from ..functions.text import fold, tokenize_words
 from .bm25 import tables
 
 
-def build_dictionary(chunks: DataFrame, min_len: int = 4, min_count: int = 1) -> DataFrame:
-    """word and cnt over title and text of all chunks."""
-    words = chunks.select(F.explode(tokenize_words(F.concat_ws("\n", "title", "text"))).alias("word"))
-    return words.filter(F.length("word") >= min_len).groupBy("word").agg(F.count(F.lit(1)).alias("cnt")).filter(F.col("cnt") >= min_count)
+def build_dictionary(chunks: DataFrame, min_len: int = 4, min_count: int = 1, order: str | None = None) -> DataFrame:
+    """word and cnt over title and text of all chunks; with an order of chunks also place, where a word first stands, by
+    which a dictionary that is filled chunk by chunk lists it."""
+    tokens = tokenize_words(F.concat_ws("\n", "title", "text"))
+    if order is None:
+        words = chunks.select(F.explode(tokens).alias("word"))
+        return words.filter(F.length("word") >= min_len).groupBy("word").agg(F.count(F.lit(1)).alias("cnt")).filter(F.col("cnt") >= min_count)
+    words = chunks.select(F.col(order).alias("chunk"), F.posexplode(tokens).alias("pos", "word"))
+    return words.filter(F.length("word") >= min_len).groupBy("word").agg(F.count(F.lit(1)).alias("cnt"), F.min(F.struct("chunk", "pos")).alias("place")).filter(F.col("cnt") >= min_count)
 
 
 def idf_table(chunks: DataFrame, lang: str | None = None, table: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:

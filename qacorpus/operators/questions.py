@@ -81,22 +81,65 @@ def effective_language(hint: Column, detected: Column, default: str = "pl") -> C
 def best_candidate(tokens: DataFrame, dictionary: DataFrame) -> DataFrame:
     """token, word and distance for each token (token) with a word of the dictionary (word, cnt) close enough.
 
-    Compared without accents; one edit is allowed up to six letters, two above. Least distance, then most frequent,
-    then first in order. Both sides are joined on what is left of a form when up to so many letters are taken out
-    (which two forms within the distance share), so no length becomes one large group. Words of a length that no token
-    can reach are left out before, so that a long word of the dictionary costs nothing unless a token is as long.
+    Compared without accents; one edit is allowed up to six letters, two above. Least distance, then most frequent, then
+    first in the dictionary's order (a column place, if it has one), then by spelling.
+
+    Words of up to 12 letters are joined on what is left of a form when up to so many letters are taken out, which two
+    forms within the distance share. Longer ones are cut into five parts: two edits, each of which touches two parts at
+    most (an exchange of neighbours), leave one whole, at its place or up to two letters away. So a token's keys don't
+    grow with its letters. Words of a length that no token can reach are left out before.
     """
     allowed = F.when(F.length("token") <= 6, 1).otherwise(2)
     asked = tokens.select("token").distinct().select("token", fold(F.col("token")).alias("folded"), allowed.alias("allowed"))
     reach = F.explode(F.sequence(F.length("folded") - F.col("allowed"), F.length("folded") + F.col("allowed"))).alias("n")
     lengths = asked.select(reach).agg(F.collect_set("n")).scalar()  # at most as many as the longest token has letters, and two
-    known = dictionary.select("word", "cnt", fold(F.col("word")).alias("wfolded")).filter(F.array_contains(lengths, F.length("wfolded")))
-    left = asked.select("*", F.explode(_without(F.col("folded"), F.col("allowed"))).alias("key"))
-    right = known.select("*", F.explode(_without(F.col("wfolded"), F.lit(2))).alias("key"))
-    near = left.join(right, "key").filter(F.abs(F.length("folded") - F.length("wfolded")) <= F.col("allowed")).drop("key").distinct()
+    place = F.col("place") if "place" in dictionary.columns else F.lit(0)
+    known = dictionary.select("word", "cnt", place.alias("place"), fold(F.col("word")).alias("wfolded")).filter(F.array_contains(lengths, F.length("wfolded")))
+    left = asked.filter(F.length("folded") <= SHORT + 2).select("*", F.explode(_without(F.col("folded"), F.col("allowed"))).alias("key"))
+    right = known.filter(F.length("wfolded") <= SHORT).select("*", F.explode(_without(F.col("wfolded"), F.lit(2))).alias("key"))
+    long_left = asked.filter(F.length("folded") + F.col("allowed") > SHORT).select("*", F.explode(_segments_near(F.col("folded"), F.col("allowed"))).alias("key"))
+    long_right = known.filter(F.length("wfolded") > SHORT).select("*", F.explode(_segments(F.col("wfolded"))).alias("key"))
+    near = left.join(right, "key").unionByName(long_left.join(long_right, "key")).filter(F.abs(F.length("folded") - F.length("wfolded")) <= F.col("allowed")).drop("key").distinct()
     near = near.withColumn("distance", osa_distance(F.col("folded"), F.col("wfolded"), 2)).filter("distance <= allowed")
-    best = Window.partitionBy("token").orderBy("distance", F.desc("cnt"), "word")
-    return near.withColumn("place", F.row_number().over(best)).filter("place = 1").select("token", "word", "distance")
+    best = Window.partitionBy("token").orderBy("distance", F.desc("cnt"), "place", "word")
+    return near.withColumn("rank", F.row_number().over(best)).filter("rank = 1").select("token", "word", "distance")
+
+
+#: Up to so many letters words are compared by what is left of them; beyond, by their parts.
+SHORT = 12
+PARTS = 5
+
+
+def _cut(length: Column, i: Column) -> tuple[Column, Column]:
+    """Where the i-th of five parts of a word of a length begins, and how many letters it has."""
+    begin = F.floor(length * i / PARTS).cast("int")
+    return begin, F.floor(length * (i + 1) / PARTS).cast("int") - begin
+
+
+def _segments(word: Column) -> Column:
+    """A word's parts with its length and their numbers: five keys."""
+    def key(i: Column) -> Column:
+        begin, n = _cut(F.length(word), i)
+        return F.concat_ws(" ", F.length(word), i, F.substring(word, begin + 1, n))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), key)
+
+
+def _segments_near(word: Column, most: Column) -> Column:
+    """The keys by which words of up to `most` letters more or fewer can be near: for each length and part what stands at
+    its place in this word, or up to `most` letters away; 125 at most."""
+    steps = F.sequence(-most, most)
+
+    def of(length: Column) -> Column:
+        def part(i: Column) -> Column:
+            begin, n = _cut(length, i)
+            here = F.filter(steps, lambda s: (begin + s >= 0) & (begin + s + n <= F.length(word)))
+            return F.transform(here, lambda s: F.concat_ws(" ", length, i, F.substring(word, begin + s + 1, n)))
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), part))
+
+    lengths = F.filter(F.transform(steps, lambda s: F.length(word) + s), lambda x: x > SHORT)
+    return F.array_distinct(F.flatten(F.transform(lengths, of)))
 
 
 def _without(word: Column, most: Column) -> Column:

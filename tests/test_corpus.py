@@ -229,3 +229,53 @@ def test_accuracy_without_vectors(spark):
     points = spark.createDataFrame(rows, "query_id long, class string, predicted string, knn string, majority string, confidence double")
     got = M.accuracy_report(points, 0.5).first()
     assert (got.predicted, got.knn, got.majority, got.over_majority, got.over_knn, got.knn_ok) == (0.75, 0.0, 0.0, 1.0, 1.0, True)
+
+
+def test_candidates_by_brute_force(spark):
+    """Words of all lengths, near and far, neighbours exchanged across parts too; ties by the dictionary's order."""
+    from qacorpus.functions.text import osa
+
+    rnd = random.Random(4)
+    base = ["".join(rnd.choice("abcde") for _ in range(n)) for n in (4, 5, 6, 7, 9, 11, 12, 13, 14, 15, 16, 21, 40, 200) for _ in range(4)]
+
+    def worn(w):
+        w = list(w)
+        for _ in range(rnd.choice([1, 2, 3])):
+            k = rnd.randrange(len(w) - 1)
+            kind = rnd.randrange(4)
+            if kind == 0:
+                w[k], w[k + 1] = w[k + 1], w[k]
+            elif kind == 1:
+                w[k] = rnd.choice("abcdef")
+            elif kind == 2 and len(w) > 4:
+                del w[k]
+            else:
+                w.insert(k, rnd.choice("abcdef"))
+        return "".join(w)
+
+    cross = "abcdefghijklmno"  # five parts of three letters; both exchanges cross parts
+    tokens = sorted({worn(w) for w in base for _ in range(4)} | {"abdcefghijlkmno"})
+    words = [(w, rnd.choice([1, 2]), k) for k, w in enumerate(dict.fromkeys([*base, *(worn(w) for w in base), cross]))]
+    rnd.shuffle(words)
+    table = spark.createDataFrame(words, "word string, cnt long, place int")
+    found = {r.token: (r.distance, r.word) for r in Q.best_candidate(spark.createDataFrame([(t,) for t in tokens], "token string"), table).collect()}
+    for t in tokens:
+        most = 1 if len(t) <= 6 else 2
+        near = [(osa(t, w, 2), -c, k, w) for w, c, k in words if abs(len(w) - len(t)) <= most]
+        near = min((x for x in near if x[0] <= most), default=None)
+        assert found.get(t) == (near and (near[0], near[3])), t
+    assert found["abdcefghijlkmno"] == (2, cross)
+    long = spark.range(1).select(Q._segments_near(F.lit("x" * 500 + "y" * 500), F.lit(2)).alias("k"))
+    assert long.select(F.size("k").alias("n")).first().n <= 125
+
+
+def test_dictionary_in_order(spark):
+    chunks = spark.createDataFrame([(2, "t", "beta alfa"), (1, "t", "gamma beta")], "chunk_id long, title string, text string")
+    assert [r.word for r in L.build_dictionary(chunks, order="chunk_id").orderBy("place").collect()] == ["gamma", "beta", "alfa"]
+
+
+def test_lengths_of_questions(spark):
+    rows = [("forum", "b", "u", "kupujacy", "2024", q) for q in ["konto", "nowe konto konto", None, "hasło do konta i więcej"]]
+    df = spark.createDataFrame(rows, "zrodlo string, board string, url string, strona string, data string, pytanie string")
+    assert _rows(M.inventory(df)["lengths"], "measure", "p05", "median", "p95") == [("chars", 0, 16, 23), ("lemmas", 0, 2, 3)]
+    assert _rows(M.inventory(df.filter("false"))["lengths"], "measure", "p05", "median", "p95") == [("chars", 0, 0, 0), ("lemmas", 0, 0, 0)]
