@@ -192,7 +192,7 @@ def _verified(tasks: DataFrame, least: float) -> DataFrame:
         def emit():
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["tid", "links", "root"])
 
-        for batch in batches:
+        for batch in slices(batches, 256, column=None):  # rows become Python's own a few at a time
             for row in zip(*[c.to_pylist() for c in batch.columns]):
                 if row[:5] != key:
                     if len(held) > 1:
