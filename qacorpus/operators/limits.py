@@ -98,6 +98,23 @@ def address_cooldown(df: DataFrame, seconds: int = 600) -> DataFrame:
     return df.join(done, "seq", "left")
 
 
+def fold_tickets(rows, owner: str | None, is_open: bool):
+    """rows (address, outcome, correction) of one ticket in order; gives allowed for each (None where it is no correction),
+    and whose ticket it is then and whether it is open."""
+    allowed = []
+    for address, outcome, correction in rows:
+        if not correction:
+            if outcome in ("ok", "partial"):
+                owner, is_open = address, True
+            allowed.append(None)
+            continue
+        good = is_open and address == owner
+        allowed.append(good)
+        if good and outcome == "ok":
+            is_open = False
+    return allowed, owner, is_open
+
+
 def correction_tickets(df: DataFrame) -> DataFrame:
     """Adds allowed to corrections in (ticket, email, ts, seq, outcome, correction).
 
@@ -109,18 +126,11 @@ def correction_tickets(df: DataFrame) -> DataFrame:
         current, owner, is_open = None, None, False
         for batch in batches:
             allowed = []
-            for k, address, outcome, correction in zip(batch["ticket"], batch["address"], batch["outcome"], batch["correction"]):
+            for k, *row in zip(batch["ticket"], batch["address"], batch["outcome"], batch["correction"]):
                 if k != current:
                     current, owner, is_open = k, None, False
-                if not correction:
-                    if outcome in ("ok", "partial"):
-                        owner, is_open = address, True
-                    allowed.append(None)
-                    continue
-                good = is_open and address == owner
-                allowed.append(good)
-                if good and outcome == "ok":
-                    is_open = False
+                (one,), owner, is_open = fold_tickets([row], owner, is_open)
+                allowed.append(one)
             yield pd.DataFrame({"seq": batch["seq"], "allowed": pd.array(allowed, dtype="boolean")})
 
     rows = df.filter("ticket is not null").select("ticket", F.lower("email").alias("address"), "seq", (F.unix_micros("ts") / 1e6).alias("t"), "outcome", F.coalesce("correction", F.lit(False)).alias("correction"))

@@ -638,6 +638,7 @@ query("w04_admit", f", log AS ({views.LOG})" + log_queries.ADMITTED + " SELECT u
 query("w05_cooldown", f", log AS ({views.LOG})" + log_queries.COOLED + " SELECT email || '@x.example' AS address, seq, accepted FROM a")(
     lambda spark, sf_dir: _finished(W.stream_cooldown(log_queries.mails(_stream(spark, sf_dir)), 6 * 3600), "cooldown")
 )
+query("w05_tickets", f", log AS ({views.LOG})" + log_queries.TICKETS)(lambda spark, sf_dir: _finished(W.stream_tickets(log_queries.mails(_stream(spark, sf_dir))), "tickets").select("seq", "allowed"))
 query("w06_signal")(lambda spark, sf_dir: _finished(W.stream_gate_signal(_stream(spark, sf_dir).filter("typ is null"), "user_id"), "signal"))
 query("w08_dedup", " SELECT count(DISTINCT user_id * 1000 + epoch_us(ts) % 1000) AS n FROM events")(
     lambda spark, sf_dir: _finished(W.stream_dedup(_stream(spark, sf_dir).select("ts", (F.col("user_id") * 1000 + F.unix_micros("ts") % 1000).alias("h")), ["h"], "400 days"), "dedup").agg(F.count(F.lit(1)).alias("n"))

@@ -196,14 +196,12 @@ query(
     "a23_cooldown",
     COOLED + " SELECT seq, accepted FROM a",
 )(lambda df: limits.address_cooldown(mails(df), 6 * 3600).select("seq", "accepted"))
-query(
-    "a24_tickets",
-    MAILS + """, f(email, n, seq, is_open, allowed) AS (
+TICKETS = MAILS + """, f(email, n, seq, is_open, allowed) AS (
          SELECT DISTINCT email, 0::BIGINT, NULL::BIGINT, false, NULL::BOOLEAN FROM m
          UNION ALL SELECT m.email, m.n, m.seq, CASE WHEN NOT m.correction THEN f.is_open OR m.outcome IN ('ok', 'partial') ELSE f.is_open AND m.outcome <> 'ok' END, CASE WHEN m.correction THEN f.is_open END
          FROM f JOIN m ON m.email = f.email AND m.n = f.n + 1)
-       SELECT seq, allowed FROM f WHERE n > 0""",
-)(lambda df: limits.correction_tickets(mails(df)).select("seq", "allowed"))
+       SELECT seq, allowed FROM f WHERE n > 0"""
+query("a24_tickets", TICKETS)(lambda df: limits.correction_tickets(mails(df)).select("seq", "allowed"))
 query(
     "a25_repeat_requests",
     """, r AS (SELECT seq, ts, lang, strona, lower(trim(pytanie)) AS question_key, k % 5 > 0 AS standalone, wynik, powod FROM q),

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.limits import DAY, SlidingLimit, fold_cooldown
+from ..operators.limits import DAY, SlidingLimit, fold_cooldown, fold_tickets
 from ..sources.io import parse_log
 
 DAY_MS = DAY * 1000
@@ -78,6 +78,28 @@ def stream_cooldown(df: DataFrame, seconds: int = 600, late: str = "1 hour") ->
     return rows.groupBy("address").applyInPandasWithState(of, "address string, seq long, accepted boolean", "until double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def stream_tickets(df: DataFrame, late: str = "1 hour") -> DataFrame:
+    """correction_tickets() live: seq and allowed of mails (ticket, email, ts, seq, outcome, correction) with a ticket.
+
+    A ticket's state is whose it is and whether it is open; it goes a day after its last mail. A mail that the watermark of
+    the batch before has passed is dropped; within a micro-batch a ticket's mails are taken in order of time.
+    """
+
+    def of(k, batches, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        owner, is_open = state.get if state.exists else (None, False)
+        rows = _in_order(batches)
+        allowed, owner, is_open = fold_tickets(list(zip(rows["address"], rows["outcome"], rows["correction"])), owner, bool(is_open))
+        state.update((owner, is_open))
+        _expire(state, rows["t"].max())
+        yield pd.DataFrame({"ticket": k[0], "seq": rows["seq"].to_numpy(), "allowed": pd.array(allowed, dtype="boolean")})
+
+    rows = df.filter("ticket is not null").withWatermark("ts", late).select("ticket", F.lower("email").alias("address"), "seq", "ts", (F.unix_micros("ts") / 1e6).alias("t"), "outcome", F.coalesce("correction", F.lit(False)).alias("correction"))
+    return rows.groupBy("ticket").applyInPandasWithState(of, "ticket string, seq long, allowed boolean", "owner string, is_open boolean", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def stream_gate_signal(df: DataFrame, key: str, window: int = 50, threshold: float = 0.2) -> DataFrame:
     """skipped_gate_signal() live: the last flags of a key and whether it was active are its state."""
 
