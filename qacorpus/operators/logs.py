@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import lists
 from ..functions.text import strip
 from ..sources.io import normalize_side
+from ..sources.scratch import stored
 
 
 def questions(df: DataFrame) -> DataFrame:
@@ -105,6 +106,10 @@ def daily_series(df: DataFrame, max_days: int = 400) -> DataFrame:
         .groupBy("day")
         .agg(F.count(F.lit(1)).alias("questions"), F.count_if(F.col("wynik") == "odmowa").alias("refusals"), F.round(F.percentile("latencja_s", 0.5), 3).alias("median_latency"), F.round(F.sum("koszt_usd"), 6).alias("cost_usd"))
     )
+    return _calendar(per_day, max_days)
+
+
+def _calendar(per_day: DataFrame, max_days: int) -> DataFrame:
     span = per_day.agg(F.min("day").alias("low"), F.max("day").alias("high")).filter("low is not null")
     begin = F.greatest("low", F.date_sub("high", max_days - 1))
     calendar = span.select(F.explode(F.sequence(begin, "high")).alias("day"), (F.date_diff("high", "low") >= max_days).alias("truncated"))
@@ -135,6 +140,10 @@ def cost_stats(df: DataFrame) -> DataFrame:
     counted = F.col("tokeny_we").isNotNull() & F.col("tokeny_wy").isNotNull()
     of = lambda c: F.coalesce(F.sum(F.when(counted, F.col(c))), F.lit(0))
     row = rows.agg(F.count(F.lit(1)).alias("requests"), F.count_if(counted).alias("counted"), of("tokeny_we").alias("tokens_in"), of("tokeny_wy").alias("tokens_out"), of("koszt_usd").alias("cost"), F.count_if(counted & F.coalesce("tokeny_szacowane", F.lit(False))).alias("estimated"))
+    return _costs(row)
+
+
+def _costs(row: DataFrame) -> DataFrame:
     return row.select(
         "tokens_in", "tokens_out", F.round("cost", 6).alias("cost_usd"), F.when(F.col("counted") > 0, F.round(F.col("cost") / F.col("counted"), 6)).alias("cost_per_request"),
         _share(F.col("counted"), F.col("requests")).alias("coverage"), "estimated", _share(F.col("estimated"), F.col("counted")).alias("estimated_share"),
@@ -145,15 +154,72 @@ def log_range(df: DataFrame, max_days: int = 400) -> DataFrame:
     """First and last time as written, over all events, and how many days a series has."""
     day = F.when(F.col("typ").isNull(), event_day(F.col("czas")))
     row = df.agg(F.min("czas").alias("first"), F.max("czas").alias("last"), F.min(day).alias("a"), F.max(day).alias("b"))
+    return _range(row, max_days)
+
+
+def _range(row: DataFrame, max_days: int) -> DataFrame:
     n = F.coalesce(F.date_diff("b", "a") + 1, F.lit(0))
     return row.select("first", "last", F.least(n, F.lit(max_days)).alias("days"), (n > max_days).alias("truncated"))
 
 
-def full_report(df: DataFrame, days: int | None = None, lang: str | None = None, side: str | None = None, now=None, top: int = 15, max_days: int = 400) -> dict[str, DataFrame]:
-    """All parts of the report over the filtered events; each part reads df by itself, so persist a df that is dear to make."""
-    kept = filter_log(df, days, lang, side, now)
-    parts = {"overview": overview(kept), "latency": latency_stats(kept), "histogram": latency_histogram(kept), "daily": daily_series(kept, max_days), "top": top_questions(kept, top), "ratings": rating_stats(kept), "costs": cost_stats(kept), "range": log_range(kept, max_days)}
-    return parts | {by: distribution(kept, by) for by in ("sections", "sides", "reasons", "languages")}
+def report_cells(df: DataFrame, order: str = "seq") -> DataFrame:
+    """(part, key, ...): what every part of the report needs of the events, in one pass. Each event goes to the cells it
+    counts in, and one aggregate, summed before its shuffle, makes a row of a cell."""
+    q, hit, x = F.col("typ").isNull(), F.coalesce("cache_hit", F.lit(False)), F.col("latencja_s")
+    day = event_day(F.col("czas"))
+    known = F.coalesce(q & day.isNotNull(), F.lit(False))
+    counted = F.col("tokeny_we").isNotNull() & F.col("tokeny_wy").isNotNull()
+    spent = q & ~hit
+    edges = reduce(lambda c, k: c.when(x < lists.LATENCY_EDGES[k], k), range(1, 4), F.when(x < lists.LATENCY_EDGES[0], 0)).when(x.isNotNull(), 4)
+    is_ = lambda v: q & (F.col("wynik") == v)
+    mail, rated = F.col("typ") == "wysylka", F.col("typ") == "ocena"
+    question = question_key(F.col("pytanie"))
+    cell = lambda part, when, key: F.when(F.coalesce(when, F.lit(False)), F.struct(F.lit(part).alias("part"), (F.lit(key) if isinstance(key, str) else key.cast("string")).alias("key")))
+    cells = F.array_compact(F.array(
+        cell("overview", q, "questions"), cell("overview", is_("odpowiedz"), "answers"), cell("overview", is_("odmowa"), "refusals"), cell("overview", is_("rozmowa"), "chats"), cell("overview", q & hit, "cached"),
+        cell("overview", mail, "mails"), cell("overview", mail & F.col("sukces"), "mails_sent"),
+        cell("latency", q, "all"), cell("latency", q & hit, "cached"), cell("latency", q & ~hit, "uncached"), cell("histogram", q & x.isNotNull(), edges),
+        cell("sections", is_("odpowiedz"), F.col("sekcja")), cell("sides", q, normalize_side(F.col("strona"))), cell("reasons", is_("odmowa"), F.coalesce("powod", F.lit("brak_danych"))), cell("languages", q, F.coalesce("lang", F.lit("nieznany"))),
+        cell("daily", known, day), cell("top", q & (question != ""), question), cell("ratings", rated & (F.col("ocena") == "gora"), "up"), cell("ratings", rated & (F.col("ocena") == "dol"), "down"),
+        cell("costs", spent, "requests"), cell("costs", spent & counted, "counted"), cell("costs", spent & counted & F.coalesce("tokeny_szacowane", F.lit(False)), "estimated"),
+        cell("range", F.lit(True), "events"), cell("range", known, "days"),
+    ))
+    rows = df.withColumn("day", day).select(order, "czas", "day", "wynik", "latencja_s", "koszt_usd", "tokeny_we", "tokeny_wy", strip(F.col("pytanie")).alias("text"), F.explode(cells).alias("cell"))
+    timed = F.when(F.col("cell.part").isin("latency", "daily"), x)
+    return rows.groupBy(F.col("cell.part").alias("part"), F.col("cell.key").alias("key")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("wynik") == "odmowa").alias("refusals"), F.percentile(timed, F.array(F.lit(0.5), F.lit(0.9), F.lit(0.95))).alias("p"), F.avg(timed).alias("mean"),
+        F.sum("koszt_usd").alias("cost"), F.sum("tokeny_we").alias("tokens_in"), F.sum("tokeny_wy").alias("tokens_out"), F.min("czas").alias("first"), F.max("czas").alias("last"),
+        F.min("day").alias("low"), F.max("day").alias("high"), F.min_by(F.when(F.col("cell.part") == "top", F.col("text")), order).alias("text"), F.min(order).alias("at"),
+    )
+
+
+def full_report(df: DataFrame, days: int | None = None, lang: str | None = None, side: str | None = None, now=None, top: int = 15, max_days: int = 400, store=stored) -> dict[str, DataFrame]:
+    """All parts of the report over the filtered events, as overview() to log_range() and distribution() give them; df is
+    read once, and the parts come from the stored cells of report_cells()."""
+    cells = store(report_cells(filter_log(df, days, lang, side, now)), "report")
+    of = lambda part: cells.filter(F.col("part") == part)
+    n = lambda key: F.coalesce(F.sum(F.when(F.col("key") == key, F.col("n"))), F.lit(0))
+    at = lambda key, c: F.max(F.when(F.col("key") == key, c))
+    sums = of("overview").agg(*[n(k).alias(k) for k in ("questions", "answers", "refusals", "chats", "cached", "mails", "mails_sent")])
+    distinct = of("top").agg(F.count(F.lit(1))).scalar()
+    share = F.coalesce(_share(F.col("cached"), F.col("questions")), F.lit(0.0))
+    parts = {"overview": sums.select("questions", "answers", "refusals", "chats", distinct.alias("distinct_questions"), "mails", "mails_sent", _share(F.col("answers"), F.col("answers") + F.col("refusals")).alias("accuracy"), share.alias("cache_share"))}
+    timed = lambda key, k, name: F.round(F.coalesce(at(key, F.col("p")[k]), F.lit(0.0)), 3).alias(name)
+    parts["latency"] = of("latency").agg(timed("all", 0, "median"), timed("all", 1, "p90"), timed("all", 2, "p95"), F.round(F.coalesce(at("all", F.col("mean")), F.lit(0.0)), 3).alias("mean"), timed("cached", 0, "median_cached"), timed("uncached", 0, "median_uncached"))
+    labels = df.sparkSession.createDataFrame(list(enumerate(lists.LATENCY_LABELS)), "bin int, label string")
+    parts["histogram"] = labels.join(of("histogram").select(F.col("key").cast("int").alias("bin"), "n"), "bin", "left").select("bin", "label", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    per_day = of("daily").select(F.col("key").cast("date").alias("day"), F.col("n").alias("questions"), "refusals", F.round(F.col("p")[0], 3).alias("median_latency"), F.round("cost", 6).alias("cost_usd"))
+    parts["daily"] = _calendar(per_day, max_days)
+    parts["top"] = of("top").orderBy(F.desc("n"), "at").limit(top).select(F.col("text").alias("question"), "n")
+    rated = of("ratings").agg(n("up").alias("up"), n("down").alias("down")).withColumn("total", F.col("up") + F.col("down"))
+    parts["ratings"] = rated.select("up", "down", "total", _share(F.col("up"), F.col("total")).alias("up_share"), _share(F.col("total"), of("overview").agg(n("answers")).scalar()).alias("coverage"))
+    spent = of("costs").agg(n("requests").alias("requests"), n("counted").alias("counted"), n("estimated").alias("estimated"), *[F.coalesce(at("counted", F.col(c)), F.lit(0)).alias(c) for c in ("tokens_in", "tokens_out", "cost")])
+    parts["costs"] = _costs(spent)
+    span = of("range").agg(at("events", F.col("first")).alias("first"), at("events", F.col("last")).alias("last"), at("days", F.col("low")).alias("a"), at("days", F.col("high")).alias("b"))
+    parts["range"] = _range(span, max_days)
+    for by in ("sections", "sides", "reasons", "languages"):
+        parts[by] = of(by).filter("key is not null").select("key", "n", F.round(F.col("n") / of(by).agg(F.sum("n")).scalar(), 4).alias("share"))
+    return parts
 
 
 def outcome(df: DataFrame) -> DataFrame:

@@ -180,6 +180,22 @@ query(
 )(lambda df: limits.rate_counts(df.select("seq", (F.col("user_id") % 20).alias("ip"), "ts"), "ip", 1, 20).select("seq", "ip", "in_minute", "in_day", "over_minute", "over_day"))
 
 
+query(
+    "a13_report",
+    """, c AS (
+         SELECT 'overview' AS part, unnest(list_filter(['questions', CASE wynik WHEN 'odpowiedz' THEN 'answers' WHEN 'odmowa' THEN 'refusals' WHEN 'rozmowa' THEN 'chats' END, CASE WHEN cache_hit THEN 'cached' END], lambda x: x IS NOT NULL)) AS key FROM q
+         UNION ALL SELECT 'overview', unnest(CASE WHEN sukces THEN ['mails', 'mails_sent'] ELSE ['mails'] END) FROM log WHERE typ = 'wysylka'
+         UNION ALL SELECT 'latency', unnest(['all', CASE WHEN coalesce(cache_hit, false) THEN 'cached' ELSE 'uncached' END]) FROM q
+         UNION ALL SELECT 'histogram', (CASE WHEN latencja_s < 2 THEN 0 WHEN latencja_s < 5 THEN 1 WHEN latencja_s < 10 THEN 2 WHEN latencja_s < 20 THEN 3 ELSE 4 END)::VARCHAR FROM q WHERE latencja_s IS NOT NULL
+         UNION ALL SELECT 'sections', sekcja FROM q WHERE wynik = 'odpowiedz' UNION ALL SELECT 'sides', CASE WHEN strona IN ('kupujacy', 'sprzedajacy') THEN strona ELSE 'nieznana' END FROM q
+         UNION ALL SELECT 'reasons', coalesce(powod, 'brak_danych') FROM q WHERE wynik = 'odmowa' UNION ALL SELECT 'languages', coalesce(lang, 'nieznany') FROM q
+         UNION ALL SELECT 'daily', czas[:10] FROM q UNION ALL SELECT 'top', lower(trim(pytanie)) FROM q WHERE trim(pytanie) <> '' UNION ALL SELECT 'ratings', CASE ocena WHEN 'gora' THEN 'up' ELSE 'down' END FROM log WHERE typ = 'ocena'
+         UNION ALL SELECT 'costs', unnest(CASE WHEN tokeny_we IS NULL OR tokeny_wy IS NULL THEN ['requests'] WHEN tokeny_szacowane THEN ['requests', 'counted', 'estimated'] ELSE ['requests', 'counted'] END) FROM q WHERE NOT coalesce(cache_hit, false)
+         UNION ALL SELECT 'range', 'events' FROM log UNION ALL SELECT 'range', 'days' FROM q)
+       SELECT part, key, count(*) AS n FROM c GROUP BY 1, 2""",
+)(lambda df: logs.report_cells(df).select("part", "key", "n"))
+
+
 def mails(df: DataFrame) -> DataFrame:
     kind = F.when(F.col("k") % 5 == 0, "failed").when(F.col("k") % 7 == 0, "partial").when(F.col("k") % 11 == 0, "limit").otherwise("ok")
     rows = df.filter("typ = 'wysylka'")

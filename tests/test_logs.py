@@ -136,3 +136,26 @@ def test_full_report(spark):
     assert set(report) == {"overview", "latency", "histogram", "daily", "top", "ratings", "costs", "range", "sections", "sides", "reasons", "languages"}
     assert report["overview"].collect() == logs.overview(logs.filter_log(log, None, None, None, None)).collect()
     assert sum(r.n for r in report["sides"].collect()) == logs.questions(log).count()
+
+
+def test_report_in_one_pass_equals_its_parts(spark):
+    log = views.log(spark, "/root/testdata/sf0.001")
+    seen = []
+
+    def store(df, name):
+        seen.append(df._jdf.queryExecution().optimizedPlan().toString().count("Relation"))
+        from qacorpus.sources.scratch import stored
+
+        return stored(df, name)
+
+    for rows in (log, log.filter("false"), log.filter("typ is null and wynik = 'rozmowa'")):
+        report = logs.full_report(rows, store=store)
+        parts = {
+            "overview": logs.overview(rows), "latency": logs.latency_stats(rows), "histogram": logs.latency_histogram(rows), "daily": logs.daily_series(rows), "top": logs.top_questions(rows), "ratings": logs.rating_stats(rows),
+            "costs": logs.cost_stats(rows), "range": logs.log_range(rows), **{by: logs.distribution(rows, by) for by in ("sections", "sides", "reasons", "languages")},
+        }
+        for name, want in parts.items():
+            assert report[name].columns == want.columns, name
+            listed = [[tuple(r) for r in x.collect()] for x in (report[name], want)]
+            assert sorted(listed[0], key=repr) == sorted(listed[1], key=repr), name
+    assert set(seen) <= {0, 1}  # the log is read once
