@@ -443,7 +443,7 @@ def counted(texts: list[bytes], languages: list[bytes], skip: int = 0) -> Automa
 KEY = "k0 binary, k1 binary, k2 binary, k3 binary"
 
 
-def shards(docs: DataFrame, volume: int = 4 << 20, together: int = 2, block: int = 100_000) -> DataFrame:
+def shards(docs: DataFrame, volume: int = 2 << 20, together: int = 3, block: int = 100_000) -> DataFrame:
     """Automata of phrases over docs (doc_id, text, lang) in blocks of about `block` paths: the first path's symbols, the
     number of paths, and the automaton.
 
@@ -505,7 +505,7 @@ def _splitters(blocks: DataFrame, paths: int) -> list[tuple[bytes, ...]]:
     return found[1:]
 
 
-def ranges(docs: DataFrame, least: int = 10, paths: int = 2_000_000) -> tuple[DataFrame, list[tuple[bytes, ...]]]:
+def ranges(docs: DataFrame, least: int = 10, paths: int = 1_200_000) -> tuple[DataFrame, list[tuple[bytes, ...]]]:
     """(range, data): for each range of prefixes the automaton of all paths that occur at least `least` times in docs,
     stored; and the keys between ranges. A range has about `paths` paths of shards, however often one prefix occurs, for
     ranges are cut at any path, not only between first words."""
@@ -548,7 +548,7 @@ def _requests(a: Automaton) -> Automaton:
     return Automaton.of_steps(a.languages, a.words, [lang[rows], first[rows], second[rows]], weight[rows]).trimmed()
 
 
-def collocations(docs: DataFrame, least: int = 10, share: int = 50, top: int = 2000, paths: int = 2_000_000) -> DataFrame:
+def collocations(docs: DataFrame, least: int = 10, share: int = 50, top: int = 2000, paths: int = 1_200_000) -> DataFrame:
     """Each language's first `top` phrases of two or three words by score: lang, rank (from 1), phrase, a, l, r, n, score.
 
     A-Z are lower-cased; texts are split at `.,;:!?` and line ends into pieces, these at blanks and tabs into words. A
