@@ -359,7 +359,8 @@ def feature_of(pages_read: list[Page]) -> str:
 def stored_features(files: DataFrame) -> DataFrame:
     """Digests and a feature of each file of store_texts(), from the bytes that read_pages() gives back.
 
-    Repeated rows give a row each, an empty table gives none.
+    Repeated rows give a row each, an empty table gives none. A null or broken file, or one with pages of other widths or
+    samples than store_texts() writes, has nulls for what its payload would give; a null file has no digest either.
     """
 
     def of(batches):
@@ -367,8 +368,12 @@ def stored_features(files: DataFrame) -> DataFrame:
             rows = []
             for media in batch.column("media").to_pylist():
                 found = read_pages(media)
+                stored_as = (None, None) if media is None else (len(media), hashlib.sha256(media).hexdigest())
+                if not found or any(p.error is not None or p.width != ROW or p.samples != 1 or p.bits != 8 for p in found):
+                    rows.append((None, None, None, *stored_as, None))
+                    continue
                 payload = b"".join(p.pixels for p in found)
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature_of(found)))
+                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), *stored_as, feature_of(found)))
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("n_bytes"), *(pa.array(x, k) for x, k in zip(zip(*rows), kinds))],

@@ -37,22 +37,40 @@ class TokenTree:
     An edit goes down the tree to the pre-tokens it touches. A match of the pattern looks at most two characters past
     its end, so matching begins again two pre-tokens before the one in front of the edit, and ends at the first old
     boundary behind the edit that is one again: from there on every match is as it was. Only these pre-tokens are
-    counted anew and only the sums over their leaves change.
+    counted anew and only the sums over their leaves change. A leaf of over four times `leaf` pre-tokens is split, and the
+    sums above all leaves are made anew from theirs, so that the tree grows with its text and leaves stay small.
     """
 
     def __init__(self, text: str, count: Counter, leaf: int = 64):
         self.count = count
         pieces = _pieces.findall(text)
         counts = count(pieces)
+        self.leaf = leaf
         self.pieces = [pieces[k : k + leaf] for k in range(0, len(pieces), leaf)] or [[]]
         self.counts = [counts[k : k + leaf] for k in range(0, len(counts), leaf)] or [[]]
-        self.first = 1 << (len(self.pieces) - 1).bit_length()
-        self.chars, self.ids = [0] * (2 * self.first), [0] * (2 * self.first)
-        for k, (p, c) in enumerate(zip(self.pieces, self.counts)):
-            self.chars[self.first + k], self.ids[self.first + k] = sum(map(len, p)), sum(c)
+        self._sum([sum(map(len, p)) for p in self.pieces], [sum(c) for c in self.counts])
+        self.counted = 0
+
+    def _sum(self, chars: list[int], ids: list[int]) -> None:
+        """The tree over these sums of the leaves."""
+        self.first = 1 << (len(chars) - 1).bit_length()
+        none = [0] * (self.first - len(chars))
+        self.chars, self.ids = [0] * self.first + chars + none, [0] * self.first + ids + none
         for k in range(self.first - 1, 0, -1):
             self.chars[k], self.ids[k] = self.chars[2 * k] + self.chars[2 * k + 1], self.ids[2 * k] + self.ids[2 * k + 1]
-        self.counted = 0
+
+    def _split(self, leaf: int) -> None:
+        """Cuts a leaf into leaves of the usual size; leaves that have become empty go."""
+        p, c = self.pieces[leaf], self.counts[leaf]
+        new = [(p[k : k + self.leaf], c[k : k + self.leaf]) for k in range(0, len(p), self.leaf)]
+        kept = [k for k in range(len(self.pieces)) if self.pieces[k] and k != leaf]
+        at = sum(k < leaf for k in kept)
+        chars, ids = [self.chars[self.first + k] for k in kept], [self.ids[self.first + k] for k in kept]
+        pieces, counts = [self.pieces[k] for k in kept], [self.counts[k] for k in kept]
+        pieces[at:at], counts[at:at] = [x for x, _ in new], [x for _, x in new]
+        chars[at:at], ids[at:at] = [sum(map(len, x)) for x, _ in new], [sum(x) for _, x in new]
+        self.pieces, self.counts = pieces, counts
+        self._sum(chars, ids)
 
     @property
     def total(self) -> int:
@@ -154,6 +172,8 @@ class TokenTree:
             while node:
                 self.chars[node], self.ids[node] = self.chars[2 * node] + self.chars[2 * node + 1], self.ids[2 * node] + self.ids[2 * node + 1]
                 node //= 2
+        if len(self.pieces[leaf]) > 4 * self.leaf:
+            self._split(leaf)
 
     def text(self) -> str:
         return "".join(p for leaf in self.pieces for p in leaf)

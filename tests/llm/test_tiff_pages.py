@@ -84,3 +84,12 @@ def test_query_and_pages(spark):
     broken = spark.createDataFrame([(1, None), (2, b"abc")], "k int, m binary")
     assert [bool(r.error) for r in T.pages(broken, "k", "m").collect()] == [True, True]
     assert T.stored_features(T.store_texts(df.filter("false"))).count() == 0
+
+
+def test_features_of_broken_files(spark):
+    good = T.write_tiff(T.payload_of(b"a text"), T.ROW, T.DEFLATE, 1, False)
+    files = spark.createDataFrame([(1, 6, bytearray(good)), (2, 6, None), (3, 6, bytearray(b"no tiff")), (4, 6, bytearray(good[:40])), (5, 6, bytearray())], "doc_id long, n_bytes long, media binary")
+    rows = {r.doc_id: r for r in T.stored_features(files).collect()}
+    assert rows[1].payload_bytes == 192 and rows[1].feature.startswith("1:")
+    assert all(rows[k].payload_bytes is None and rows[k].feature is None for k in (2, 3, 4, 5))
+    assert rows[2].media_bytes is None and rows[3].media_bytes == 7 and rows[5].media_bytes == 0

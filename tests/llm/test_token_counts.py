@@ -63,3 +63,33 @@ def test_query_against_brute_force(spark, bpe, tmp_path):
         t = t or ""
         k = len(t) // 3
         assert got[i] == (_n(bpe, t), _n(bpe, f"Source: {s or ''}\n" + t[:k] + "[...]" + t[k + 40 :] + "\n" + (x or "")))
+
+
+def test_the_tree_grows_with_its_text(bpe):
+    """Appends and inserts split leaves: none stays over four times the usual size, and edits stay fast."""
+    import time
+
+    count = C.Counter(bpe)
+    tree, text = C.TokenTree("", count, 16), ""
+    began = time.time()
+    for k in range(3000):
+        put = f" word{k % 50}, and more\n"
+        tree.edit(len(text), 0, put)
+        text += put
+    assert time.time() - began < 5 and len(tree.pieces) > 100 and max(map(len, tree.pieces)) <= 64
+    assert tree.text() == text and tree.total == _n(bpe, text)
+    tree.edit(500, 30, "inserted words " * 20_000)
+    text = text[:500] + "inserted words " * 20_000 + text[530:]
+    assert max(map(len, tree.pieces)) <= 64
+    before = tree.counted
+    began = time.time()
+    rnd = random.Random(3)
+    for _ in range(20):
+        at = rnd.randrange(len(text))
+        tree.edit(at, 3, " xy")
+        text = text[:at] + " xy" + text[at + 3 :]
+    assert time.time() - began < 1 and tree.counted - before < 20 * 60
+    tree.edit(100, len(text) - 200, "")  # almost all leaves become empty
+    text = text[:100] + text[-100:]
+    assert tree.text() == text and tree.total == _n(bpe, text)
+    assert [p for leaf in tree.pieces for p in leaf] == C._pieces.findall(text)
