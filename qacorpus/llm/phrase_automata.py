@@ -443,7 +443,7 @@ def counted(texts: list[bytes], languages: list[bytes], skip: int = 0) -> Automa
 KEY = "k0 binary, k1 binary, k2 binary, k3 binary"
 
 
-def shards(docs: DataFrame, volume: int = 2 << 20, together: int = 3, block: int = 100_000) -> DataFrame:
+def shards(docs: DataFrame, volume: int = 2 << 20, together: int = 3, block: int = 25_000) -> DataFrame:
     """Automata of phrases over docs (doc_id, text, lang) in blocks of about `block` paths: the first path's symbols, the
     number of paths, and the automaton.
 
