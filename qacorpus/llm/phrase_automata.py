@@ -52,7 +52,10 @@ class Automaton:
 
     @classmethod
     def union(cls, parts: list[Automaton]) -> Automaton:
-        """All paths of the parts, with their weights summed."""
+        """All paths of the parts, with their weights summed; of no parts, none."""
+        if not parts:
+            none, start = np.zeros(0, np.int64), np.zeros(1, np.int64)
+            return cls([], pa.array([], pa.large_binary()), [none.astype(np.int32)] * LEVELS, [none] * LEVELS, [np.zeros(2, np.int64), *[start] * (LEVELS - 1)])
         parts = [p for p in parts if p.size] or parts[:1]
         if len(parts) == 1:
             return parts[0]

@@ -117,5 +117,13 @@ def test_hot_prefix_is_cut(spark):
     assert max(sizes.values()) < 4 * sorted(sizes.values())[len(sizes) // 2]
 
 
+def test_ranges_without_frequent_paths(spark):
+    assert P.Automaton.union([]).size == 0 and P.Automaton.unpack(P.Automaton.union([]).pack()).size == 0
+    rows = [(" ".join(f"{c}{k}x{j}" for j in range(30)), "en") for k, c in enumerate("bcdfghjklm")] + [("zz yy", "en")] * 12
+    docs = spark.createDataFrame([(k, t, lang) for k, (t, lang) in enumerate(rows)], "doc_id long, text string, lang string").repartition(5)
+    found = sorted(tuple(r) for r in P.collocations(docs, paths=20).select("lang", "rank", "phrase", "a", "l", "r", "n", "score").collect())
+    assert found == sorted(best(rows)) and len(found) == 1
+
+
 def test_empty_table(spark):
     assert P.collocations(spark.createDataFrame([], "doc_id long, text string, lang string")).collect() == []
