@@ -13,6 +13,7 @@ from ..operators import bm25 as B
 from ..operators import chunks as C
 from ..operators import forum as M
 from ..operators import gates as G
+from ..operators import growing as I
 from ..operators import lexstats as L
 from ..operators import pages as P
 from ..operators import questions as Q
@@ -21,7 +22,7 @@ from ..operators import search as S
 from ..sources import io
 from ..streaming import streams as W
 from . import log_queries, views
-from .scratch import stored
+from .scratch import scratch, stored
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -152,6 +153,23 @@ def _index(spark: SparkSession, sf_dir: str) -> B.Bm25Index:
     return _once(spark, sf_dir, "index", lambda: B.build_index(C.partition_by_side(whole_chunks(spark, sf_dir)), F.col("side"), stored))
 
 
+def _grown(spark: SparkSession, sf_dir: str) -> I.GrowingIndex:
+    """The same index grown by two changes: first without the texts of a section and with a second copy of another's
+    articles, then those texts are put in and the copies taken out."""
+
+    def made() -> I.GrowingIndex:
+        now = C.partition_by_side(whole_chunks(spark, sf_dir))
+        copies = now.filter("section = 'platnosci'").withColumn("chunk_id", -1 - F.col("chunk_id"))
+        before = now.withColumn("text", F.when(F.col("section") != "konto", F.col("text"))).unionByName(copies)
+        index = I.grow(I.open_index(spark, scratch(spark)), before, sides=F.col("side"))
+        return I.grow(index, now.filter("section = 'konto'"), copies.select("chunk_id"), F.col("side"))
+
+    return _once(spark, sf_dir, "grown", made)
+
+
+query("l03_grown_terms", _BM + " SELECT side, token, df, round(idf, 9) AS idf FROM terms")(lambda spark, sf_dir: I.tables(_grown(spark, sf_dir))[2].withColumn("idf", F.round("idf", 9)))
+
+
 _kept: dict[tuple[str, str, str], object] = {}
 
 
@@ -302,6 +320,7 @@ def _bm25(spark: SparkSession, sf_dir: str, depth: int = 20) -> DataFrame:
 
 
 query("r01_bm25", _RANK + " SELECT query_id, chunk_id, round(score, 3) AS score, pos FROM r WHERE pos < 20")(lambda spark, sf_dir: _bm25(spark, sf_dir).select("query_id", "chunk_id", F.round("score", 3).alias("score"), F.col("pos").cast("int").alias("pos")))
+query("r01_grown", _RANK + " SELECT query_id, chunk_id, round(score, 3) AS score, pos FROM r WHERE pos < 20")(lambda spark, sf_dir: I.rank(_benchmark(spark, sf_dir), _grown(spark, sf_dir), 20).select("query_id", "chunk_id", F.round("score", 3).alias("score"), F.col("pos").cast("int").alias("pos")))
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
