@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import content_sha
 from .bm25 import Bm25Index, Store, asked_tokens, top_chunks
+from .nearest import block_scores
 
 
 def _place(by: list, order: list) -> Column:
@@ -53,26 +54,7 @@ def vector_rank(queries: DataFrame, vectors: DataFrame, depth: int | None = None
     left = queries.filter("vector is not null").select(deal("query_id", high).alias("q"), every(wide).alias("c"), F.lit(True).alias("asks"), F.col("query_id").cast("long").alias("id"), label.alias("label"), doubles)
     right = vectors.filter("vector is not null and chunk_id >= 0").select(every(high).alias("q"), deal("chunk_id", wide).alias("c"), F.lit(False).alias("asks"), F.col("chunk_id").cast("long").alias("id"), label.alias("label"), doubles)
 
-    def of(table: pa.Table) -> pa.Table:
-        asks = table.column("asks").to_numpy()
-        ids, labels = table.column("id").to_numpy(), np.array([x or "" for x in table.column("label").to_pylist()])
-        x = np.array(table.column("v").to_pylist(), float).reshape(len(ids), -1)
-        score = np.round(x[asks] @ x[~asks].T, 9)
-        wrong = np.zeros(score.shape, bool)
-        if group is not None:
-            wrong |= labels[asks][:, None] == labels[~asks][None, :]
-        elif same is not None:
-            wrong |= labels[asks][:, None] != labels[~asks][None, :]
-        if not own:
-            wrong |= ids[asks][:, None] == ids[~asks][None, :]
-        out = []
-        for i, q in enumerate(ids[asks].tolist()):
-            order = np.lexsort((ids[~asks], -score[i]))
-            order = order[~wrong[i][order]][:depth]
-            out.append((np.full(len(order), q), ids[~asks][order], score[i][order]))
-        q, c, s = (np.concatenate([o[k] for o in out]) if out else np.zeros(0) for k in range(3))
-        return pa.table({"query_id": pa.array(q.astype(np.int64)), "chunk_id": pa.array(c.astype(np.int64)), "score": pa.array(s.astype(float))})
-
+    of = block_scores(depth, group is not None, group is None and same is not None, own)
     found = left.union(right).groupBy("q", "c").applyInArrow(of, "query_id long, chunk_id long, score double")
     ranked = found.withColumn("pos", _place(["query_id"], [F.desc("score"), "chunk_id"]))
     return ranked if depth is None else ranked.filter(F.col("pos") < depth)

@@ -15,6 +15,7 @@ from ..operators import forum as M
 from ..operators import gates as G
 from ..operators import growing as I
 from ..operators import lexstats as L
+from ..operators import nearest as N
 from ..operators import pages as P
 from ..operators import questions as Q
 from ..operators import retrieval as R
@@ -335,11 +336,18 @@ def _candidates(spark: SparkSession, sf_dir: str, k_raw: int) -> DataFrame:
     return R.fused_top(_asked(spark, sf_dir), _index(spark, sf_dir), _vectors(spark, sf_dir), k_raw, stored)
 
 
-query(
-    "r02_vectors",
-    r""", p AS (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)), 9) AS score FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0)
-    SELECT query_id, chunk_id, round(score, 6) AS score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) - 1)::INT AS pos FROM p QUALIFY pos < 10""",
-)(lambda spark, sf_dir: (lambda e: R.vector_rank(e.filter("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), "vector"), e, 10).withColumn("score", F.round("score", 6)))(read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))))
+_NEAREST = r""", p AS (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)), 9) AS score FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0)
+    SELECT query_id, chunk_id, round(score, 6) AS score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) - 1)::INT AS pos FROM p QUALIFY pos < 10"""
+
+
+def _near(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Every fiftieth vector as a question, and all vectors."""
+    every = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
+    return every.filter("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), "vector"), every
+
+
+query("r02_vectors", _NEAREST)(lambda spark, sf_dir: R.vector_rank(*_near(spark, sf_dir), 10).withColumn("score", F.round("score", 6)))
+query("r02_pruned", _NEAREST)(lambda spark, sf_dir: N.vector_top(*_near(spark, sf_dir), 10, stored).withColumn("score", F.round("score", 6)))
 query(
     "r03_fused",
     _RANK + """, two AS (SELECT query_id, chunk_id, pos FROM r WHERE pos < 20 UNION ALL SELECT query_id, doc_id, (row_number() OVER (PARTITION BY query_id ORDER BY length(body) DESC, doc_id) - 1)::INT AS pos FROM r JOIN articles ON doc_id = chunk_id WHERE pos < 20 AND chunk_id % 3 > 0),
