@@ -57,9 +57,9 @@ def inventory(questions: DataFrame, lang: str | None = None, table: DataFrame |
     return {c: count(c) for c in ("zrodlo", "board", "strona", "year", "fold")} | {"complete": forum.withColumn("ok", (F.col("board") >= 0.99) & (F.col("url") >= 0.99)), "lengths": lengths}
 
 
-def train_weights(df: DataFrame, alpha0: float = 500.0, df_min: int = 20, per_class: int = 200, text: str = "text", label: str = "class", lang: str | None = None, table: DataFrame | None = None, store: Store = same_frame) -> DataFrame:
-    """(class, lemma, z): for each class the per_class lemmas with the largest log-odds scores against all other classes,
-    the first by name of equal ones.
+def train_weights(df: DataFrame, alpha0: float = 500.0, df_min: int = 20, per_class: int | None = 200, text: str = "text", label: str = "class", lang: str | None = None, table: DataFrame | None = None, store: Store = same_frame) -> DataFrame:
+    """(class, lemma, z): for each class the per_class lemmas (None: all, without a ranking) with the largest log-odds
+    scores against all other classes, the first by name of equal ones.
 
     Counts are of questions (query_id, ...) that have the lemma; store(df, name) writes them once, so that texts are split
     once. The prior of a lemma is alpha0 times its share of all questions that have it; classes are few, so the grid of
@@ -78,14 +78,16 @@ def train_weights(df: DataFrame, alpha0: float = 500.0, df_min: int = 20, per_cl
     odds = lambda y, n: F.log((y + a) / F.greatest(n + alpha0 - y - a, F.lit(1e-9)))
     z = (odds(y, n) - odds(rest, m)) / F.sqrt(1 / (y + a) + 1 / (rest + a))
     scored = grid.select(F.col("c.class").alias("class"), "lemma", z.alias("raw"))
+    if per_class is None:
+        return scored.select("class", "lemma", F.round("raw", 4).alias("z"))
     best = Window.partitionBy("class").orderBy(F.desc(F.round(F.abs("raw"), 9)), "lemma")
     return scored.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= per_class).select("class", "lemma", F.round("raw", 4).alias("z"))
 
 
 def classify(df: DataFrame, weights: DataFrame, key: str = "query_id", text: str = "text", lang: str | None = None, table: DataFrame | None = None, store: Store = same_frame) -> DataFrame:
     """key, class, score and margin: the class whose weights of the question's lemmas sum highest, the greater name of
-    equals, and how far it is above the next. Weights are at most so many per class; stored (store), they are made once
-    and as small as they are meet the lemmas without a shuffle."""
+    equals, and how far it is above the next. Weights that are stored (store) are made once; where they are small they
+    meet the lemmas without a shuffle, else by one."""
     weights = store(weights, "weights")
     classes = weights.agg(F.array_sort(F.collect_set("class"))).first()[0]
     words = lemma_sets(df, [key], text, lang, table)

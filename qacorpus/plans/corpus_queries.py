@@ -538,35 +538,40 @@ def _bank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.articles(spark, sf_dir).select(F.col("doc_id").alias("query_id"), F.col("lang").alias("class"), F.element_at(F.split("url", "/"), 4).alias("board"), F.col("body").alias("text"), M.assign_fold(F.col("title")).alias("fold"), F.when(F.col("section") == "sprzedaz", "sprzedajacy").otherwise("kupujacy").alias("side"))
 
 
-_WEIGHTS = (
+_COUNTED = (
     _FOLDED
     + f""", e AS (SELECT class, unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '{WORDS}'), lambda x: length(x) >= 4))) AS lemma FROM f WHERE fold = 'uczenie' AND class IS NOT NULL), y AS (SELECT lemma, class, count(*) AS y FROM e GROUP BY 1, 2),
   d AS (SELECT lemma, sum(y) AS df FROM y GROUP BY 1 HAVING sum(y) >= 20), n2 AS (SELECT class, sum(y) AS n FROM y JOIN d USING (lemma) GROUP BY 1), w AS (SELECT sum(n) AS whole FROM n2),
   g AS (SELECT d.lemma, n2.class, coalesce(y.y, 0)::DOUBLE AS y, (df - coalesce(y.y, 0))::DOUBLE AS r, n2.n::DOUBLE AS n, (whole - n2.n)::DOUBLE AS m, 500.0 * df / whole AS a FROM d CROSS JOIN n2 CROSS JOIN w LEFT JOIN y ON y.lemma = d.lemma AND y.class = n2.class),
-  raw_z AS (SELECT class, lemma, (ln((y + a) / greatest(n + 500 - y - a, 1e-9)) - ln((r + a) / greatest(m + 500 - r - a, 1e-9))) / sqrt(1 / (y + a) + 1 / (r + a)) AS z FROM g),
+  """
+)
+_Z = "(ln((y + a) / greatest(n + 500 - y - a, 1e-9)) - ln((r + a) / greatest(m + 500 - r - a, 1e-9))) / sqrt(1 / (y + a) + 1 / (r + a))"
+#: The weights of all lemmas, and those of each class's 200 best, with which the thresholds are set.
+_WEIGHTS = _COUNTED + f"weights AS (SELECT class, lemma, round({_Z}, 4) AS z FROM g)"
+_BEST = (
+    _COUNTED
+    + f"""raw_z AS (SELECT class, lemma, {_Z} AS z FROM g),
   weights AS (SELECT class, lemma, round(z, 4) AS z FROM raw_z QUALIFY row_number() OVER (PARTITION BY class ORDER BY round(abs(z), 9) DESC, lemma) <= 200)"""
 )
 query("m04_weights", _WEIGHTS + " SELECT class, lemma, z FROM weights")(lambda spark, sf_dir: _weights(spark, sf_dir))
 
 
-def _weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.train_weights(_bank(spark, sf_dir).filter("fold = 'uczenie'"), store=stored)
+def _weights(spark: SparkSession, sf_dir: str, per_class: int | None = None) -> DataFrame:
+    return M.train_weights(_bank(spark, sf_dir).filter("fold = 'uczenie'"), per_class=per_class, store=stored)
 
 
-_SCORED = (
-    _WEIGHTS
-    + f""", l AS (SELECT query_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '{WORDS}'), lambda x: length(x) >= 4))) AS lemma FROM f), s AS (SELECT query_id, class, sum(z) AS score FROM l JOIN weights USING (lemma) GROUP BY 1, 2),
+_POINTS = f""", l AS (SELECT query_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '{WORDS}'), lambda x: length(x) >= 4))) AS lemma FROM f), s AS (SELECT query_id, class, sum(z) AS score FROM l JOIN weights USING (lemma) GROUP BY 1, 2),
   a AS (SELECT f.query_id, f.class AS truth, f.fold, n2.class, round(coalesce(s.score, 0), 9) AS score FROM f CROSS JOIN n2 LEFT JOIN s ON s.query_id = f.query_id AND s.class = n2.class),
   points AS (SELECT query_id, truth, fold, class, score, round(score - coalesce(lead(score) OVER o, 0), 9) AS margin FROM a WINDOW o AS (PARTITION BY query_id ORDER BY score DESC, class DESC) QUALIFY row_number() OVER o = 1)"""
-)
+_SCORED = _BEST + _POINTS
 query("m05_classified", _SCORED + " SELECT query_id, class, round(score, 4) AS score, round(margin, 4) AS margin FROM points")(
-    lambda spark, sf_dir: M.classify(_bank(spark, sf_dir), _weights(spark, sf_dir), store=stored).select("query_id", "class", F.round("score", 4).alias("score"), F.round("margin", 4).alias("margin"))
+    lambda spark, sf_dir: M.classify(_bank(spark, sf_dir), _weights(spark, sf_dir, 200), store=stored).select("query_id", "class", F.round("score", 4).alias("score"), F.round("margin", 4).alias("margin"))
 )
 
 
 def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
     bank = _bank(spark, sf_dir)
-    scored = M.classify(bank, stored(_weights(spark, sf_dir), "weights")).withColumnRenamed("class", "predicted")
+    scored = M.classify(bank, stored(_weights(spark, sf_dir, 200), "weights")).withColumnRenamed("class", "predicted")
     return stored(scored.join(bank.select("query_id", "class", "fold", "board", "side"), "query_id").withColumn("right", F.coalesce(F.col("class") == F.col("predicted"), F.lit(False))), "points")
 
 
@@ -617,7 +622,7 @@ def _with_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.confidence(rows, points.filter("fold = 'kalibracja'"))
 
 
-query("m16_top_lemmas", _WEIGHTS + " SELECT class, lemma, z FROM weights WHERE z > 0 QUALIFY row_number() OVER (PARTITION BY class ORDER BY z DESC, lemma) <= 40")(lambda spark, sf_dir: M.top_lemmas(_weights(spark, sf_dir)).drop("place"))
+query("m16_top_lemmas", _BEST + " SELECT class, lemma, z FROM weights WHERE z > 0 QUALIFY row_number() OVER (PARTITION BY class ORDER BY z DESC, lemma) <= 40")(lambda spark, sf_dir: M.top_lemmas(_weights(spark, sf_dir, 200)).drop("place"))
 query("m17_sample")(lambda spark, sf_dir: M.stratified_sample(_bank(spark, sf_dir)).select("query_id", "class", "turn"))
 query("m18_agreement", " SELECT 'quality' AS field, count(*) FILTER (quality = 1) AS yes, count(*) AS filled, 0 AS unfilled, round(count(*) FILTER (quality = 1) / count(*), 4) AS share, count(*) FILTER (quality = 1) / count(*) >= 0.3 AS ok FROM labels")(
     lambda spark, sf_dir: M.label_agreement(read(spark, sf_dir, "labels").select(F.lit("quality").alias("field"), F.when(F.col("quality") == 1, " T").otherwise("n").alias("answer")))
