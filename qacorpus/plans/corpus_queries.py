@@ -564,8 +564,8 @@ _POINTS = f""", l AS (SELECT query_id, unnest(list_distinct(list_filter(regexp_e
   a AS (SELECT f.query_id, f.class AS truth, f.fold, n2.class, round(coalesce(s.score, 0), 9) AS score FROM f CROSS JOIN n2 LEFT JOIN s ON s.query_id = f.query_id AND s.class = n2.class),
   points AS (SELECT query_id, truth, fold, class, score, round(score - coalesce(lead(score) OVER o, 0), 9) AS margin FROM a WINDOW o AS (PARTITION BY query_id ORDER BY score DESC, class DESC) QUALIFY row_number() OVER o = 1)"""
 _SCORED = _BEST + _POINTS
-query("m05_classified", _SCORED + " SELECT query_id, class, round(score, 4) AS score, round(margin, 4) AS margin FROM points")(
-    lambda spark, sf_dir: M.classify(_bank(spark, sf_dir), _weights(spark, sf_dir, 200), store=stored).select("query_id", "class", F.round("score", 4).alias("score"), F.round("margin", 4).alias("margin"))
+query("m05_classified", _WEIGHTS + _POINTS + " SELECT query_id, class, round(score, 4) AS score, round(margin, 4) AS margin FROM points")(
+    lambda spark, sf_dir: M.classify(_bank(spark, sf_dir), _weights(spark, sf_dir), store=stored).select("query_id", "class", F.round("score", 4).alias("score"), F.round("margin", 4).alias("margin"))
 )
 
 

@@ -21,3 +21,10 @@ def test_weights_of_all_lemmas(spark, sf_dir):
     got = {(r["class"], r.lemma): r.z for r in corpus_queries.QUERIES["m04_weights"](spark, sf_dir).collect()}
     assert set(got) == {(c, w) for c in ("de", "en") for w in STRONG + WEAK}
     assert all(got["en", w] > 0 > got["de", w] for w in WEAK) and all(got["de", w] > 0 > got["en", w] for w in STRONG)
+
+
+def test_points_of_all_lemmas(spark, sf_dir):
+    z = {(r["class"], r.lemma): r.z for r in corpus_queries.QUERIES["m04_weights"](spark, sf_dir).collect()}
+    got = {r.query_id: (r["class"], r.score) for r in corpus_queries.QUERIES["m05_classified"](spark, sf_dir).collect()}
+    assert len(got) == 160 and got[0] == ("de", round(sum(z["de", w] for w in STRONG), 4))
+    assert got[3] == ("en", round(sum(z["en", w] for w in WEAK), 4)) and got[3][1] > 0
