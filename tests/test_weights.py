@@ -28,3 +28,9 @@ def test_points_of_all_lemmas(spark, sf_dir):
     got = {r.query_id: (r["class"], r.score) for r in corpus_queries.QUERIES["m05_classified"](spark, sf_dir).collect()}
     assert len(got) == 160 and got[0] == ("de", round(sum(z["de", w] for w in STRONG), 4))
     assert got[3] == ("en", round(sum(z["en", w] for w in WEAK), 4)) and got[3][1] > 0
+
+
+def test_top_lemmas_of_all(spark, sf_dir):
+    got = corpus_queries.QUERIES["m16_top_lemmas"](spark, sf_dir).collect()
+    assert sorted(r.lemma for r in got if r["class"] == "en") == WEAK[:40]  # 250 others weigh more, against it
+    assert sum(r["class"] == "de" for r in got) == 40
