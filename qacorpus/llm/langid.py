@@ -5,7 +5,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
@@ -47,8 +46,8 @@ class Features:
             rolled = rolled[: max(len(flat) - k + 1, 0)] * _FACTOR + flat[k - 1 :] + np.uint64(k)
             inside = word[: len(rolled)] == word[k - 1 :]
             mixed = (rolled ^ (rolled >> np.uint64(29))) * _FACTOR
-            ids.append((mixed[inside] >> np.uint64(40)).astype(np.int64) % PLACES)
-            of.append(word[: len(rolled)][inside])
+            ids.append(((mixed[inside] >> np.uint64(40)) % np.uint64(PLACES)).astype(np.int32))
+            of.append(word[: len(rolled)][inside].astype(np.int32))
         self.ids, self.word = np.concatenate(ids), np.concatenate(of)
         self.words = words
 
@@ -158,12 +157,13 @@ class Field:
         return labels, score
 
 
-def train(texts: list[str], langs: list[str], shares: dict[str, float], window: int = 32, most: int = 12_000, listed: int = 1000, rounds: int = 40, rate: float = 0.3, decay: float = 1e-5) -> Field:
+def train(texts: list[str], langs: list[str], shares: dict[str, float], window: int = 32, most: int = 12_000, listed: int = 1000, rounds: int = 40, rate: float = 0.3, decay: float = 1e-5, part: int = 20_000, some: int = 1000) -> Field:
     """Learns weights and transitions by gradient ascent (Adagrad) on the likelihood of windows of words.
 
     Texts are cut into windows; the last of a text has what words are left, so that short texts and the tails of texts
     count. To half of them the beginning of another window is joined, so that transitions learn from code-switched
-    text. At most `most` windows are used, from all labels in turn.
+    text. At most `most` windows are used, from all labels in turn. All of them take part in every round, `some` at a
+    time, and their words' features `part` words at a time, which holds the memory down.
     """
     labels = sorted(shares)
     prior = np.log(np.array([shares[x] for x in labels]))
@@ -200,35 +200,45 @@ def train(texts: list[str], langs: list[str], shares: dict[str, float], window:
     x, y = place[source], y_of[doc[source]]
     used, x = np.unique(x, return_inverse=True)
     x = x.reshape(y.shape)
-    features = Features([names[w] for w in used])
-    flags = _flags(features.words, lexicon, len(labels))
+    words = [names[w] for w in used]
+    del doc, place, names, count, source
+    features = [Features(words[k : k + part]) for k in range(0, len(words), part)]
+    flags = _flags(words, lexicon, len(labels))
     n, wide = y.size, len(labels)
-    seen = np.zeros((n, wide))
+    seen = np.zeros((n, wide), np.int8)
     seen[np.arange(n), y.ravel()] = real.ravel()
     moved = np.zeros((wide, wide))
     np.add.at(moved, (y[:, :-1][real[:, 1:]], y[:, 1:][real[:, 1:]]), 1)
     past = [np.full_like(v, 1e-8) for v in (field.weights, field.listed, field.moves)]
     uniform = np.zeros(wide)
+    p = np.empty((len(x), window, wide))
     for _ in range(rounds):
-        emission = (features.emissions(field.weights) + flags @ field.listed)[x]
-        e, move = np.exp(emission - emission.max(2, keepdims=True)), np.exp(field.moves)
-        forward, backward = np.empty_like(e), np.ones_like(e)
-        forward[:, 0] = np.exp(uniform) * e[:, 0]
-        for s in range(window):
-            if s:
-                forward[:, s] = np.where(real[:, s, None], forward[:, s - 1] @ move * e[:, s], forward[:, s - 1])
-            forward[:, s] /= forward[:, s].sum(1, keepdims=True)
-        for s in range(window - 2, -1, -1):
-            backward[:, s] = np.where(real[:, s + 1, None], (backward[:, s + 1] * e[:, s + 1]) @ move.T, backward[:, s + 1])
-            backward[:, s] /= backward[:, s].max(1, keepdims=True)
-        p = forward * backward
-        p *= real[:, :, None] / p.sum(2, keepdims=True)
-        expected = np.zeros((wide, wide))
-        for s in range(1, window):
-            joint = forward[:, s - 1, :, None] * move[None] * (e[:, s] * backward[:, s])[:, None, :]
-            expected += (joint * (real[:, s, None, None] / joint.sum((1, 2), keepdims=True))).sum(0)
-        error = np.stack([np.bincount(x.ravel(), (seen - p.reshape(n, wide))[:, k], len(used)) for k in range(wide)], 1)
-        slope = (np.stack([np.bincount(features.ids, error[features.word, k], PLACES) for k in range(wide)], 1), flags.T @ error, moved - expected)
+        emission = np.concatenate([f.emissions(field.weights) for f in features]) + flags @ field.listed
+        move, expected = np.exp(field.moves), np.zeros((wide, wide))
+        for at in range(0, len(x), some):
+            e, there = emission[x[at : at + some]], real[at : at + some]
+            e = np.exp(e - e.max(2, keepdims=True))
+            forward, backward = np.empty_like(e), np.ones_like(e)
+            forward[:, 0] = np.exp(uniform) * e[:, 0]
+            for s in range(window):
+                if s:
+                    forward[:, s] = np.where(there[:, s, None], forward[:, s - 1] @ move * e[:, s], forward[:, s - 1])
+                forward[:, s] /= forward[:, s].sum(1, keepdims=True)
+            for s in range(window - 2, -1, -1):
+                backward[:, s] = np.where(there[:, s + 1, None], (backward[:, s + 1] * e[:, s + 1]) @ move.T, backward[:, s + 1])
+                backward[:, s] /= backward[:, s].max(1, keepdims=True)
+            for s in range(1, window):
+                joint = forward[:, s - 1, :, None] * move[None] * (e[:, s] * backward[:, s])[:, None, :]
+                expected += (joint * (there[:, s, None, None] / joint.sum((1, 2), keepdims=True))).sum(0)
+            forward *= backward
+            p[at : at + some] = forward * (there[:, :, None] / forward.sum(2, keepdims=True))
+        apart = np.subtract(seen, p.reshape(n, wide), out=p.reshape(n, wide))
+        error = np.stack([np.bincount(x.ravel(), apart[:, k], len(used)) for k in range(wide)], 1)
+        pulled = np.zeros((PLACES, wide))
+        for k, f in enumerate(features):
+            for label in range(wide):
+                pulled[:, label] += np.bincount(f.ids, error[k * part + f.word, label], PLACES)
+        slope = (pulled, flags.T @ error, moved - expected)
         for value, total, g in zip((field.weights, field.listed, field.moves), past, slope):
             g = g / len(x) - decay * value
             total += g * g
@@ -302,10 +312,10 @@ def identified(docs: DataFrame, least: float = 0.4) -> DataFrame:
     """The documents, as they are, of which some language has a score of at least `least`; learned from themselves."""
     field = docs.sparkSession.sparkContext.broadcast(fit(docs))
 
-    @F.pandas_udf("double")
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            whole = pa.array(texts, pa.large_string(), from_pandas=True)
-            yield pd.Series(np.concatenate([np.zeros(0), *[field.value.predict(whole.slice(k, 200))[1] for k in range(0, len(whole), 200)]]))
+            parts = slices([pa.RecordBatch.from_arrays([texts], names=["text"])], rows=200, volume=1 << 20)
+            yield pa.array(np.concatenate([np.zeros(0), *[field.value.predict(x.column("text"))[1] for x in parts]]))
 
     return docs.filter(of(F.col("text")) >= F.lit(max(least, 1e-12)))

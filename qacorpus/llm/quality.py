@@ -6,7 +6,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -176,9 +175,10 @@ def clean(docs: DataFrame, labels: DataFrame, label: str = "quality", least: flo
     """The documents with a score of at least `least`, as they are; learned and scored as in score()."""
     model = fit(stored(measured(docs), "quality"), labels, label)
 
-    @F.pandas_udf("double")
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pd.Series(model.score(np.array([statistics((t or "").encode()) for t in texts]).reshape(-1, SIZE)))
+            parts = slices([pa.RecordBatch.from_arrays([texts], names=["text"])])
+            yield pa.array(model.score(np.array([statistics(t) for x in parts for t in utf8(x.column("text"))]).reshape(-1, SIZE)))
 
     return docs.filter(of(F.col("text")) >= least)
