@@ -140,10 +140,14 @@ def fused_top(queries: DataFrame, index: Bm25Index, vectors: DataFrame, k_raw: i
 
 def hybrid_top(queries: DataFrame, index: Bm25Index, vectors: DataFrame, chunks: DataFrame, store: Store, k: int = 5, grow: int = 4, lang: str | None = None, lemmas: DataFrame | None = None) -> DataFrame:
     """search_hybrid() over whole lists: so many of the best fused chunks as leave k after both rounds of removing repeats."""
-    most = max(index.sizes.values(), default=0)
+    return hybrid(queries, lambda asked, wanted: fused_top(asked, index, vectors, wanted, store, lang=lang, lemmas=lemmas), max(index.sizes.values(), default=0), chunks, store, k, grow)
+
+
+def hybrid(queries: DataFrame, fused: Callable[[DataFrame, int], DataFrame], most: int, chunks: DataFrame, store: Store, k: int = 5, grow: int = 4) -> DataFrame:
+    """hybrid_top() with any way to the best fused chunks of questions, of which a side has `most` chunks at most."""
     wanted, pending, done = grow * k, queries, None
     while True:
-        hits = fused_top(pending, index, vectors, wanted, store, lang=lang, lemmas=lemmas).join(chunks.select("chunk_id", "url", "title", "text"), "chunk_id")
+        hits = fused(pending, wanted).join(chunks.select("chunk_id", "url", "title", "text"), "chunk_id")
         found = store(_first(dedup_best(dedup_best(hits, ["url"]), ["title", "text"]), k), "hits")
         full = found.groupBy("query_id").count().filter(F.col("count") >= k).select("query_id") if wanted < most else pending.select("query_id")
         rows = found.join(full, "query_id", "left_semi")

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +22,7 @@ from ..operators import nearest as N
 from ..operators import pages as P
 from ..operators import questions as Q
 from ..operators import retrieval as R
+from ..operators import scan as D
 from ..operators import search as S
 from ..sources import io
 from ..streaming import streams as W
@@ -146,7 +150,17 @@ _BM = rf""", w AS (SELECT doc_id AS chunk_id, CASE WHEN section = 'sprzedaz' THE
   lens AS (SELECT e.chunk_id, e.side, coalesce(len, 0) AS len FROM every e LEFT JOIN n USING (chunk_id)), avgs AS (SELECT side, avg(len) AS avg_len, count(*) AS n FROM lens GROUP BY 1),
   raw AS (SELECT side, token, count(*) AS df, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS idf FROM tf JOIN avgs USING (side) GROUP BY 1, 2),
   terms AS (SELECT side, token, df, CASE WHEN idf < 0 THEN 0.25 * avg(idf) OVER (PARTITION BY side) ELSE idf END AS idf FROM raw)"""
-query("l03_bm25_terms", _BM + " SELECT side, token, df, round(idf, 9) AS idf FROM terms")(lambda spark, sf_dir: _index(spark, sf_dir).terms.withColumn("idf", F.round("idf", 9)))
+query("l03_bm25_terms", _BM + " SELECT side, token, df, round(idf, 9) AS idf FROM terms")(lambda spark, sf_dir: _texts(spark, sf_dir).terms.withColumn("idf", F.round("idf", 9)))
+
+
+def _texts(spark: SparkSession, sf_dir: str) -> D.Texts:
+    """The articles with the statistics of their tokens, counted once in a session."""
+
+    def made() -> D.Texts:
+        rows = C.partition_by_side(whole_chunks(spark, sf_dir))
+        return D.statistics(rows.select("chunk_id", "side", F.concat_ws("\n", "title", "text").alias("text")), stored, encode=passage_letters)
+
+    return _once(spark, sf_dir, "texts", made)
 
 
 def _index(spark: SparkSession, sf_dir: str) -> B.Bm25Index:
@@ -305,10 +319,25 @@ _RERANKED = rf""", pairs AS (SELECT f.query_id, f.chunk_id, f.pos, a.url, a.titl
 
 
 def letter_profile(text):
-    """A unit vector of how often each letter from a to z occurs: an encoder of built-in expressions, which SQL can follow."""
-    low = F.lower(text)
-    counts = F.array(*[(F.length(low) - F.length(F.replace(low, F.lit(c), F.lit("")))).cast("double") for c in "abcdefghijklmnopqrstuvwxyz"])
-    return F.transform(F.array(counts), T.l2_normalize)[0]  # so that letters are counted once, not for each of them
+    """A unit vector of how often each letter from a to z occurs: an encoder that SQL can follow."""
+
+    @F.pandas_udf("array<double>")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series(list(letters(texts)), dtype=object)
+
+    return of(text)
+
+
+def letters(texts) -> np.ndarray:
+    counts = np.array([np.bincount(np.frombuffer((t or "").lower().encode(), np.uint8), minlength=256)[97:123] for t in texts], float).reshape(-1, 26)
+    length = np.sqrt((counts**2).sum(1))
+    return counts / np.where(length > 0, length, 1.0)[:, None]
+
+
+def passage_letters(texts) -> np.ndarray:
+    """letter_profile() of passages of titles and texts."""
+    return letters(["passage: " + (t or "") for t in texts])
 
 
 def _benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -317,7 +346,7 @@ def _benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _bm25(spark: SparkSession, sf_dir: str, depth: int = 20) -> DataFrame:
-    return B.top_chunks(_benchmark(spark, sf_dir), _index(spark, sf_dir), depth, stored)
+    return D.top(_benchmark(spark, sf_dir), _texts(spark, sf_dir), depth, stored).drop("near")
 
 
 query("r01_bm25", _RANK + " SELECT query_id, chunk_id, round(score, 3) AS score, pos FROM r WHERE pos < 20")(lambda spark, sf_dir: _bm25(spark, sf_dir).select("query_id", "chunk_id", F.round("score", 3).alias("score"), F.col("pos").cast("int").alias("pos")))
@@ -333,7 +362,7 @@ def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _candidates(spark: SparkSession, sf_dir: str, k_raw: int) -> DataFrame:
-    return R.fused_top(_asked(spark, sf_dir), _index(spark, sf_dir), _vectors(spark, sf_dir), k_raw, stored)
+    return D.fused(_asked(spark, sf_dir), _texts(spark, sf_dir), k_raw, stored)
 
 
 _NEAREST = r""", p AS (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)), 9) AS score FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0)
@@ -364,18 +393,24 @@ def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _cut(spark: SparkSession, sf_dir: str, depth: int) -> tuple[DataFrame, DataFrame]:
-    asked, index = _asked(spark, sf_dir), _index(spark, sf_dir)
-    words = R.padded(B.top_chunks(asked, index, depth, stored), asked, index.lengths, depth)
-    return stored(words, "words"), stored(R.vector_rank(asked, _vectors(spark, sf_dir), depth, same="side"), "near")
+    both = stored(D.top(_asked(spark, sf_dir), _texts(spark, sf_dir), depth, stored, whole=True), "both")
+    return both.filter("not near").drop("near"), both.filter("near").drop("near")
 
 
 query("r04_certified")(lambda spark, sf_dir: R.certified(_cut(spark, sf_dir, 50), 5, 50))
 query("r04_candidates", _RANK + _FUSED + " SELECT query_id, chunk_id, score, pos FROM fused WHERE pos < 12")(lambda spark, sf_dir: _candidates(spark, sf_dir, 12))
+
+
+def _hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = _texts(spark, sf_dir)
+    return R.hybrid(_asked(spark, sf_dir), lambda asked, wanted: D.fused(asked, texts, wanted, stored), max((n for n, _ in texts.sides.values()), default=0), whole_chunks(spark, sf_dir), stored)
+
+
 query(
     "r06_hybrid",
     _RANK + _FUSED + """, one AS (SELECT f.query_id, f.chunk_id, f.score, f.pos, a.url FROM fused f JOIN articles a ON a.doc_id = f.chunk_id QUALIFY row_number() OVER (PARTITION BY f.query_id, a.title, a.body ORDER BY f.pos) = 1)
     SELECT query_id, chunk_id, url, score, (row_number() OVER (PARTITION BY query_id ORDER BY pos) - 1)::INT AS pos FROM one QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY pos) <= 5""",
-)(lambda spark, sf_dir: R.hybrid_top(_asked(spark, sf_dir), _index(spark, sf_dir), _vectors(spark, sf_dir), whole_chunks(spark, sf_dir), stored).select("query_id", "chunk_id", "url", "score", "pos"))
+)(lambda spark, sf_dir: _hybrid(spark, sf_dir).select("query_id", "chunk_id", "url", "score", "pos"))
 query("r08_reranked", _RANK + _FUSED + _RERANKED + " SELECT query_id, chunk_id, url, round(score, 9) AS score, pos FROM hits")(
     lambda spark, sf_dir: R.search_reranked(_benchmark(spark, sf_dir), [_candidates(spark, sf_dir, 12)], whole_chunks(spark, sf_dir), 5).select("query_id", "chunk_id", "url", F.round("score", 9).alias("score"), "pos")
 )
