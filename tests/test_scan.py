@@ -70,7 +70,7 @@ def test_like_whole_lists(spark, monkeypatch, at_once):
 
 
 #: Queries of a bounded batch of questions, or of statistics alone.
-SCANNED = ["r04_candidates", "r01_bm25", "l03_bm25_terms", "g06_features", "r03_fused", "r06_hybrid", "r08_reranked", "r09_score_table", "r10_replayed", "r13_hits", "r04_certified", "r11_reconciled"]
+SCANNED = ["r04_candidates", "r01_bm25", "l03_bm25_terms", "g06_features", "r03_fused", "r06_hybrid", "r08_reranked", "r09_score_table", "r10_replayed", "r13_hits", "r04_certified", "r11_reconciled", "r14_sources"]
 
 
 @pytest.mark.parametrize("name", SCANNED)
