@@ -138,11 +138,59 @@ def osa_distance(a: Column, b: Column, most: int = 1 << 20) -> Column:
     @F.pandas_udf("int")
     def of(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for left, right in batches:
-            yield pd.Series([None if x is None or y is None else osa(x, y, most) for x, y in zip(left, right)], dtype="Int32")
+            there = np.flatnonzero(left.notna().to_numpy() & right.notna().to_numpy())
+            out = pd.array([None] * len(left), dtype="Int32")
+            out[there] = osa_all([left.iloc[k] for k in there], [right.iloc[k] for k in there], most)
+            yield pd.Series(out)
 
     return of(a, b)
 
 
+def osa_all(a: list[str], b: list[str], most: int, cells: int = 1 << 18) -> np.ndarray:
+    """osa() of many pairs, a bounded number of letters at a time; the longest alone."""
+    out = np.zeros(len(a), np.int64)
+    longest = np.array([max(len(x), len(y)) for x, y in zip(a, b)], np.int64)
+    order = np.argsort(longest, kind="stable")
+    begin = 0
+    while begin < len(order):
+        end = begin + 1
+        while end < len(order) and longest[order[end]] <= 64 and (end - begin) * longest[order[end]] < cells:
+            end += 1
+        some = order[begin:end]
+        if end - begin == 1:
+            out[some] = osa(a[some[0]], b[some[0]], most)
+        else:
+            out[some] = _osa_matrix([a[k] for k in some], [b[k] for k in some], most)
+        begin = end
+    return out
+
+
+def _osa_matrix(a: list[str], b: list[str], most: int) -> np.ndarray:
+    def letters(words: list[str], pad: int) -> tuple[np.ndarray, np.ndarray]:
+        n = np.array([len(w) for w in words])
+        out = np.full((len(words), max(1, n.max())), pad, np.int64)
+        out[np.arange(out.shape[1])[None, :] < n[:, None]] = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+        return out, n
+
+    x, n = letters(a, -1)
+    y, m = letters(b, -2)
+    steps = np.arange(y.shape[1] + 1)
+    before, now = None, np.broadcast_to(steps, (len(a), len(steps))).copy()
+    out = m.copy()
+    for i in range(x.shape[1]):
+        best = np.empty_like(now)
+        best[:, 0] = i + 1
+        best[:, 1:] = np.minimum(now[:, :-1] + (y != x[:, i : i + 1]), now[:, 1:] + 1)
+        if before is not None and y.shape[1] > 1:
+            swapped = (y[:, 1:] == x[:, i - 1 : i]) & (y[:, :-1] == x[:, i : i + 1])
+            best[:, 2:] = np.where(swapped, np.minimum(best[:, 2:], before[:, :-2] + 1), best[:, 2:])
+        best = np.minimum.accumulate(best - steps, axis=1) + steps  # insertions
+        before, now = now, best
+        ends = n == i + 1
+        out[ends] = best[ends, m[ends]]
+    return np.minimum(out, most + 1)
+
+
 def estimate_tokens(text: Column) -> Column:
     return F.when(text.isNull() | (text == ""), 0).otherwise(F.greatest(F.lit(1), F.bround(F.length(text) / CHARS_PER_TOKEN).cast("int")))
 

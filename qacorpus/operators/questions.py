@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -85,7 +86,7 @@ def best_candidate(tokens: DataFrame, dictionary: DataFrame) -> DataFrame:
     first in the dictionary's order (a column place, if it has one), then by spelling.
 
     Words of up to 12 letters are joined on what is left of a form when up to so many letters are taken out, which two
-    forms within the distance share. Longer ones are cut into five parts: two edits, each of which touches two parts at
+    forms within the distance share: first one letter, then two for tokens without a word at a distance of one. Longer ones are cut into five parts: two edits, each of which touches two parts at
     most (an exchange of neighbours), leave one whole, at its place or up to two letters away. So a token's keys don't
     grow with its letters. Words of a length that no token can reach are left out before.
     """
@@ -95,14 +96,23 @@ def best_candidate(tokens: DataFrame, dictionary: DataFrame) -> DataFrame:
     lengths = asked.select(reach).agg(F.collect_set("n")).scalar()  # at most as many as the longest token has letters, and two
     place = F.col("place") if "place" in dictionary.columns else F.lit(0)
     known = dictionary.select("word", "cnt", place.alias("place"), fold(F.col("word")).alias("wfolded")).filter(F.array_contains(lengths, F.length("wfolded")))
-    left = asked.filter(F.length("folded") <= SHORT + 2).select("*", F.explode(_without(F.col("folded"), F.col("allowed"))).alias("key"))
-    right = known.filter(F.length("wfolded") <= SHORT).select("*", F.explode(_without(F.col("wfolded"), F.lit(2))).alias("key"))
+    short, words = asked.filter(F.length("folded") <= SHORT + 2), known.filter(F.length("wfolded") <= SHORT)
+
+    def near(left: DataFrame, right: DataFrame, most: Column) -> DataFrame:
+        pairs = left.join(right, "key").filter(F.abs(F.length("folded") - F.length("wfolded")) <= most).drop("key").distinct()
+        return pairs.withColumn("distance", osa_distance(F.col("folded"), F.col("wfolded"), 2)).filter(F.col("distance") <= most)
+
+    def cut(rows: DataFrame, form: str, most: int) -> DataFrame:
+        return rows.select("*", F.explode(_without(F.col(form), F.lit(most))).alias("key"))
+
+    one = near(cut(short, "folded", 1), cut(words, "wfolded", 1), F.lit(1))
+    rest = short.filter("allowed = 2").join(one.select("token").distinct(), "token", "left_anti")
+    two = near(cut(rest, "folded", 2), cut(words, "wfolded", 2), F.lit(2))
     long_left = asked.filter(F.length("folded") + F.col("allowed") > SHORT).select("*", F.explode(_segments_near(F.col("folded"), F.col("allowed"))).alias("key"))
     long_right = known.filter(F.length("wfolded") > SHORT).select("*", F.explode(_segments(F.col("wfolded"))).alias("key"))
-    near = left.join(right, "key").unionByName(long_left.join(long_right, "key")).filter(F.abs(F.length("folded") - F.length("wfolded")) <= F.col("allowed")).drop("key").distinct()
-    near = near.withColumn("distance", osa_distance(F.col("folded"), F.col("wfolded"), 2)).filter("distance <= allowed")
+    found = one.unionByName(two).unionByName(near(long_left, long_right, F.col("allowed")))
     best = Window.partitionBy("token").orderBy("distance", F.desc("cnt"), "place", "word")
-    return near.withColumn("rank", F.row_number().over(best)).filter("rank = 1").select("token", "word", "distance")
+    return found.withColumn("rank", F.row_number().over(best)).filter("rank = 1").select("token", "word", "distance")
 
 
 #: Up to so many letters words are compared by what is left of them; beyond, by their parts.
@@ -151,14 +161,18 @@ def _without(word: Column, most: Column) -> Column:
     return F.array_distinct(F.concat(F.array(word), F.when(most >= 1, one).otherwise(none), F.when(most >= 2, two).otherwise(none)))
 
 
-def correct_questions(df: DataFrame, dictionary: DataFrame, freq: DataFrame, key: str = "query_id", text: str = "text", min_len: int = 4, known_from: float = 2.0) -> DataFrame:
+def correct_questions(df: DataFrame, dictionary: DataFrame, freq: DataFrame, key: str = "query_id", text: str = "text", min_len: int = 4, known_from: float = 2.0, store: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
     """key, corrected, changed, changes (array of from, to) and unknown: words of min_len letters and more that neither
-    the dictionary nor the frequencies (word, zipf) know give way to their best candidate; what isn't a word stays."""
+    the dictionary nor the frequencies (word, zipf) know give way to their best candidate; what isn't a word stays.
+
+    With a store, the dictionary and the unknown words are made once, and not for each of the joins that read them."""
+    store = store or (lambda df, name: df)
+    dictionary = store(dictionary, "dictionary")
     parts = F.regexp_extract_all(text, F.lit(f"{WORD}|[^\\p{{L}}\\p{{Nl}}\\p{{No}}]+"), F.lit(0))
     rows = df.select(key, F.posexplode_outer(F.when(F.length(text) > 0, parts)).alias("pos", "part"))
     rows = rows.withColumn("token", F.when(F.col("part").rlike(WORD) & (F.length("part") >= min_len), F.lower("part")))
     known = dictionary.select(F.col("word").alias("token")).union(freq.filter(F.col("zipf") >= known_from).select(F.col("word").alias("token"))).distinct()
-    strange = rows.filter("token is not null").select("token").distinct().join(known, "token", "left_anti")
+    strange = store(rows.filter("token is not null").select("token").distinct().join(known, "token", "left_anti"), "strange")
     fixes = strange.join(best_candidate(strange, dictionary), "token", "left").select("token", F.when(F.col("word") != F.col("token"), F.col("word")).alias("fix"), F.lit(True).alias("strange"))
     done = rows.join(fixes, "token", "left").withColumn("put", F.coalesce("fix", "part"))
     listed = F.array_sort(F.collect_list(F.struct("pos", "put", "part", "fix", "strange")))
